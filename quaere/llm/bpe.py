@@ -16,7 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import pieces, texts
 
-#: Pre-tokens whose ids a worker keeps; when full it starts anew.  Bounds memory only, never results.
-CACHE_ENTRIES = 300_000
+#: Pre-tokens of a generation whose ids a worker keeps; when it is full, the one before it goes.  Bounds memory only, never results.
+CACHE_ENTRIES = 400_000
 #: Only pre-tokens up to so many characters are kept.
 CACHE_CHARS = 64
 
@@ -38,10 +38,11 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class RankQueue:
-    """Positions in buckets by rank; ``pop`` gives the least rank's least position."""
+    """Buckets of positions by rank under a two-level bitmap; ``pop`` takes the whole bucket of the least rank."""
 
     __slots__ = ("buckets", "top", "words")
-    WIDTH = 256
+    #: Ranks of one word of the lower level, as a power of two.
+    SHIFT = 8
 
     def __init__(self) -> None:
         self.buckets: dict[int, list[int]] = {}
@@ -51,78 +52,107 @@ class RankQueue:
     def push(self, rank: int, at: int) -> None:
         held = self.buckets.get(rank)
         if held is not None:
-            heappush(held, at)
+            held.append(at)
             return
         self.buckets[rank] = [at]
-        high, low = divmod(rank, self.WIDTH)
-        self.words[high] = self.words.get(high, 0) | 1 << low
-        self.top |= 1 << high
+        high = rank >> self.SHIFT
+        bit = 1 << (rank & (1 << self.SHIFT) - 1)
+        word = self.words.get(high)
+        if word is None:
+            self.words[high] = bit
+            self.top |= 1 << high
+        else:
+            self.words[high] = word | bit
 
-    def pop(self) -> tuple[int, int] | None:
+    def pop(self) -> tuple[int, list[int]]:
         top = self.top
-        if not top:
-            return None
         high = (top & -top).bit_length() - 1
         word = self.words[high]
-        low = (word & -word).bit_length() - 1
-        rank = high * self.WIDTH + low
-        held = self.buckets[rank]
-        at = heappop(held)
-        if not held:
-            del self.buckets[rank]
-            word ^= 1 << low
-            if word:
-                self.words[high] = word
-            else:
-                del self.words[high]
-                self.top ^= 1 << high
-        return rank, at
-
-
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one pre-token: always the pair of least rank, the leftmost of equals, is merged next."""
-    n = len(piece)
-    if n == 1:
-        return [ranks[piece]]
+        bit = word & -word
+        word ^= bit
+        if word:
+            self.words[high] = word
+        else:
+            del self.words[high]
+            self.top = top ^ (1 << high)
+        rank = (high << self.SHIFT) + bit.bit_length() - 1
+        held = self.buckets.pop(rank)
+        if len(held) > 1:
+            held.sort()
+        return rank, held
+
+
+def merge(tokens: list[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
+    """Ids of each pre-token: always its pair of least rank, the leftmost of equals, is merged next.
+
+    The pre-tokens lie end to end in one list and share one queue; no pair spans two of them.
+    """
+    text = b"".join(tokens)
+    n = len(text)
     get = ranks.get
-    parts: list[bytes] = [piece[i : i + 1] for i in range(n)]
-    pair = [get(piece[i : i + 2], -1) for i in range(n - 1)]
-    pair.append(-1)
+    first = bytearray(n + 1)  # where a pre-token begins
+    at = 0
+    for token in tokens:
+        first[at] = 1
+        at += len(token)
+    first[n] = 1
+    pair = [-1 if first[i + 1] else get(text[i : i + 2], -1) for i in range(n)]
     queue = RankQueue()
-    buckets, words, width = queue.buckets, queue.words, queue.WIDTH
-    for at, rank in enumerate(pair):  # ascending positions: each list is a heap already
+    buckets, pop, push = queue.buckets, queue.pop, queue.push
+    for at, rank in enumerate(pair):
         if rank >= 0:
             if rank in buckets:
                 buckets[rank].append(at)
             else:
-                buckets[rank] = [at]
-                words[rank // width] = words.get(rank // width, 0) | 1 << rank % width
-                queue.top |= 1 << rank // width
+                push(rank, at)
+    # a part is text[at : after[at]]; before[at] is where the part to its left begins
     after = list(range(1, n + 1))
-    before = list(range(-1, n - 1))
-    pop, push = queue.pop, queue.push
+    before = list(range(-1, n))
     while queue.top:
-        rank, at = pop()
-        if pair[at] != rank:
-            continue  # stale: the pair at this place has changed or gone
-        gone = after[at]
-        parts[at] = joined = parts[at] + parts[gone]
-        pair[gone] = -1
-        parts[gone] = b""
-        after[at] = right = after[gone]
-        if right < n:
+        rank, held = pop()
+        for k, at in enumerate(held):
+            if pair[at] != rank:
+                continue  # stale: the pair at this place has changed or gone
+            gone = after[at]
+            right = after[gone]
+            pair[gone] = -1
+            after[at] = right
             before[right] = at
-            pair[at] = new = get(joined + parts[right], -1)
-            if new >= 0:
-                push(new, at)
-        else:
-            pair[at] = -1
-        left = before[at]
-        if left >= 0:
-            pair[left] = new = get(parts[left] + joined, -1)
-            if new >= 0:
-                push(new, left)
-    return [ranks[p] for p in parts if p]
+            least = rank
+            if first[right]:
+                pair[at] = -1
+            else:
+                pair[at] = new = get(text[at : after[right]], -1)
+                if new >= 0:
+                    if new in buckets:
+                        buckets[new].append(at)
+                    else:
+                        push(new, at)
+                    least = new
+            if not first[at]:
+                left = before[at]
+                pair[left] = new = get(text[left:right], -1)
+                if new >= 0:
+                    if new in buckets:
+                        buckets[new].append(left)
+                    else:
+                        push(new, left)
+                    if new < least:
+                        least = new
+            if least < rank:  # what has come up ranks before the rest of this bucket
+                for rest in held[k + 1 :]:
+                    push(rank, rest)
+                break
+    out = []
+    at = 0
+    for token in tokens:
+        end = at + len(token)
+        ids = []
+        while at < end:
+            ids.append(ranks[text[at : after[at]]])
+            at = after[at]
+        out.append(ids)
+    return out
 
 
 class Codec:
@@ -134,23 +164,36 @@ class Codec:
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.name_of = {i: str(i) for i in ranks.values()}
         self.known: dict[str, list[int]] = {}
-
-    def piece(self, word: str) -> list[int]:
-        raw = word.encode()
-        whole = self.ranks.get(raw)
-        ids = [whole] if whole is not None else merge(raw, self.ranks)
-        if len(word) <= CACHE_CHARS:
-            if len(self.known) >= CACHE_ENTRIES:
-                self.known.clear()
-            self.known[word] = ids
-        return ids
+        self.older: dict[str, list[int]] = {}
+
+    def learn(self, words: set[str]) -> None:
+        """Make the ids of words that aren't known known."""
+        fresh: dict[str, list[int]] = {}
+        for word in words.intersection(self.older):
+            fresh[word] = self.older[word]
+        rest = [(w, w.encode()) for w in words.difference(fresh)]
+        whole = self.ranks.get
+        fresh |= {w: [i] for w, raw in rest if (i := whole(raw)) is not None}
+        rest = [(w, raw) for w, raw in rest if w not in fresh]
+        fresh.update(zip([w for w, _ in rest], merge([raw for _, raw in rest], self.ranks), strict=True))
+        self.known |= fresh
+
+    def encode_all(self, of: list[str]) -> list[list[int]]:
+        found = [self.find(x) for x in of]
+        words = set().union(*found)
+        if unknown := words.difference(self.known):
+            if len(self.known) + len(unknown) > CACHE_ENTRIES:  # a new generation, that must hold all words of this batch
+                self.older, self.known = self.known, {}
+                unknown = words
+            self.learn(unknown)
+        known = self.known
+        out = [list(chain.from_iterable(map(known.__getitem__, x))) for x in found]
+        for long in [w for w in unknown if len(w) > CACHE_CHARS]:
+            known.pop(long, None)
+        return out
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        known, piece, extend = self.known.get, self.piece, out.extend
-        for word in self.find(text):
-            extend(known(word) or piece(word))
-        return out
+        return self.encode_all([text])[0]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -185,7 +228,7 @@ def encode(docs: DataFrame, path: str, pattern: str, *, key: str = "doc_id", tex
     """``key, ids array<int>``: the ids of every whole text."""
 
     def make(codec: Codec, batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids = pa.array([codec.encode(x) for x in texts(batch, text)], pa.list_(pa.int32()))
+        ids = pa.array(codec.encode_all(texts(batch, text)), pa.list_(pa.int32()))
         return pa.RecordBatch.from_arrays([batch.column(key), ids], [key, "ids"])
 
     kind = docs.schema[key].dataType.simpleString()
@@ -208,8 +251,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def make(codec: Codec, batch: pa.RecordBatch) -> pa.RecordBatch:
         count, spelled, decoded = [], [], []
-        for x in texts(batch):
-            ids = codec.encode(x)
+        for ids in codec.encode_all(texts(batch)):
             count.append(len(ids))
             spelled.append(hashlib.sha256(codec.spelled(ids)).hexdigest())
             decoded.append(hashlib.sha256(codec.decode(ids)).hexdigest())
