@@ -1,39 +1,40 @@
-"""Toxicity by class-conditional Kneser-Ney word models.
+"""Toxicity by class-conditional Kneser-Ney models.
 
-Two bigram models, one of toxic and one of ordinary texts, each interpolated and
-absolutely discounted:
+Two models, one of toxic and one of ordinary texts, spell each word from its start, each
+interpolated and absolutely discounted, over the context u of all its characters so far:
 
-    P(w | v) = max(C(v, w) - D, 0) / C(v) + D T(v) / C(v) * P(w)
-    P(w)     = max(C(w) - D, 0) / N + D T / N * S(w)
+    P(c | u) = max(C(u c) - D, 0) / (C(u) + B) + (D T(u) + B) / (C(u) + B) * A(c | u)
 
-``C``, ``N`` and ``T`` (distinct followers of v, or distinct words) are of the class;
-``S``, the shared backoff, is the Kneser-Ney continuation share of w, from the distinct
-words before it in *all* documents, labelled or not.  A rare expression thus gets nearly
-the same probability from both models, and what is frequent in one class only stands
-out.  A text's evidence is the mean over its words of the difference of the
-log-likelihoods; a logistic curve over that and the length makes it a score.
+``C`` and ``T`` (distinct characters after the context) are of the class, ``D`` is
+``DISCOUNT`` and ``B`` the ``SHARED`` backoff counts.  ``A``, the shared backoff, is a Kneser-Ney model of *all* documents,
+labelled or not: the same form and, below it, the continuation shares of the last
+``SHORT`` characters v (of the distinct characters before ``v c``).  A rare expression
+thus gets nearly the same probability from both models, and what is frequent in one
+class only stands out, inflected or not.  A text's evidence is the mean over its words
+of the difference of the log-likelihoods, in two parts (see ``evidence``); a logistic
+curve over them and the length makes it a score.
+Characters are lower-cased, a run of others than letters and digits counts as one space,
+and what follows the first ``LONG`` characters of a word says nothing of its class.
 
 Everything is counted over whole texts of all documents, in tables of fixed size:
-words and pairs are hashed to cells, distinct neighbours to the bits of a 64-bit mask
+contexts and grams are hashed to cells, distinct neighbours to the bits of a 64-bit mask
 (linear counting).  Each task sends its tables once; they are added in rounds of at most
-``FAN`` at a time.  The logistic curve is fitted to at most ``sample`` labelled rows, each judged
-with its own counts taken out of its class.
+``FAN`` at a time.  The logistic curve is fitted to at most ``sample`` labelled rows,
+each judged with its own counts taken out of its class.
 
-Results: null, empty and wordless texts have no evidence and take the score of evidence 0;
-equal texts have equal scores; a key labelled more than once takes the mean label; null
-labels and labels without a document are left out; without two classes all scores are
-the base rate (0 without labels).  Columns besides the key and the text are ignored.
+Results: null, empty and letterless texts have no evidence and take the score of
+evidence 0; equal texts have equal scores; a key labelled more than once takes the mean
+label; null labels and labels without a document are left out; without two classes all
+scores are the base rate (0 without labels).  Columns besides the key and the text are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,90 +42,133 @@ from pyspark.sql import functions as F
 from .common import pieces, texts
 from .quality import held_out, training_rows
 
-#: Cells of the tables of words and of pairs, as powers of two.
-WORD_BITS, PAIR_BITS = 17, 20
-#: Counts a cell gives up to the backoff.
-DISCOUNT = 0.75
+#: Characters of the longest and of the short context, and the cells of the tables of grams and of contexts as powers of two.
+LONG, SHORT = 9, 3
+GRAM_BITS, CONTEXT_BITS, SHORT_BITS = 20, 18, 13
+#: Counts a gram gives up to the backoff, and the backoff counts that every context of a class has besides.
+DISCOUNT, SHARED = 0.75, 10.0
+#: Log-likelihood that a word of ordinary use adds either way.
+BULK = 3.0
 #: Labelled rows that the logistic curve is fitted to, at most.
 SAMPLE = 20_000
 THRESHOLD = 0.7
 #: Tables added in one task at most, and cells of a block.
-FAN, BLOCK = 64, 1 << 14
-#: Words whose hash a worker keeps.
-KNOWN = 300_000
+FAN, BLOCK = 64, 1 << 15
+
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_symbols: list[np.ndarray] = []
+
+
+def symbols(of: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """All texts' characters in one array, ``LONG`` zeros before each, and the number of the text that each is of (-1: the zeros)."""
+    if not _symbols:
+        plane = [chr(i) for i in range(1 << 16)]
+        _symbols.append(np.array([ord(low) if c.isalnum() and len(low := c.lower()) == 1 else 1 for c in plane], np.uint32))
+    pad = "\0" * LONG
+    raw = np.frombuffer((pad + pad.join(of)).encode("utf-32-le", "replace"), np.uint32)
+    ends = np.cumsum(np.array([len(x) + LONG for x in of]))
+    number = np.repeat(np.arange(len(of)), [len(x) + LONG for x in of])
+    begins = np.concatenate([[0], ends[:-1]])
+    number[(begins[:, None] + np.arange(LONG)).ravel()] = -1
+    made = np.where(raw < 1 << 16, _symbols[0][np.minimum(raw, (1 << 16) - 1)], raw)
+    made[number < 0] = 0
+    keep = np.ones(len(made), bool)
+    keep[1:] = (made[1:] != 1) | (made[:-1] > 1)
+    return made[keep], number[keep]
 
-_words = re.compile(r"[^\W_]+").findall
-_known: dict[str, int] = {}
 
+@dataclass
+class Grams:
+    """For each character of some texts: the cells of its gram and contexts, its own and its neighbour's flag, and its text's number."""
 
-def _hash(word: str) -> int:
-    if len(_known) >= KNOWN:
-        _known.clear()
-    _known[word] = h = xxhash.xxh64_intdigest(word.encode("utf-8", "replace")) >> 1
-    return h
-
-
-def cells(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each word: its cell, the cell of the pair with the word before, and the hashes of both."""
-    known = _known.get
-    h = np.array([known(w) or _hash(w) for w in _words(text.lower())], dtype=np.uint64)
-    before = np.concatenate([np.array([0x5BD1E995], np.uint64), h[:-1]])[: len(h)]
-    both = (before * np.uint64(0x9E3779B97F4A7C15)) ^ h
-    both = (both ^ (both >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (h & np.uint64((1 << WORD_BITS) - 1)).astype(np.int64), (both >> np.uint64(64 - PAIR_BITS)).astype(np.int64), before, h
-
-
-def _bits(h: np.ndarray) -> np.ndarray:
-    return np.uint64(1) << (h >> np.uint64(40) & np.uint64(63))
-
+    gram: np.ndarray
+    context: np.ndarray
+    short: np.ndarray
+    before: np.ndarray
+    slot: np.ndarray
+    number: np.ndarray
+    first: np.ndarray
 
-#: Tables of a task: name, cells, kind.  Masks are joined by OR, counts are added.
-TABLES = [("before", 1 << WORD_BITS, np.uint64)]
-for _c in (0, 1):
-    TABLES += [(f"word{_c}", 1 << WORD_BITS, np.int64), (f"pair{_c}", 1 << PAIR_BITS, np.int64), (f"after{_c}", 1 << WORD_BITS, np.uint64)]
+    @classmethod
+    def of(cls, texts: list[str]) -> Grams:
+        made, number = symbols(texts)
+        wide = made.astype(np.uint64) * _MIX
+        place = np.arange(len(made))
+        begun = np.maximum.accumulate(np.where(made <= 1, place, 0))
+        depth = place - np.concatenate([[0], begun[:-1]])[: len(made)]  # 1 for the first character of a word
+        depth[number < 0] = 0
+        whole = np.zeros(len(made), np.uint64)
+        for k in range(2, LONG + 1):
+            at = np.flatnonzero(depth == k)
+            h = (whole[at - 1] ^ wide[at - 1]) * _MIX
+            whole[at] = h ^ (h >> np.uint64(31))
+        at = np.flatnonzero((depth >= 1) & (depth <= LONG) & ((depth > 1) | (made > 1)))
+        h, c = whole[at], wide[at]
+        v = np.zeros(len(at), np.uint64)
+        for back in range(1, SHORT + 1):
+            v = (v ^ wide[at - back]) * _MIX
+            v ^= v >> np.uint64(31)
+        slot = c >> np.uint64(58)
+        gram = ((h ^ c) * _MIX) >> np.uint64(64 - GRAM_BITS)
+        context = (h * _MIX) >> np.uint64(64 - CONTEXT_BITS)
+        cell = ((v * _MIX) >> np.uint64(64 - SHORT_BITS) << np.uint64(6)) | slot
+        before = wide[at - SHORT - 1] >> np.uint64(58)
+        return cls(*(x.astype(np.int64) for x in (gram, context, cell, before, slot)), number[at], depth[at] == 1)
+
+
+#: Tables of a task: name and cells.  Flags (64 for each cell) are joined by OR, counts are added.  "a" is of all documents, 0 and 1 are of the classes.
+TABLES = {"short": 1 << SHORT_BITS + 12}
+for _c in "a01":
+    TABLES |= {f"gram{_c}": 1 << GRAM_BITS, f"context{_c}": 1 << CONTEXT_BITS, f"after{_c}": 1 << CONTEXT_BITS + 6}
+
+
+def is_flags(name: str) -> bool:
+    return name.startswith(("short", "after"))
+
+
+def empty_tables() -> dict[str, np.ndarray]:
+    return {name: np.zeros(n, bool if is_flags(name) else np.int64) for name, n in TABLES.items()}
+
+
+def count_into(held: dict[str, np.ndarray], of: list[str], labels: list[float | None]) -> None:
+    g = Grams.of(of)
+    held["short"][g.short << 6 | g.before] = True
+    kind = np.array([-1 if v is None else int(v >= 0.5) for v in labels])[g.number]
+    for c, at in (("a", slice(None)), ("0", np.flatnonzero(kind == 0)), ("1", np.flatnonzero(kind == 1))):
+        if (gram := g.gram[at]).size:
+            context = g.context[at]
+            held[f"gram{c}"] += np.bincount(gram, minlength=1 << GRAM_BITS)
+            held[f"context{c}"] += np.bincount(context, minlength=1 << CONTEXT_BITS)
+            held[f"after{c}"][context << 6 | g.slot[at]] = True
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = {name: np.zeros(n, kind) for name, n, kind in TABLES}
-    rows = 0
+    held, rows = empty_tables(), 0
     for batch in pieces(batches):
         rows += batch.num_rows
-        for text, label in zip(texts(batch), batch.column("y").to_pylist(), strict=True):
-            word, pair, before, h = cells(text)
-            if not len(word):
-                continue
-            np.bitwise_or.at(held["before"], word, _bits(before))
-            if label is not None:
-                c = int(label >= 0.5)
-                np.add.at(held[f"word{c}"], word, 1)
-                np.add.at(held[f"pair{c}"], pair, 1)
-                context = (before & np.uint64((1 << WORD_BITS) - 1)).astype(np.int64)
-                np.bitwise_or.at(held[f"after{c}"], context, _bits(h))
+        count_into(held, texts(batch), batch.column("y").to_pylist())
     if rows:
         task = TaskContext.get().partitionId()
-        yield from _blocks(held, task)
-
-
-def _blocks(held: dict[str, np.ndarray], task: int) -> Iterator[pa.RecordBatch]:
-    for name, values in held.items():
-        for at in range(0, len(values), BLOCK):
-            part = values[at : at + BLOCK]
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([at // BLOCK], pa.int32()), pa.array([task], pa.int32()), pa.array([_packed(part)], pa.binary())], ["name", "block", "task", "data"])
+        for name, values in held.items():
+            whole = np.packbits(values) if is_flags(name) else values
+            for at in range(0, len(whole), BLOCK):
+                part = whole[at : at + BLOCK]
+                if part.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([at // BLOCK], pa.int32()), pa.array([task], pa.int32()), pa.array([_packed(part)], pa.binary())], ["name", "block", "task", "data"])
 
 
 def _packed(part: np.ndarray) -> bytes:
-    """Counts in as few bytes as they need: the first byte says how many."""
-    if part.dtype == np.uint64:
-        return b"m" + part.tobytes()
+    """Flags as they are, counts in as few bytes as they need: the first byte says which."""
+    if part.dtype == np.uint8:
+        return b"f" + part.tobytes()
     kind = next(k for k in ("u1", "u2", "u4", "i8") if part.max() <= np.iinfo(k).max)
     return kind[-1].encode() + part.astype(kind).tobytes()
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    kind = {b"m": "u8", b"1": "u1", b"2": "u2", b"4": "u4", b"8": "i8"}[data[:1]]
+    kind = {b"f": "u1", b"1": "u1", b"2": "u2", b"4": "u4", b"8": "i8"}[data[:1]]
     values = np.frombuffer(data, kind, offset=1)
-    return values if kind == "u8" else values.astype(np.int64)
+    return values if data[:1] == b"f" else values.astype(np.int64)
 
 
 def _add(table: pa.Table) -> pa.Table:
@@ -133,101 +177,103 @@ def _add(table: pa.Table) -> pa.Table:
         part = _unpacked(data.as_py())
         if total is None:
             total = part.copy()
-        elif total.dtype == np.uint64:
+        elif total.dtype == np.uint8:
             total |= part
         else:
             total += part
     return table.slice(0, 1).set_column(table.schema.get_field_index("data"), "data", pa.array([_packed(total)], pa.binary()))
 
 
+#: Labels up to which the table of labels is broadcast: 16 bytes each, so some 16 MB.
+FEW_LABELS = 1_000_000
+
+
 def counts(docs: DataFrame, labels: DataFrame, keep) -> dict[str, np.ndarray]:
     """The tables over all documents; ``keep`` picks the keys that labels are learnt from."""
     rows = labels.select(F.col("doc_id").alias("_key"), F.col("toxic").cast("double").alias("_y")).where(F.col("_y").isNotNull() & F.col("_key").isNotNull() & keep(F.col("_key")))
     rows = rows.groupBy("_key").agg(F.avg("_y").alias("y"))
-    spark = docs.sparkSession
-    labelled = docs.select("doc_id", "text")
     # labels are a few bytes a row: they are brought to the texts where they are few, and else both are dealt by key
-    labelled = labelled.join(F.broadcast(rows) if _few(rows) else rows, F.col("doc_id") == F.col("_key"), "left").select("text", "y")
+    few = rows.limit(FEW_LABELS + 1).count() <= FEW_LABELS
+    labelled = docs.select("doc_id", "text").join(F.broadcast(rows) if few else rows, F.col("doc_id") == F.col("_key"), "left").select("text", "y")
     schema = "name string, block int, task int, data binary"
-    parts = labelled.mapInArrow(_count, schema)
     tasks = max(1, labelled.rdd.getNumPartitions())
+    parts = labelled.mapInArrow(_count, schema)
     while True:
         parts = parts.withColumn("task", F.expr(f"task div {FAN}").cast("int")).groupBy("name", "block", "task").applyInArrow(_add, schema)
         tasks = -(-tasks // FAN)
         if tasks <= 1:
             break
-    held = {name: np.zeros(n, kind) for name, n, kind in TABLES}
+    held = {name: np.zeros(n // 8, np.uint8) if is_flags(name) else np.zeros(n, np.int64) for name, n in TABLES.items()}
     for row in parts.select("name", "block", "data").toLocalIterator():  # tables of fixed size
         part = _unpacked(bytes(row["data"]))
         held[row["name"]][row["block"] * BLOCK : row["block"] * BLOCK + len(part)] = part
-    del spark
     return held
 
 
-#: Labels up to which the table of labels is broadcast: 16 bytes each, so some 16 MB.
-FEW_LABELS = 1_000_000
-
-
-def _few(rows: DataFrame) -> bool:
-    return rows.limit(FEW_LABELS + 1).count() <= FEW_LABELS
+_ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
-def _distinct(masks: np.ndarray) -> np.ndarray:
-    """Linear counting: how many were hashed to the bits that are set."""
-    ones = np.unpackbits(masks.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=1)
+def _distinct(flags: np.ndarray) -> np.ndarray:
+    """Linear counting: how many were hashed to the 64 flags of each cell."""
+    ones = _ONES[flags].reshape(-1, 8).sum(axis=1)
     return np.where(ones < 64, -64 * np.log(np.maximum(64 - ones, 0.5) / 64), 64 * np.log(128)).astype(np.float32)
 
 
 @dataclass
 class KneserNey:
-    word: list[np.ndarray]
-    pair: list[np.ndarray]
+    """The models' tables; of three, the last is of all documents."""
+
+    gram: list[np.ndarray]
+    context: list[np.ndarray]
     after: list[np.ndarray]
-    shared: np.ndarray
+    short: np.ndarray
     curve: np.ndarray
     base: float = 0.0
 
     @classmethod
     def of(cls, held: dict[str, np.ndarray]) -> KneserNey:
-        before = _distinct(held["before"])
-        shared = (before + 0.5) / (before.sum() + 0.5 * len(before))
-        both = [[held[f"{name}{c}"] for c in (0, 1)] for name in ("word", "pair")]
-        return cls([x.astype(np.float32) for x in both[0]], [x.astype(np.float32) for x in both[1]], [_distinct(held[f"after{c}"]) for c in (0, 1)], shared.astype(np.float32), np.zeros(3))
+        """From tables whose flags are packed."""
+        before = (_distinct(held["short"]) + 0.1).reshape(-1, 64)
+        gram, context = ([held[f"{what}{c}"].astype(np.float32) for c in "01a"] for what in ("gram", "context"))
+        return cls(gram, context, [_distinct(held[f"after{c}"]) for c in "01a"], (before / before.sum(axis=1, keepdims=True)).ravel().astype(np.float32), np.zeros(6))
 
     def two(self) -> bool:
-        return bool(self.word[0].any() and self.word[1].any())
+        return bool(self.gram[0].any() and self.gram[1].any())
 
-    def likelihood(self, c: int, word: np.ndarray, pair: np.ndarray, context: np.ndarray, own: bool) -> np.ndarray:
-        """Log-likelihood of each word under class ``c``; ``own`` takes the text's own counts out first."""
-        n, types = float(self.word[c].sum()), float((self.word[c] > 0).sum())
-        cw, cp, cv = self.word[c][word], self.pair[c][pair], self.word[c][context]
+    def _backed(self, c: int, g: Grams, p: np.ndarray, own: bool = False) -> np.ndarray:
+        """Each character's probability by model ``c`` over the backoff ``p``; ``own`` takes the texts' own counts out first."""
+        n, m = self.gram[c][g.gram], self.context[c][g.context]
         if own:
-            for values, at in ((cw, word), (cp, pair)):
+            for values, at in ((n, g.gram), (m, g.context)):
                 _, back, times = np.unique(at, return_inverse=True, return_counts=True)
                 values -= times[back]
-            cv = cv - np.bincount(np.unique(word, return_inverse=True)[1])[np.searchsorted(np.unique(word), context).clip(0, len(np.unique(word)) - 1)] * np.isin(context, word)
-            n -= len(word)
-        cw, cp, cv = np.maximum(cw, 0), np.maximum(cp, 0), np.maximum(cv, 0)
-        n = max(n, 1.0)
-        low = np.maximum(cw - DISCOUNT, 0) / n + min(1.0, DISCOUNT * max(types, 1) / n) * self.shared[word]
-        seen = np.maximum(cv, cp)
-        kinds = np.minimum(np.maximum(self.after[c][context], 1), np.maximum(seen, 1))
-        high = np.where(seen > 0, np.maximum(cp - DISCOUNT, 0) / np.maximum(seen, 1) + DISCOUNT * kinds / np.maximum(seen, 1) * low, low)
-        return np.log(high)
-
-    def evidence(self, text: str, own: int | None = None) -> tuple[float, int]:
-        """Mean over the words of toxic minus ordinary log-likelihood, and the number of words."""
-        word, pair, before, _ = cells(text)
-        if not len(word):
-            return 0.0, 0
-        context = (before & np.uint64((1 << WORD_BITS) - 1)).astype(np.int64)
-        toxic, plain = (self.likelihood(c, word, pair, context, own == c) for c in (1, 0))
-        return float(np.mean(toxic - plain)), len(word)
+        seen = np.maximum(np.maximum(m, n), 0)
+        gained = np.maximum(n - DISCOUNT, 0)
+        left = np.minimum(DISCOUNT * np.maximum(self.after[c][g.context], 1), seen - gained)
+        more = 0.0 if c == 2 else SHARED
+        return np.where(seen + more > 0, (gained + (left + more) * p) / np.maximum(seen + more, 1e-9), p)
+
+    def evidence(self, of: list[str], own: int | None = None) -> np.ndarray:
+        """For each text: the number of words, and two means over them of toxic minus ordinary log-likelihood.
+
+        The first is of what a word says within ``BULK`` either way: that follows the language and the style of a text.
+        The second is of what goes beyond, the mark of single expressions.
+        """
+        g = Grams.of(of)
+        p = self._backed(2, g, self.short[g.short])
+        toxic, plain = (self._backed(c, g, p, own == c) for c in (1, 0))
+        word = np.cumsum(g.first) - 1
+        number = g.number[g.first]
+        gap = np.bincount(word, np.log(toxic / plain), len(number))
+        bulk = np.clip(gap, -BULK, BULK)
+        n = np.bincount(number, minlength=len(of))
+        return np.stack([n, *(np.bincount(number, v, len(of)) / np.maximum(n, 1) for v in (bulk, gap - bulk))], axis=1)
 
     @staticmethod
     def inputs(found: np.ndarray) -> np.ndarray:
-        x, n = found[:, 0], found[:, 1]
-        return np.stack([np.ones(len(x)), x * np.sqrt(n), np.log1p(n) / 5], axis=1)
+        n, bulk, beyond = found.T
+        size = np.log1p(n) / 6
+        return np.stack([np.ones(len(n)), size, bulk, bulk * size, 10 * beyond, 10 * beyond * size], axis=1)
 
     def scores(self, found: np.ndarray) -> np.ndarray:
         if not self.two():
@@ -252,38 +298,42 @@ def train(docs: DataFrame, labels: DataFrame, *, keep=lambda key: F.lit(True), s
     model = KneserNey.of(counts(docs, labels, keep))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # some 15 MB, whatever the input
 
+    names = ["n", "bulk", "beyond"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             y = batch.column("y").to_pylist()
-            found = [shared.value.evidence(t, int(v >= 0.5)) for t, v in zip(texts(batch), y, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(y, pa.float64()), pa.array([x for x, _ in found], pa.float64()), pa.array([n for _, n in found], pa.float64())], ["doc_id", "y", "x", "n"])
+            found = np.array([shared.value.evidence([t], int(v >= 0.5))[0] for t, v in zip(texts(batch), y, strict=True)]).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(y, pa.float64()), *(pa.array(v) for v in found.T)], ["doc_id", "y", *names])
 
-    rows = training_rows(docs, labels, "toxic", keep, sample).mapInArrow(run, "doc_id bigint, y double, x double, n double")
-    rows = rows.groupBy("doc_id").agg(F.min(F.struct("x", "n", "y")).alias("r")).select("doc_id", "r.*").toArrow()
+    rows = training_rows(docs, labels, "toxic", keep, sample).mapInArrow(run, "doc_id bigint, y double, n double, bulk double, beyond double")
+    # a key that stands on several rows gives one of them, so that the bound holds
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct(*names, "y")).alias("r")).select("doc_id", "r.*").toArrow()
     order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")
     y = (rows["y"].to_numpy()[order] >= 0.5).astype(float)
     if len(y):
         model.base = float(y.mean())
     if model.two() and 0 < y.sum() < len(y):
-        model.curve = _curve(model.inputs(np.stack([rows["x"].to_numpy()[order], rows["n"].to_numpy()[order]], axis=1)), y)
+        model.curve = _curve(model.inputs(np.stack([rows[k].to_numpy()[order] for k in names], axis=1)), y)
     return model
 
 
 def score(docs: DataFrame, model: KneserNey, *, text: str = "text") -> DataFrame:
-    """``doc_id, evidence, n_words, score`` of every whole text; nothing is shuffled."""
+    """``doc_id, n_words, bulk, beyond, score`` of every whole text; nothing is shuffled."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            found = np.array([shared.value.evidence(t) for t in texts(batch, text)]).reshape(batch.num_rows, 2)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found[:, 0]), pa.array(found[:, 1].astype(np.int64)), pa.array(shared.value.scores(found))], ["doc_id", "evidence", "n_words", "score"])
+            found = shared.value.evidence(texts(batch, text))
+            made = [pa.array(found[:, 0].astype(np.int64)), pa.array(found[:, 1]), pa.array(found[:, 2]), pa.array(shared.value.scores(found))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made], ["doc_id", "n_words", "bulk", "beyond", "score"])
 
-    return docs.select("doc_id", text).mapInArrow(run, "doc_id bigint, evidence double, n_words bigint, score double")
+    return docs.select("doc_id", text).mapInArrow(run, "doc_id bigint, n_words bigint, bulk double, beyond double, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
-    """``doc_id, held_out, score, predicted, evidence, n_words`` of every document."""
+    """``doc_id, held_out, score, predicted`` and the evidence of every document."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     model = train(docs, labels, keep=lambda key: ~held_out(key, 3, 1), sample=sample)
     out = score(docs, model)
-    return out.select("doc_id", F.coalesce(held_out(F.col("doc_id"), 3, 1), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence", "n_words")
+    return out.select("doc_id", F.coalesce(held_out(F.col("doc_id"), 3, 1), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_words", "bulk", "beyond")
