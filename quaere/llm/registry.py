@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, quality, toxicity
+from . import bpe, decontaminate, fingerprints, licenses, quality, toxicity
 from .common import documents, table
 
 
@@ -19,16 +19,36 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices in every whole text."""
+    return licenses.scan(documents(spark, sf_dir))
+
+
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every whole text, of its edited text, and their likeness."""
+    return fingerprints.compare_edited(documents(spark, sf_dir))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every whole text."""
     return toxicity.classify(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the benchmark items they hold."""
+    return decontaminate.matches(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op3_quality": op3_quality,
+    "op4_licenses": op4_licenses,
+    "op5_fingerprints": op5_fingerprints,
     "op6_toxicity": op6_toxicity,
+    "op7_decontaminate": op7_decontaminate,
 }
 
-#: None of these can be put in SQL with the same results, or SQL is too slow on whole tables: see tests/llm.
-ORACLE_SQL: dict[str, str] = {}
+#: The others can't be put in SQL with the same results, or SQL is too slow on whole tables: see tests/llm.
+ORACLE_SQL = {
+    "op4_licenses": licenses.oracle_sql(),
+}
