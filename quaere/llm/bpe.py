@@ -82,7 +82,7 @@ class RankQueue:
         return rank, held
 
 
-def merge(tokens: list[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
+def merge(tokens: list[bytes], ranks: dict[bytes, int]) -> list[tuple[int, ...]]:
     """Ids of each pre-token: always its pair of least rank, the leftmost of equals, is merged next.
 
     The pre-tokens lie end to end in one list and share one queue; no pair spans two of them.
@@ -151,7 +151,7 @@ def merge(tokens: list[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
         while at < end:
             ids.append(ranks[text[at : after[at]]])
             at = after[at]
-        out.append(ids)
+        out.append(tuple(ids))  # the garbage collector leaves tuples of numbers alone
     return out
 
 
@@ -163,17 +163,17 @@ class Codec:
         self.find = regex.compile(pattern).findall
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.name_of = {i: str(i) for i in ranks.values()}
-        self.known: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def learn(self, words: set[str]) -> None:
         """Make the ids of words that aren't known known."""
-        fresh: dict[str, list[int]] = {}
+        fresh: dict[str, tuple[int, ...]] = {}
         for word in words.intersection(self.older):
             fresh[word] = self.older[word]
         rest = [(w, w.encode()) for w in words.difference(fresh)]
         whole = self.ranks.get
-        fresh |= {w: [i] for w, raw in rest if (i := whole(raw)) is not None}
+        fresh |= {w: (i,) for w, raw in rest if (i := whole(raw)) is not None}
         rest = [(w, raw) for w, raw in rest if w not in fresh]
         fresh.update(zip([w for w, _ in rest], merge([raw for _, raw in rest], self.ranks), strict=True))
         self.known |= fresh
