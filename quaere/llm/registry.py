@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, fingerprints, licenses, quality, toxicity
+from . import bpe, decontaminate, fingerprints, licenses, lines, quality, toxicity
 from .common import documents, table
 
 
@@ -39,6 +39,11 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without the chunks of lines that stand elsewhere before."""
+    return lines.dedup(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op3_quality": op3_quality,
@@ -46,9 +51,11 @@ QUERIES = {
     "op5_fingerprints": op5_fingerprints,
     "op6_toxicity": op6_toxicity,
     "op7_decontaminate": op7_decontaminate,
+    "op10_lines": op10_lines,
 }
 
 #: The others can't be put in SQL with the same results, or SQL is too slow on whole tables: see tests/llm.
 ORACLE_SQL = {
     "op4_licenses": licenses.oracle_sql(),
+    "op10_lines": lines.ORACLE_SQL,
 }
