@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, fingerprints, licenses, lines, quality, toxicity
+from . import bpe, decontaminate, fingerprints, licenses, lines, pii, quality, toxicity
 from .common import documents, table
 
 
@@ -39,6 +39,11 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole text."""
+    return pii.digests(documents(spark, sf_dir))
+
+
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text without the chunks of lines that stand elsewhere before."""
     return lines.dedup(documents(spark, sf_dir))
@@ -51,6 +56,7 @@ QUERIES = {
     "op5_fingerprints": op5_fingerprints,
     "op6_toxicity": op6_toxicity,
     "op7_decontaminate": op7_decontaminate,
+    "op9_pii": op9_pii,
     "op10_lines": op10_lines,
 }
 
