@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, fingerprints, licenses, lines, pii, quality, toxicity
+from . import bpe, decontaminate, fingerprints, licenses, lines, pii, quality, suffixes, toxicity
 from .common import documents, table
 
 
@@ -39,6 +39,11 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without its repeated strings of 200 bytes, as digests."""
+    return suffixes.digests(documents(spark, sf_dir))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every whole text."""
     return pii.digests(documents(spark, sf_dir))
@@ -56,6 +61,7 @@ QUERIES = {
     "op5_fingerprints": op5_fingerprints,
     "op6_toxicity": op6_toxicity,
     "op7_decontaminate": op7_decontaminate,
+    "op8_suffixes": op8_suffixes,
     "op9_pii": op9_pii,
     "op10_lines": op10_lines,
 }
