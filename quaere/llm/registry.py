@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, fingerprints, licenses, lines, pii, quality, suffixes, toxicity
+from . import bpe, decontaminate, fingerprints, jaccard, licenses, lines, pii, quality, suffixes, toxicity
 from .common import documents, table
 
 
@@ -14,6 +14,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document at a Jaccard similarity of 0.8 of five-word shingles."""
+    return jaccard.join(documents(spark, sf_dir))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every whole text."""
     return quality.classify(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
@@ -56,6 +61,7 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_jaccard": op2_jaccard,
     "op3_quality": op3_quality,
     "op4_licenses": op4_licenses,
     "op5_fingerprints": op5_fingerprints,
