@@ -1,4 +1,6 @@
 """Registered queries and the SQL they are held against."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from .oracles import ORACLE_SQL
+from .queries import QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
