@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, texts
+from .common import bounded_batches, pieces, texts
 
 #: Pre-tokens of a generation whose ids a worker keeps; when it is full, the one before it goes.  Bounds memory only, never results.
 CACHE_ENTRIES = 400_000
@@ -214,6 +214,7 @@ def _codec(key: object, ranks: dict[bytes, int], pattern: str) -> Codec:
 
 
 def _mapped(docs: DataFrame, columns: list[str], make, schema: str, path: str, pattern: str) -> DataFrame:
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(load_ranks(path))  # a vocabulary file: about a megabyte
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, pieces, texts
+from .common import SHINGLE_WORDS, bounded_batches, pieces, texts
 
 #: Share of an item's words from which a document is taken to hold it.
 COVERAGE = 0.5
@@ -202,6 +202,7 @@ def _parts(benchmark: DataFrame, least: int, part_words: int) -> list[Benchmark]
 
 def matches(docs: DataFrame, benchmark: DataFrame, *, least: int = SHINGLE_WORDS, coverage: float = COVERAGE, part_words: int = PART_WORDS) -> DataFrame:
     """A row for each document and item whose coverage is reached: ``doc_id, item_id, item_words, covered, coverage, tiles``."""
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     schema = "doc_id bigint, item_id bigint, item_words int, covered int, coverage double, tiles array<struct<doc_at:int,item_at:int,length:int>>"
     tile = pa.list_(pa.struct([("doc_at", pa.int32()), ("item_at", pa.int32()), ("length", pa.int32())]))
@@ -227,6 +228,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, least: int = SHINGLE_WORDS
 
 def remove(docs: DataFrame, benchmark: DataFrame, *, least: int = SHINGLE_WORDS, coverage: float = COVERAGE, part_words: int = PART_WORDS) -> DataFrame:
     """The documents that hold no item of the benchmark, with all their columns; nothing is moved."""
+    bounded_batches(docs.sparkSession)
     for part in _parts(benchmark, least, part_words):
         shared = docs.sparkSession.sparkContext.broadcast(part)
 

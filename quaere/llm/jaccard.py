@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NEAR, SHINGLE_WORDS, checkpoint_dir, cut, pieces, texts
+from .common import NEAR, SHINGLE_WORDS, bounded_batches, checkpoint_dir, cut, pieces, texts
 
 SIMILARITY, RECALL = NEAR, 0.9999
 COORDINATES, LIMIT, DEPTH = 64, 1024, 3
@@ -278,6 +278,7 @@ def components(edges: DataFrame) -> DataFrame:
 def join(docs: DataFrame, *, limit: int = LIMIT, depth: int = DEPTH) -> DataFrame:
     """Of every document: ``class_id``, ``set_id`` (the least key with its very set), ``n_links`` (other documents
     at the threshold, copies included) and ``n_set_links`` (different sets among them)."""
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     all_rows = _stage(docs.mapInArrow(_describe, "doc_id bigint, set bigint, low bigint, signs array<int>"))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, texts
+from .common import bounded_batches, pieces, texts
 
 FEATURES = (
     "log_chars", "log_words", "word_length", "upper", "digit", "space", "stop", "comma", "bang", "bar", "symbol", "other_ascii", "high_bytes",
@@ -228,6 +228,7 @@ def train(docs: DataFrame, labels: DataFrame, *, keep=lambda key: F.lit(True), s
             x = matrix(texts(batch)).astype(np.float32)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(list(x), pa.list_(pa.float32()))], ["doc_id", "y", "x"])
 
+    bounded_batches(docs.sparkSession)
     # a key that stands on several rows gives one of them, so that the bound holds
     rows = training_rows(docs, labels, "quality", keep, sample).mapInArrow(run, "doc_id bigint, y double, x array<float>")
     rows = rows.groupBy("doc_id").agg(F.min(F.struct("x", "y")).alias("r")).select("doc_id", "r.x", "r.y").toArrow()
@@ -240,6 +241,7 @@ def train(docs: DataFrame, labels: DataFrame, *, keep=lambda key: F.lit(True), s
 
 def score(docs: DataFrame, model: Additive, *, columns: tuple[str, ...] = ("doc_id",), output: str = "score", text: str = "text") -> DataFrame:
     """``columns`` and the score of every row's whole text; nothing is shuffled."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # some tables of at most 64 numbers
     kinds = [docs.schema[c] for c in columns]
 

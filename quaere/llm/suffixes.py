@@ -16,8 +16,11 @@ sorted one at a time:
    suffix's four cover places, with those of its ends, tell all of LENGTH bytes, and no
    tie is ever followed byte by byte.
    One block of buckets, at most ``BLOCK_BYTES`` unless a bucket alone is larger, is in memory.
-4. A bucket of more than ``HOT`` runs isn't gathered: each of its strings is counted by a
-   128-bit digest instead, first on the map side.
+4. A bucket of more than ``HOT`` runs isn't gathered: its runs are counted by 128-bit
+   digests, first within documents and on the map side.  Equal runs are repeats throughout.
+   Of each different run one goes on, cut into pieces of up to eight suffixes that keep their
+   distance from the anchor, in buckets by what all strings of a piece have in common.  Should
+   one of these be as large again, its strings are counted by digests, one by one.
 
 Matches never cross documents, as runs don't.  Texts move once (to their runs' places; the
 last join reuses that exchange).
@@ -39,11 +42,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint_dir, pieces
+from .common import bounded_batches, checkpoint_dir, cut, pieces
 
 LENGTH, GRAM = 200, 32
 #: Runs of a bucket that one task gathers, at most, and bytes of a block.
 HOT, BLOCK_BYTES = 8192, 1 << 20
+#: Suffixes of a piece of a run, at most.
+PIECE = 8
 #: A perfect difference set: every residue is a difference of two of its members.
 MODULUS, COVER = 13, (0, 1, 3, 9)
 
@@ -94,10 +99,9 @@ def runs(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     if len(data) < LENGTH:
         return none.astype(np.uint64), none, none, none
     grams = _grams(data)
-    bits = np.uint64(max(1, int(len(grams)).bit_length()))
-    place = np.arange(len(grams), dtype=np.uint64)
-    least = _sliding_least((grams >> bits << bits) | place, LENGTH - GRAM + 1)
-    anchor = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    half = np.uint64(32)  # the upper half of a hash ranks it; equal ones go by place
+    least = _sliding_least((grams >> half << half) | np.arange(len(grams), dtype=np.uint64), LENGTH - GRAM + 1)
+    anchor = (least & np.uint64((1 << 32) - 1)).astype(np.int64)
     text = np.searchsorted(ends, np.arange(len(least)), side="right")
     inside = np.arange(len(least)) + LENGTH <= ends[np.minimum(text, len(ends) - 1)]
     begins = np.ones(len(least), bool)
@@ -185,7 +189,9 @@ def _spans(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
-_OUT = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("at", pa.int32()), ("until", pa.int32())])
+_SPANS = pa.list_(pa.struct([("at", pa.int32()), ("until", pa.int32())]))
+_OUT = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("spans", _SPANS)])
+_OUT_DDL = "doc_id bigint, row bigint, spans array<struct<at:int,until:int>>"
 
 
 def _block(rows: list[tuple]) -> pa.RecordBatch:
@@ -200,11 +206,12 @@ def _block(rows: list[tuple]) -> pa.RecordBatch:
     if rest:
         for key, found in zip(rest, repeats([k[1] for k in rest], [owners[k][0][2] for k in rest]), strict=True):
             flags[key] = found | flags[key] if key in flags else found
-    out: list[tuple[int, int, int, int]] = []
+    out: dict[tuple[int, int], list[dict]] = {}
     for key, found in flags.items():
         for a, b in _spans(found):
-            out += [(doc, row, place + a, place + b + LENGTH - 1) for doc, row, place in owners[key]]
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 4, _OUT.types, strict=True)], schema=_OUT)
+            for doc, row, place in owners[key]:
+                out.setdefault((doc, row), []).append({"at": place + a, "until": place + b + LENGTH - 1})
+    return pa.RecordBatch.from_arrays([pa.array([k[0] for k in out], pa.int64()), pa.array([k[1] for k in out], pa.int64()), pa.array(list(out.values()), _SPANS)], schema=_OUT)
 
 
 def _sorted_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,24 +229,60 @@ def _sorted_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield _block(held)
 
 
-def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _fetched_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Of each document: ``(bucket, place, data, doc_id, row)`` of the runs that are wanted."""
     for batch in pieces(batches, 256):
-        out: list[list] = [[], [], [], [], []]
         for doc, row, data, found in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "data", "runs")), strict=True):
-            for r in found:
-                place, n = r["run"] >> 16, r["run"] & 0xFFFF
-                if place + n + LENGTH - 1 <= len(data):
-                    for k, v in enumerate((r["bucket"], place, data[place : place + n + LENGTH - 1], doc, row)):
-                        out[k].append(v)
+            ends = [(r["bucket"], r["run"] >> 16, (r["run"] >> 16) + (r["run"] & 0xFFFF) + LENGTH - 1) for r in found]
+            yield [(bucket, a, data[a:b], doc, row) for bucket, a, b in ends if b <= len(data)]
+
+
+def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for runs_of in _fetched_runs(batches):
+        out = list(zip(*runs_of, strict=True)) or [[]] * 5
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()), strict=True)], ["bucket", "place", "data", "doc_id", "row"])
 
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _fetch(batches):
-        for place, data, doc, row in zip(*(batch.column(c).to_pylist() for c in ("place", "data", "doc_id", "row")), strict=True):
+def _digest_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each different run of a document, with all its places there."""
+    for runs_of in _fetched_runs(batches):
+        places: dict[tuple[int, bytes, int], list[int]] = {}
+        for bucket, place, data, _, _ in runs_of:
+            places.setdefault((bucket, xxhash.xxh3_128_digest(data), len(data)), []).append(place)
+        n = len(places)
+        if n:
+            doc, row = runs_of[0][3:]
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in places], pa.int64()), pa.array([k[1] for k in places], pa.binary()), pa.array([k[2] for k in places], pa.int32()), pa.array(list(places.values()), pa.list_(pa.int32())), pa.array([doc] * n, pa.int64()), pa.array([row] * n, pa.int64())], ["bucket", "digest", "size", "places", "doc_id", "row"])
+
+
+def _pieces_of_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs cut up by their suffixes' distance from the anchor, under the hash of what a piece's strings share."""
+    for runs_of in _fetched_runs(batches):
+        out: list[list] = [[], [], [], [], []]
+        for bucket, place, data, doc, row in runs_of:
             n = len(data) - LENGTH + 1
-            found = [xxhash.xxh3_128_digest(data[k : k + LENGTH]) for k in range(n)]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array([doc] * n, pa.int64()), pa.array([row] * n, pa.int64()), pa.array(range(place, place + n), pa.int32())], ["digest", "doc_id", "row", "at"])
+            anchor = int((_grams(np.frombuffer(data, np.uint8))[: LENGTH - GRAM + 1] >> np.uint64(32)).argmin())
+            begin = 0
+            while begin < n:
+                end = min(n, begin + (anchor - begin) % PIECE + 1)
+                # what all strings at these distances share, whether or not this run has all of them
+                number = (anchor - begin) // PIECE
+                shared = anchor - number * PIECE
+                common = xxhash.xxh3_64_intdigest(data[shared : shared + LENGTH - PIECE + 1], (bucket + number) & (1 << 64) - 1)
+                for k, v in enumerate((common - (1 << 63), place + begin, data[begin : end + LENGTH - 1], doc, row)):
+                    out[k].append(v)
+                begin = end
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()), strict=True)], ["bucket", "place", "data", "doc_id", "row"])
+
+
+def _digest_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in pieces(batches):
+        out: list[list] = [[], [], [], []]
+        for place, data, doc, row in zip(*(batch.column(c).to_pylist() for c in ("place", "data", "doc_id", "row")), strict=True):
+            for k in range(len(data) - LENGTH + 1):
+                for i, v in enumerate((xxhash.xxh3_128_digest(data[k : k + LENGTH]), doc, row, place + k)):
+                    out[i].append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.binary(), pa.int64(), pa.int64(), pa.int32()), strict=True)], ["digest", "doc_id", "row", "at"])
 
 
 def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,7 +290,7 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[list] = [[], [], [], []]
         for data, spans in zip(batch.column("data").to_pylist(), batch.column("spans").to_pylist(), strict=True):
             merged: list[list[int]] = []
-            for a, b in sorted((s["at"], s["until"]) for s in spans or []):
+            for a, b in sorted((s["at"], s["until"]) for part in spans or [] for s in part):
                 if merged and a <= merged[-1][1]:
                     merged[-1][1] = max(merged[-1][1], b)
                 else:
@@ -264,6 +307,7 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def removed(docs: DataFrame, *, hot: int = HOT) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept binary`` of every document."""
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     of = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("data"))
     of = of.select("doc_id", F.xxhash64("doc_id", "data").alias("row"), "data")
@@ -272,18 +316,31 @@ def removed(docs: DataFrame, *, hot: int = HOT) -> DataFrame:
     found = spark.read.parquet(path)
     often = found.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
 
-    def fetched(buckets: DataFrame, to, schema: str) -> DataFrame:
-        lists = found.join(buckets.select("bucket"), "bucket").groupBy(F.col("row").alias("_row")).agg(F.collect_list(F.struct("bucket", "run")).alias("runs"))
+    def fetched(wanted: DataFrame, to, schema: str) -> DataFrame:
+        """``wanted`` are ``bucket, row, run``."""
+        lists = wanted.groupBy(F.col("row").alias("_row")).agg(F.collect_list(F.struct("bucket", "run")).alias("runs"))
         return of.join(lists, F.col("row") == F.col("_row")).select("doc_id", "row", "data", "runs").mapInArrow(to, schema)
 
     parts = spark.conf.get("spark.sql.shuffle.partitions")
-    rows = fetched(often.where(F.col("n") <= hot), _fetch, "bucket bigint, place int, data binary, doc_id bigint, row bigint")
-    spans = rows.repartition(int(parts), "bucket").sortWithinPartitions("bucket").mapInArrow(_sorted_blocks, "doc_id bigint, row bigint, at int, until int")
+    rows = fetched(found.join(often.where(F.col("n") <= hot).select("bucket"), "bucket"), _fetch, "bucket bigint, place int, data binary, doc_id bigint, row bigint")
+    spans = None
     if often.where(F.col("n") > hot).limit(1).count():
-        counted = fetched(often.where(F.col("n") > hot), _digest, "digest binary, doc_id bigint, row bigint, at int")
-        twice = counted.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
-        spans = spans.unionByName(counted.join(twice, "digest").select("doc_id", "row", "at", (F.col("at") + LENGTH).alias("until")))
-    lists = spans.groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).agg(F.collect_list(F.struct("at", "until")).alias("spans"))
+        of_hot = fetched(found.join(often.where(F.col("n") > hot).select("bucket"), "bucket"), _digest_runs, "bucket bigint, digest binary, size int, places array<int>, doc_id bigint, row bigint")
+        of_hot = cut(of_hot)
+        first = F.struct("row", (F.shiftleft(F.get("places", F.lit(0)).cast("bigint"), 16) + F.col("size") - LENGTH + 1).alias("run"))
+        kinds = cut(of_hot.groupBy("bucket", "digest").agg(F.sum(F.size("places")).alias("n"), F.min(first).alias("first")))
+        equal = of_hot.join(kinds.where("n > 1").select("bucket", "digest"), ["bucket", "digest"])
+        spans = equal.select("doc_id", "row", F.transform("places", lambda p: F.struct(p.alias("at"), (p + F.col("size")).alias("until"))).cast("array<struct<at:int,until:int>>").alias("spans"))
+        cuts = cut(fetched(kinds.select("bucket", "first.row", "first.run"), _pieces_of_runs, "bucket bigint, place int, data binary, doc_id bigint, row bigint"))
+        shared = cuts.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+        rows = rows.unionByName(cuts.join(shared.where(F.col("n") <= hot).select("bucket"), "bucket").select(*rows.columns))
+        if shared.where(F.col("n") > hot).limit(1).count():
+            counted = cuts.join(shared.where(F.col("n") > hot).select("bucket"), "bucket").mapInArrow(_digest_strings, "digest binary, doc_id bigint, row bigint, at int")
+            twice = counted.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
+            spans = spans.unionByName(counted.join(twice, "digest").select("doc_id", "row", F.array(F.struct(F.col("at"), (F.col("at") + LENGTH).alias("until"))).alias("spans")))
+    blocks = rows.repartition(int(parts), "bucket").sortWithinPartitions("bucket").mapInArrow(_sorted_blocks, _OUT_DDL)
+    spans = blocks if spans is None else blocks.unionByName(spans)
+    lists = spans.groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).agg(F.collect_list("spans").alias("spans"))
     # a null key has its own spans, and a row's hash alone decides nothing
     both = of.join(lists, F.col("row") == F.col("_row"), "left").withColumn("spans", F.when(F.col("doc_id").eqNullSafe(F.col("_id")), F.col("spans")))
     return both.select("doc_id", "data", "spans").mapInArrow(_keep, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")

@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, texts
+from .common import bounded_batches, pieces, texts
 from .quality import held_out, training_rows
 
 #: Characters of the longest and of the short context, and the cells of the tables of grams and of contexts as powers of two.
@@ -192,6 +192,7 @@ def counts(docs: DataFrame, labels: DataFrame, keep) -> dict[str, np.ndarray]:
     """The tables over all documents; ``keep`` picks the keys that labels are learnt from."""
     rows = labels.select(F.col("doc_id").alias("_key"), F.col("toxic").cast("double").alias("_y")).where(F.col("_y").isNotNull() & F.col("_key").isNotNull() & keep(F.col("_key")))
     rows = rows.groupBy("_key").agg(F.avg("_y").alias("y"))
+    bounded_batches(docs.sparkSession)
     # labels are a few bytes a row: they are brought to the texts where they are few, and else both are dealt by key
     few = rows.limit(FEW_LABELS + 1).count() <= FEW_LABELS
     labelled = docs.select("doc_id", "text").join(F.broadcast(rows) if few else rows, F.col("doc_id") == F.col("_key"), "left").select("text", "y")
