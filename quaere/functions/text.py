@@ -75,14 +75,13 @@ def analyze(text: Column, *, stopwords: bool = True, stemmed: bool = True, keep_
     return F.filter(out, lambda t: t != "")
 
 
-@F.pandas_udf("string")
 def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
 def normalise(text: Column) -> Column:
     """Canonical Unicode and white space.  Only texts beyond ASCII reach Python, for which Spark has no NFKC."""
-    nfkc = F.when(F.regexp_like(text, F.lit(r"[^\x00-\x7F]")), _nfkc(text)).otherwise(text)
+    nfkc = F.when(F.regexp_like(text, F.lit(r"[^\x00-\x7F]")), F.pandas_udf(_nfkc, "string")(text)).otherwise(text)
     out = F.regexp_replace(nfkc, "\r\n?", "\n")
     out = F.regexp_replace(out, "[ \t\u00a0]+", " ")
     out = F.regexp_replace(out, "\n{3,}", "\n\n")

@@ -125,12 +125,13 @@ def intent(x: str) -> str:
 ANSWER = f"CASE WHEN {question_type('lower(' + stripped('b.text') + ')')} IN ('DEFINITION', 'EXPLANATION') AND length(sentence) < 130 AND next_end IS NOT NULL THEN next_end ELSE a.a + length(sentence) END"
 
 
-def normal(x: str) -> str:
-    return flat(rf"regexp_replace(translate(lower({x}), {s(PUNCTUATION)}, ''), '\b(a|an|the)\b', ' ', 'g')")
+def words(x: str) -> str:
+    """Words of a normal form; articles stand alone once punctuation has gone."""
+    return f"list_filter(string_split({flat(f'translate(lower({x}), {s(PUNCTUATION)}, {s(str())})')}, ' '), lambda w: w NOT IN ('', 'a', 'an', 'the'))"
 
 
-def words(x: str) -> str:
-    return f"list_filter(string_split({normal(x)}, ' '), lambda w: w <> '')"
+def normal(x: str) -> str:
+    return f"array_to_string({words(x)}, ' ')"
 
 
 METRICS = f"""{SENTENCE_ANSWERS},

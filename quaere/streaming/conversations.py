@@ -46,8 +46,11 @@ class Slots:
         return question, self.subject(question) or topic
 
 
-def topics(turns: DataFrame, subjects: list[tuple[str, int]], aliases: list[tuple[str, str]], *, idle_ms: int = IDLE_MS) -> DataFrame:
-    """``conv_id, turn, text, intent, question, topic`` of a stream of ``conv_id, turn, text``; turns of a batch are taken in their order."""
+def topics(turns: DataFrame, subjects: list[tuple[str, int]], aliases: list[tuple[str, str]], *, idle_ms: int | None = IDLE_MS) -> DataFrame:
+    """``conv_id, turn, text, intent, question, topic`` of a stream of ``conv_id, turn, text``; turns of a batch are taken in their order.
+
+    Without ``idle_ms`` a topic is kept for ever; with it, a stream goes on making batches to look for idle conversations.
+    """
     slots = Slots(subjects, aliases)
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -60,9 +63,10 @@ def topics(turns: DataFrame, subjects: list[tuple[str, int]], aliases: list[tupl
             question, topic = slots.step(row.text, row.intent, topic)
             out.append((key[0], row.turn, row.text, row.intent, question, topic))
         state.update((topic,))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["conv_id", "turn", "text", "intent", "question", "topic"])
 
     kind = turns.schema["conv_id"].dataType.simpleString()
     rows = turns.select("conv_id", F.col("turn").cast("bigint").alias("turn"), stripped(F.col("text")).alias("text")).where("text <> ''").withColumn("intent", intent(F.col("text")))
-    return rows.groupBy("conv_id").applyInPandasWithState(fold, f"conv_id {kind}, turn bigint, text string, intent string, question string, topic string", "topic string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("conv_id").applyInPandasWithState(fold, f"conv_id {kind}, turn bigint, text string, intent string, question string, topic string", "topic string", "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
