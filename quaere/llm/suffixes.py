@@ -47,6 +47,8 @@ from .common import bounded_batches, checkpoint_dir, cut, pieces
 LENGTH, GRAM = 200, 32
 #: Runs of a bucket that one task gathers, at most, and bytes of a block.
 HOT, BLOCK_BYTES = 8192, 1 << 20
+#: Runs of hot buckets up to which their list is broadcast: some 30 bytes each.
+FEW_RUNS = 1_000_000
 #: Suffixes of a piece of a run, at most.
 PIECE = 8
 #: A perfect difference set: every residue is a difference of two of its members.
@@ -316,22 +318,24 @@ def removed(docs: DataFrame, *, hot: int = HOT) -> DataFrame:
     found = spark.read.parquet(path)
     often = found.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
 
-    def fetched(wanted: DataFrame, to, schema: str) -> DataFrame:
-        """``wanted`` are ``bucket, row, run``."""
+    def fetched(wanted: DataFrame, to, schema: str, few: bool = False) -> DataFrame:
+        """``wanted`` are ``bucket, row, run``; a few are sent to the texts, for many the texts move."""
         lists = wanted.groupBy(F.col("row").alias("_row")).agg(F.collect_list(F.struct("bucket", "run")).alias("runs"))
-        return of.join(lists, F.col("row") == F.col("_row")).select("doc_id", "row", "data", "runs").mapInArrow(to, schema)
+        return of.join(F.broadcast(lists) if few else lists, F.col("row") == F.col("_row")).select("doc_id", "row", "data", "runs").mapInArrow(to, schema)
 
     parts = spark.conf.get("spark.sql.shuffle.partitions")
     rows = fetched(found.join(often.where(F.col("n") <= hot).select("bucket"), "bucket"), _fetch, "bucket bigint, place int, data binary, doc_id bigint, row bigint")
     spans = None
-    if often.where(F.col("n") > hot).limit(1).count():
-        of_hot = fetched(found.join(often.where(F.col("n") > hot).select("bucket"), "bucket"), _digest_runs, "bucket bigint, digest binary, size int, places array<int>, doc_id bigint, row bigint")
+    n_hot = often.where(F.col("n") > hot).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if n_hot:
+        few = n_hot <= FEW_RUNS
+        of_hot = fetched(found.join(often.where(F.col("n") > hot).select("bucket"), "bucket"), _digest_runs, "bucket bigint, digest binary, size int, places array<int>, doc_id bigint, row bigint", few)
         of_hot = cut(of_hot)
         first = F.struct("row", (F.shiftleft(F.get("places", F.lit(0)).cast("bigint"), 16) + F.col("size") - LENGTH + 1).alias("run"))
         kinds = cut(of_hot.groupBy("bucket", "digest").agg(F.sum(F.size("places")).alias("n"), F.min(first).alias("first")))
         equal = of_hot.join(kinds.where("n > 1").select("bucket", "digest"), ["bucket", "digest"])
         spans = equal.select("doc_id", "row", F.transform("places", lambda p: F.struct(p.alias("at"), (p + F.col("size")).alias("until"))).cast("array<struct<at:int,until:int>>").alias("spans"))
-        cuts = cut(fetched(kinds.select("bucket", "first.row", "first.run"), _pieces_of_runs, "bucket bigint, place int, data binary, doc_id bigint, row bigint"))
+        cuts = cut(fetched(kinds.select("bucket", "first.row", "first.run"), _pieces_of_runs, "bucket bigint, place int, data binary, doc_id bigint, row bigint", few))
         shared = cuts.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
         rows = rows.unionByName(cuts.join(shared.where(F.col("n") <= hot).select("bucket"), "bucket").select(*rows.columns))
         if shared.where(F.col("n") > hot).limit(1).count():
