@@ -79,8 +79,9 @@ def respond(turns: DataFrame, *, documents: DataFrame, passages: DataFrame, post
 
     Facts are tried first, and only what they leave open is searched for.
     """
-    rows = with_topics(described(turns, facts_, aliases)).withColumn("query_id", F.struct("conv_id", "turn"))
-    asked = rows.where("intent = 'question'").select("query_id", F.col("question").alias("text"))
+    rows = with_topics(described(turns, facts_, aliases)).withColumn("query_id", F.col("question"))
+    # a question that many conversations ask is answered once
+    asked = rows.where("intent = 'question'").select("query_id", F.col("question").alias("text")).distinct()
     known = facts.answer(asked, facts_, cues, aliases)
     open_ = asked.join(known.select("query_id"), "query_id", "left_anti")
     hits = index.search(open_, postings, stats, k=params.top_k, params=params)

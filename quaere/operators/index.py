@@ -6,6 +6,7 @@ rounded to six places before they are ranked, so that the order of summation doe
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,9 +34,18 @@ def lengths(units_: DataFrame) -> DataFrame:
     return units_.select("unit_id", F.size(analyze(F.col("text"))).alias("length"))
 
 
-def index_stats(units_: DataFrame) -> DataFrame:
-    """One row: the number of units and their mean length (0 if there are none)."""
-    return lengths(units_).agg(F.count("*").alias("n"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("avg_length"))
+def index_stats(units_: DataFrame, postings_: DataFrame | None = None) -> DataFrame:
+    """One row: the number of units and their mean length (0 if there are none); from stored postings, if there are any."""
+    if postings_ is None:
+        return lengths(units_).agg(F.count("*").alias("n"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("avg_length"))
+    total = postings_.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("_total"))
+    n = units_.agg(F.count("*").alias("n"))
+    return n.join(F.broadcast(total)).select("n", F.when(F.col("n") == 0, 0.0).otherwise(F.col("_total") / F.col("n")).alias("avg_length"))
+
+
+def stored(postings_: DataFrame) -> DataFrame:
+    """Postings kept by the executors, in memory as far as it goes: a ranking reads them several times."""
+    return postings_.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def vocabulary(postings_: DataFrame, stats: DataFrame) -> DataFrame:

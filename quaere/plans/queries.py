@@ -55,32 +55,39 @@ def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.units(t.documents(spark, sf_dir), "doc_id", ["doc_ord"])
 
 
+def _postings(units: DataFrame) -> DataFrame:
+    return index.stored(index.postings(units))
+
+
 def term_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.postings(_units(spark, sf_dir)).select("term", F.col("unit_id").alias("doc_id"), "tf", "length")
 
 
 def vocabulary_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = _units(spark, sf_dir)
-    out = index.vocabulary(index.postings(units), index.index_stats(units))
+    posted = _postings(units)
+    out = index.vocabulary(posted, index.index_stats(units, posted))
     return out.select("term", "df", F.round("idf", 6).alias("idf"), F.round("idf_tfidf", 6).alias("idf_tfidf"))
 
 
 def passage_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = _units(spark, sf_dir)
-    posted = index.postings(units)
-    norms = index.norms(posted, index.vocabulary(posted, index.index_stats(units)))
+    posted = _postings(units)
+    norms = index.norms(posted, index.vocabulary(posted, index.index_stats(units, posted)))
     return index.lengths(units).join(norms, "unit_id", "left").select(F.col("unit_id").alias("doc_id"), "length", F.round(F.coalesce("norm", F.lit(1.0)), 6).alias("norm"))
 
 
 def index_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = _units(spark, sf_dir)
-    n = index.postings(units).select("term").distinct().agg(F.count("*").alias("vocabulary"))
-    return index.index_stats(units).join(n).select("n", "vocabulary", F.round("avg_length", 1).alias("avg_length"), F.lit(DEFAULTS.k1).alias("k1"), F.lit(DEFAULTS.b).alias("b"))
+    posted = _postings(units)
+    n = posted.select("term").distinct().agg(F.count("*").alias("vocabulary"))
+    return index.index_stats(units, posted).join(n).select("n", "vocabulary", F.round("avg_length", 1).alias("avg_length"), F.lit(DEFAULTS.k1).alias("k1"), F.lit(DEFAULTS.b).alias("b"))
 
 
 def _ranked(spark: SparkSession, sf_dir: str, scorer: str) -> DataFrame:
     units = _units(spark, sf_dir)
-    return index.search(t.benchmark(spark, sf_dir), index.postings(units), index.index_stats(units), scorer=scorer)
+    posted = _postings(units)
+    return index.search(t.benchmark(spark, sf_dir), posted, index.index_stats(units, posted), scorer=scorer)
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +101,8 @@ def tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _passage_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     cut = passages.passages(t.documents(spark, sf_dir))
     units = index.units(cut, "passage_id", ["doc_ord", "index"])
-    return cut, index.postings(units), index.index_stats(units)
+    posted = _postings(units)
+    return cut, posted, index.index_stats(units, posted)
 
 
 def document_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,14 +114,15 @@ def document_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def score_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = _units(spark, sf_dir)
-    out = index.explain(t.benchmark(spark, sf_dir), index.postings(units), index.index_stats(units))
+    posted = _postings(units)
+    out = index.explain(t.benchmark(spark, sf_dir), posted, index.index_stats(units, posted))
     return out.withColumnRenamed("unit_id", "doc_id")
 
 
 def unknown_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms of questions and of benchmark items that no document has."""
     asked = t.fact_questions(spark, sf_dir).unionByName(t.benchmark(spark, sf_dir).withColumn("query_id", -100 - F.col("query_id")))
-    return index.unknown_terms(asked, index.postings(_units(spark, sf_dir)).select("term").distinct())
+    return index.unknown_terms(asked, _postings(_units(spark, sf_dir)).select("term").distinct())
 
 
 def coverage_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
