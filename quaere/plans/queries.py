@@ -244,13 +244,13 @@ def stream_topic_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The topic fold over conversations read as a stream, into a table in memory."""
     from ..streaming.conversations import topics
 
-    names = [(r["subject"], r["ord"]) for r in t.facts(spark, sf_dir).where("relation = 'located_in'").select("subject", "ord").collect()]  # 25 nations
+    names = [(r["subject"], r["ord"]) for r in kb.subjects(t.facts(spark, sf_dir)).collect()]
     source = t.read(spark, sf_dir, "conversations")
     stream = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/conversation[s].parquet")  # a pattern: a stream takes no single file
     live = topics(stream.where("role = 'user'").select("conv_id", "turn", "text"), names, t.ALIASES, idle_ms=None)
     query = live.writeStream.format("memory").queryName("quaere_topics").outputMode("append").trigger(availableNow=True).start()
     try:
-        query.awaitTermination(120)
+        query.awaitTermination()  # ends by itself when all that is there has been read
     finally:
         query.stop()
     return spark.table("quaere_topics")

@@ -36,3 +36,21 @@ def test_entry_points(spark):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 def test_stream(spark):
     assert plans.QUERIES["stream_topic_state"](spark, SF).count() > 0
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_stream_is_read_to_its_end_with_all_subjects(spark, tmp_path, monkeypatch):
+    import shutil
+
+    from pyspark.sql.streaming import StreamingQuery
+
+    for name in ("nation", "region", "supplier"):
+        shutil.copy(f"{SF}/{name}.parquet", tmp_path)
+    name = spark.read.parquet(f"{SF}/supplier.parquet").first().s_name
+    said = [(c, k, "user", text) for c in range(40) for k, text in enumerate([f"Which country is {name} based in?", "and where?"])]
+    spark.createDataFrame(said, "conv_id long, turn long, role string, text string").toPandas().to_parquet(tmp_path / "conversations.parquet")
+    wait = StreamingQuery.awaitTermination
+    # a wait with a limit runs out at once
+    monkeypatch.setattr(StreamingQuery, "awaitTermination", lambda self, timeout=None: wait(self) if timeout is None else False)
+    got = plans.QUERIES["stream_topic_state"](spark, str(tmp_path)).collect()
+    assert sorted((r.conv_id, r.turn, r.topic) for r in got) == [(c, k, name) for c in range(40) for k in range(2)]
