@@ -74,10 +74,11 @@ def topics_by_rules(rows: DataFrame, facts_: list[tuple[str, int]], aliases: lis
     return rows.select("conv_id", F.col("turn").cast("bigint").alias("turn"), "text", "intent").groupBy("conv_id").applyInPandas(fold, f"conv_id {kind}, turn bigint, question string, topic string")
 
 
-def respond(turns: DataFrame, *, documents: DataFrame, passages: DataFrame, postings: DataFrame, stats: DataFrame, facts_: DataFrame, cues: DataFrame, aliases: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+def respond(turns: DataFrame, *, documents: DataFrame, passages: DataFrame, postings: DataFrame, stats: DataFrame, facts_: DataFrame, cues: DataFrame, aliases: DataFrame, params: Params = DEFAULTS, listed: int | None = None) -> DataFrame:
     """``conv_id, turn, text, intent, question, rewritten, route, reply, topic`` of every turn.
 
-    Facts are tried first, and only what they leave open is searched for.
+    Facts are tried first, and only what they leave open is searched for.  A reply counts all documents and names
+    the first ``listed`` of them (None: all).
     """
     rows = with_topics(described(turns, facts_, aliases)).withColumn("query_id", F.col("question"))
     # a question that many conversations ask is answered once
@@ -89,7 +90,9 @@ def respond(turns: DataFrame, *, documents: DataFrame, passages: DataFrame, post
     refused = open_.join(found.select("query_id"), "query_id", "left_anti")
     terms = postings.select("term").distinct()
     missing = index.unknown_terms(refused, terms).groupBy("query_id").agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("pos", "term"))), 1, 3), lambda x: x["term"]).alias("missing"))
-    n = documents.agg(F.count("*").alias("n_docs"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_ord", "title"))), lambda d: d["title"]), "; ").alias("titles"))
+    named = documents if listed is None else documents.orderBy("doc_ord", "title").limit(listed)
+    titles = named.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_ord", "title"))), lambda d: d["title"]), "; ").alias("titles"))
+    n = documents.agg(F.count("*").alias("n_docs")).crossJoin(titles)
     replied = known.select("query_id", F.lit("knowledge base").alias("route"), F.concat("object", F.lit(".")).alias("reply")).unionByName(found.select("query_id", F.lit("retrieval").alias("route"), F.col("text").alias("reply")))
     out = rows.join(replied, "query_id", "left").join(missing, "query_id", "left").join(F.broadcast(n))
     refusal = F.when(F.col("missing").isNotNull(), F.concat(F.lit("Nothing in the "), F.col("n_docs").cast("string"), F.lit(" documents mentions "), F.array_join(F.transform("missing", lambda t: F.concat(F.lit("“"), t, F.lit("”"))), ", "), F.lit(".")))

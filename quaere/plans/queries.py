@@ -208,11 +208,14 @@ def topic_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogue.with_topics(rows).select("conv_id", "turn", "question", "rewritten", "topic")
 
 
+#: Titles that a reply lists; all documents are counted and searched.
+LISTED = 20
+
+
 def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = t.documents(spark, sf_dir)
     cut, posted, stats = _passage_index(spark, sf_dir)
-    few = docs.where("doc_ord < 20")  # the titles that a reply lists
-    return dialogue.respond(t.turns(spark, sf_dir).where("turn >= 1000"), documents=few, passages=cut, postings=posted, stats=stats, facts_=t.facts(spark, sf_dir), cues=t.cues(spark), aliases=t.aliases(spark))
+    return dialogue.respond(t.turns(spark, sf_dir), documents=docs, passages=cut, postings=posted, stats=stats, facts_=t.facts(spark, sf_dir), cues=t.cues(spark), aliases=t.aliases(spark), listed=LISTED)
 
 
 def reply_route(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,3 +54,15 @@ def test_stream_is_read_to_its_end_with_all_subjects(spark, tmp_path, monkeypatc
     monkeypatch.setattr(StreamingQuery, "awaitTermination", lambda self, timeout=None: wait(self) if timeout is None else False)
     got = plans.QUERIES["stream_topic_state"](spark, str(tmp_path)).collect()
     assert sorted((r.conv_id, r.turn, r.topic) for r in got) == [(c, k, name) for c in range(40) for k in range(2)]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_replies_are_given_all_turns_and_documents(spark, monkeypatch):
+    from quaere.operators import dialogue
+    from quaere.plans import tables
+
+    given = {}
+    monkeypatch.setattr(dialogue, "respond", lambda turns, **more: given.update(more, turns=turns))
+    plans.QUERIES["reply_route"](spark, SF)
+    assert given["turns"].count() == tables.turns(spark, SF).count()
+    assert given["documents"].count() == spark.read.parquet(f"{SF}/documents.parquet").count()
