@@ -16,10 +16,9 @@ curve over them and the length makes it a score.
 Characters are lower-cased, a run of others than letters and digits counts as one space,
 and what follows the first ``LONG`` characters of a word says nothing of its class.
 
-Everything is counted over whole texts of all documents, in tables of fixed size:
-contexts and grams are hashed to cells, distinct neighbours to the bits of a 64-bit mask
-(linear counting).  Each task sends its tables once; they are added in rounds of at most
-``FAN`` at a time.  The logistic curve is fitted to at most ``sample`` labelled rows,
+Everything is counted over whole texts of all documents, exactly: a row for each gram and
+for each distinct neighbour, under 64-bit keys, added up in the tasks and then by key.  The
+rows grow with the distinct grams of the corpus; they are looked up by key.  The logistic curve is fitted to at most ``sample`` labelled rows,
 each judged with its own counts taken out of its class.
 
 Results: null, empty and letterless texts have no evidence and take the score of
@@ -35,16 +34,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, pieces, texts
+from .common import bounded_batches, cut, pieces, texts
 from .quality import held_out, training_rows
 
-#: Characters of the longest and of the short context, and the cells of the tables of grams and of contexts as powers of two.
+#: Characters of the longest gram and of the short context.
 LONG, SHORT = 9, 3
-GRAM_BITS, CONTEXT_BITS, SHORT_BITS = 20, 18, 13
 #: Counts a gram gives up to the backoff, and the backoff counts that every context of a class has besides.
 DISCOUNT, SHARED = 0.75, 10.0
 #: Log-likelihood that a word of ordinary use adds either way.
@@ -52,8 +49,8 @@ BULK = 3.0
 #: Labelled rows that the logistic curve is fitted to, at most.
 SAMPLE = 20_000
 THRESHOLD = 0.7
-#: Tables added in one task at most, and cells of a block.
-FAN, BLOCK = 64, 1 << 15
+#: Rows that a task holds before it adds up those of one key.
+HELD = 1 << 21
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _symbols: list[np.ndarray] = []
@@ -77,15 +74,20 @@ def symbols(of: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return made[keep], number[keep]
 
 
+def _mixed(h: np.ndarray, c: np.ndarray) -> np.ndarray:
+    h = (h ^ c) * _MIX
+    return h ^ (h >> np.uint64(31))
+
+
 @dataclass
 class Grams:
-    """For each character of some texts: the cells of its gram and contexts, its own and its neighbour's flag, and its text's number."""
+    """For each character of some texts: the keys of its gram and context, of the short ones, of its short gram with the character before, and its text's number."""
 
     gram: np.ndarray
     context: np.ndarray
     short: np.ndarray
+    above: np.ndarray
     before: np.ndarray
-    slot: np.ndarray
     number: np.ndarray
     first: np.ndarray
 
@@ -100,88 +102,63 @@ class Grams:
         whole = np.zeros(len(made), np.uint64)
         for k in range(2, LONG + 1):
             at = np.flatnonzero(depth == k)
-            h = (whole[at - 1] ^ wide[at - 1]) * _MIX
-            whole[at] = h ^ (h >> np.uint64(31))
+            whole[at] = _mixed(whole[at - 1], wide[at - 1])
         at = np.flatnonzero((depth >= 1) & (depth <= LONG) & ((depth > 1) | (made > 1)))
         h, c = whole[at], wide[at]
         v = np.zeros(len(at), np.uint64)
         for back in range(1, SHORT + 1):
-            v = (v ^ wide[at - back]) * _MIX
-            v ^= v >> np.uint64(31)
-        slot = c >> np.uint64(58)
-        gram = ((h ^ c) * _MIX) >> np.uint64(64 - GRAM_BITS)
-        context = (h * _MIX) >> np.uint64(64 - CONTEXT_BITS)
-        cell = ((v * _MIX) >> np.uint64(64 - SHORT_BITS) << np.uint64(6)) | slot
-        before = wide[at - SHORT - 1] >> np.uint64(58)
-        return cls(*(x.astype(np.int64) for x in (gram, context, cell, before, slot)), number[at], depth[at] == 1)
+            v = _mixed(v, wide[at - back])
+        short = _mixed(v, c)
+        return cls(_mixed(h, c), h, short, v, _mixed(short, wide[at - SHORT - 1]), number[at], depth[at] == 1)
 
 
-#: Tables of a task: name and cells.  Flags (64 for each cell) are joined by OR, counts are added.  "a" is of all documents, 0 and 1 are of the classes.
-TABLES = {"short": 1 << SHORT_BITS + 12}
-for _c in "a01":
-    TABLES |= {f"gram{_c}": 1 << GRAM_BITS, f"context{_c}": 1 << CONTEXT_BITS, f"after{_c}": 1 << CONTEXT_BITS + 6}
+def _unique(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, a place of each, and each place's number among them."""
+    found, back = np.unique(keys, return_inverse=True)
+    at = np.empty(len(found), np.int64)
+    at[back] = np.arange(len(keys))
+    return found, at, back
 
 
-def is_flags(name: str) -> bool:
-    return name.startswith(("short", "after"))
+#: Rows of counts.  Grams (kind 0): the context and how often in all documents and in each class; short grams with the character before (kind 1): short gram and context.
+COUNTED = ["kind", "key", "up", "top", "a", "n0", "n1"]
 
 
-def empty_tables() -> dict[str, np.ndarray]:
-    return {name: np.zeros(n, bool if is_flags(name) else np.int64) for name, n in TABLES.items()}
+def count_of(of: list[str], labels: list[float | None]) -> list[list[np.ndarray]]:
+    """Both kinds of rows of some texts."""
+    g = Grams.of(of)
+    label = np.array([-1 if v is None else int(v >= 0.5) for v in labels])[g.number]
+    key, at, back = _unique(g.gram)
+    seen = [np.bincount(back[w], minlength=len(key)) for w in (slice(None), label == 0, label == 1)]
+    met, place, _ = _unique(g.before)
+    none = np.zeros(len(met), np.int64)
+    return [[key, g.context[at], np.zeros(len(key), np.uint64), *seen], [met, g.short[place], g.above[place], none, none, none]]
 
 
-def count_into(held: dict[str, np.ndarray], of: list[str], labels: list[float | None]) -> None:
-    g = Grams.of(of)
-    held["short"][g.short << 6 | g.before] = True
-    kind = np.array([-1 if v is None else int(v >= 0.5) for v in labels])[g.number]
-    for c, at in (("a", slice(None)), ("0", np.flatnonzero(kind == 0)), ("1", np.flatnonzero(kind == 1))):
-        if (gram := g.gram[at]).size:
-            context = g.context[at]
-            held[f"gram{c}"] += np.bincount(gram, minlength=1 << GRAM_BITS)
-            held[f"context{c}"] += np.bincount(context, minlength=1 << CONTEXT_BITS)
-            held[f"after{c}"][context << 6 | g.slot[at]] = True
+def _added(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+    columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+    key, at, back = _unique(columns[0])
+    return [key, columns[1][at], columns[2][at], *(np.bincount(back, c, len(key)).astype(np.int64) for c in columns[3:])]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held, rows = empty_tables(), 0
+    held: list[list[list[np.ndarray]]] = [[], []]
+
+    def given() -> Iterator[pa.RecordBatch]:
+        for kind in (0, 1):
+            if held[kind]:
+                rows = _added(held[kind])
+                held[kind] = []
+                for at in range(0, len(rows[0]), 1 << 16):
+                    part = [r[at : at + (1 << 16)].view(np.int64) for r in rows]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part[0]), kind, np.int32)), *map(pa.array, part)], COUNTED)
+
     for batch in pieces(batches):
-        rows += batch.num_rows
-        count_into(held, texts(batch), batch.column("y").to_pylist())
-    if rows:
-        task = TaskContext.get().partitionId()
-        for name, values in held.items():
-            whole = np.packbits(values) if is_flags(name) else values
-            for at in range(0, len(whole), BLOCK):
-                part = whole[at : at + BLOCK]
-                if part.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([at // BLOCK], pa.int32()), pa.array([task], pa.int32()), pa.array([_packed(part)], pa.binary())], ["name", "block", "task", "data"])
-
-
-def _packed(part: np.ndarray) -> bytes:
-    """Flags as they are, counts in as few bytes as they need: the first byte says which."""
-    if part.dtype == np.uint8:
-        return b"f" + part.tobytes()
-    kind = next(k for k in ("u1", "u2", "u4", "i8") if part.max() <= np.iinfo(k).max)
-    return kind[-1].encode() + part.astype(kind).tobytes()
-
-
-def _unpacked(data: bytes) -> np.ndarray:
-    kind = {b"f": "u1", b"1": "u1", b"2": "u2", b"4": "u4", b"8": "i8"}[data[:1]]
-    values = np.frombuffer(data, kind, offset=1)
-    return values if data[:1] == b"f" else values.astype(np.int64)
-
-
-def _add(table: pa.Table) -> pa.Table:
-    total = None
-    for data in table["data"]:
-        part = _unpacked(data.as_py())
-        if total is None:
-            total = part.copy()
-        elif total.dtype == np.uint8:
-            total |= part
-        else:
-            total += part
-    return table.slice(0, 1).set_column(table.schema.get_field_index("data"), "data", pa.array([_packed(total)], pa.binary()))
+        for kind, rows in enumerate(count_of(texts(batch), batch.column("y").to_pylist())):
+            held[kind].append(rows)
+        if sum(len(r[0]) for k in held for r in k) > HELD:
+            yield from given()
+    yield from given()
 
 
 #: Labels up to which the table of labels is broadcast: 16 bytes each, so some 16 MB.
@@ -189,71 +166,75 @@ FEW_LABELS = 1_000_000
 
 
 def counts(docs: DataFrame, labels: DataFrame, keep) -> dict[str, np.ndarray]:
-    """The tables over all documents; ``keep`` picks the keys that labels are learnt from."""
+    """The counts over all documents, in order of their keys; ``keep`` picks the keys that labels are learnt from."""
     rows = labels.select(F.col("doc_id").alias("_key"), F.col("toxic").cast("double").alias("_y")).where(F.col("_y").isNotNull() & F.col("_key").isNotNull() & keep(F.col("_key")))
     rows = rows.groupBy("_key").agg(F.avg("_y").alias("y"))
     bounded_batches(docs.sparkSession)
     # labels are a few bytes a row: they are brought to the texts where they are few, and else both are dealt by key
     few = rows.limit(FEW_LABELS + 1).count() <= FEW_LABELS
     labelled = docs.select("doc_id", "text").join(F.broadcast(rows) if few else rows, F.col("doc_id") == F.col("_key"), "left").select("text", "y")
-    schema = "name string, block int, task int, data binary"
-    tasks = max(1, labelled.rdd.getNumPartitions())
-    parts = labelled.mapInArrow(_count, schema)
-    while True:
-        parts = parts.withColumn("task", F.expr(f"task div {FAN}").cast("int")).groupBy("name", "block", "task").applyInArrow(_add, schema)
-        tasks = -(-tasks // FAN)
-        if tasks <= 1:
-            break
-    held = {name: np.zeros(n // 8, np.uint8) if is_flags(name) else np.zeros(n, np.int64) for name, n in TABLES.items()}
-    for row in parts.select("name", "block", "data").toLocalIterator():  # tables of fixed size
-        part = _unpacked(bytes(row["data"]))
-        held[row["name"]][row["block"] * BLOCK : row["block"] * BLOCK + len(part)] = part
-    return held
-
-
-_ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+    parts = labelled.mapInArrow(_count, "kind int, key bigint, up bigint, top bigint, a bigint, n0 bigint, n1 bigint")
+    rows = cut(parts.groupBy("kind", "key", "up", "top").agg(*(F.sum(c).alias(c) for c in ("a", "n0", "n1"))))
+    grams = rows.where("kind = 0").select("key", "up", "a", "n0", "n1").toArrow()
+    order = np.argsort(grams["key"].to_numpy().view(np.uint64))
+    held = {name: grams[of].to_numpy()[order] for name, of in (("gram", "key"), ("context", "up"), ("a", "a"), ("0", "n0"), ("1", "n1"))}
+    short = rows.where("kind = 1").groupBy("up", "top").count().toArrow()
+    order = np.argsort(short["up"].to_numpy().view(np.uint64))
+    return held | {name: short[of].to_numpy()[order] for name, of in (("short", "up"), ("above", "top"), ("before", "count"))}
 
 
-def _distinct(flags: np.ndarray) -> np.ndarray:
-    """Linear counting: how many were hashed to the 64 flags of each cell."""
-    ones = _ONES[flags].reshape(-1, 8).sum(axis=1)
-    return np.where(ones < 64, -64 * np.log(np.maximum(64 - ones, 0.5) / 64), 64 * np.log(128)).astype(np.float32)
+def _places(keys: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Where each of ``of`` stands in the ordered ``keys``; behind their end, where zeros are held, if nowhere."""
+    at = np.searchsorted(keys, of)
+    at[at < len(keys)] = np.where(keys[at[at < len(keys)]] == of[at < len(keys)], at[at < len(keys)], len(keys))
+    return at
 
 
 @dataclass
 class KneserNey:
-    """The models' tables; of three, the last is of all documents."""
+    """The models' rows in order of their keys, and a last one of zeros; of three values, the last is of all documents."""
 
+    grams: np.ndarray
+    contexts: np.ndarray
+    shorts: np.ndarray
+    aboves: np.ndarray
     gram: list[np.ndarray]
     context: list[np.ndarray]
     after: list[np.ndarray]
-    short: np.ndarray
+    before: np.ndarray
+    total: np.ndarray
     curve: np.ndarray
     base: float = 0.0
 
     @classmethod
     def of(cls, held: dict[str, np.ndarray]) -> KneserNey:
-        """From tables whose flags are packed."""
-        before = (_distinct(held["short"]) + 0.1).reshape(-1, 64)
-        gram, context = ([held[f"{what}{c}"].astype(np.float32) for c in "01a"] for what in ("gram", "context"))
-        return cls(gram, context, [_distinct(held[f"after{c}"]) for c in "01a"], (before / before.sum(axis=1, keepdims=True)).ravel().astype(np.float32), np.zeros(6))
+        contexts, inside = np.unique(held["context"].view(np.uint64), return_inverse=True)
+        n = len(contexts) + 1
+        gram = [np.append(held[c], 0).astype(np.float32) for c in "01a"]
+        context, after = ([np.bincount(inside, v(held[c]), n).astype(np.float32) for c in "01a"] for v in (lambda x: x, lambda x: x > 0))
+        aboves, inside = np.unique(held["above"].view(np.uint64), return_inverse=True)
+        total = np.bincount(inside, held["before"], len(aboves) + 1).astype(np.float32)
+        before = np.append(held["before"], 0).astype(np.float32)
+        return cls(held["gram"].view(np.uint64), contexts, held["short"].view(np.uint64), aboves, gram, context, after, before, total, np.zeros(6))
 
     def two(self) -> bool:
         return bool(self.gram[0].any() and self.gram[1].any())
 
-    def _backed(self, c: int, g: Grams, p: np.ndarray, own: bool = False) -> np.ndarray:
-        """Each character's probability by model ``c`` over the backoff ``p``; ``own`` takes the texts' own counts out first."""
-        n, m = self.gram[c][g.gram], self.context[c][g.context]
-        if own:
-            for values, at in ((n, g.gram), (m, g.context)):
-                _, back, times = np.unique(at, return_inverse=True, return_counts=True)
-                values -= times[back]
+    def _backed(self, c: int, at: np.ndarray, under: np.ndarray, p: np.ndarray, own: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """Probability by model ``c`` over the backoff ``p`` of grams at places ``at`` and contexts at ``under``; ``own`` counts are taken out first."""
+        n, m = self.gram[c][at], self.context[c][under]
+        if own is not None:
+            n, m = n - own[0], m - own[1]
         seen = np.maximum(np.maximum(m, n), 0)
         gained = np.maximum(n - DISCOUNT, 0)
-        left = np.minimum(DISCOUNT * np.maximum(self.after[c][g.context], 1), seen - gained)
+        left = np.minimum(DISCOUNT * np.maximum(self.after[c][under], 1), seen - gained)
         more = 0.0 if c == 2 else SHARED
         return np.where(seen + more > 0, (gained + (left + more) * p) / np.maximum(seen + more, 1e-9), p)
 
+    def _short(self, g: Grams, one: np.ndarray) -> np.ndarray:
+        """The short model's shares; each of 64 characters that may follow is taken to have a tenth of a neighbour besides."""
+        return (self.before[_places(self.shorts, g.short[one])] + 0.1) / (self.total[_places(self.aboves, g.above[one])] + 6.4)
+
     def evidence(self, of: list[str], own: int | None = None) -> np.ndarray:
         """For each text: the number of words, and two means over them of toxic minus ordinary log-likelihood.
 
@@ -261,11 +242,15 @@ class KneserNey:
         The second is of what goes beyond, the mark of single expressions.
         """
         g = Grams.of(of)
-        p = self._backed(2, g, self.short[g.short])
-        toxic, plain = (self._backed(c, g, p, own == c) for c in (1, 0))
+        _, one, back = _unique(_mixed(g.gram, g.short))  # equal grams over equal backoffs are looked up once
+        times = np.bincount(back, minlength=len(one))
+        at, under = _places(self.grams, g.gram[one]), _places(self.contexts, g.context[one])
+        p = self._backed(2, at, under, self._short(g, one))
+        taken = [np.bincount(same, times)[same] for same in (np.unique(k[one], return_inverse=True)[1] for k in (g.gram, g.context))] if own is not None else None
+        toxic, plain = (self._backed(c, at, under, p, taken if own == c else None) for c in (1, 0))
         word = np.cumsum(g.first) - 1
         number = g.number[g.first]
-        gap = np.bincount(word, np.log(toxic / plain), len(number))
+        gap = np.bincount(word, np.log(toxic / plain)[back], len(number))
         bulk = np.clip(gap, -BULK, BULK)
         n = np.bincount(number, minlength=len(of))
         return np.stack([n, *(np.bincount(number, v, len(of)) / np.maximum(n, 1) for v in (bulk, gap - bulk))], axis=1)
@@ -297,7 +282,7 @@ def _curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, *, keep=lambda key: F.lit(True), sample: int = SAMPLE) -> KneserNey:
     model = KneserNey.of(counts(docs, labels, keep))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # some 15 MB, whatever the input
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a row for each distinct gram
 
     names = ["n", "bulk", "beyond"]
 
@@ -311,6 +296,7 @@ def train(docs: DataFrame, labels: DataFrame, *, keep=lambda key: F.lit(True), s
     # a key that stands on several rows gives one of them, so that the bound holds
     rows = rows.groupBy("doc_id").agg(F.min(F.struct(*names, "y")).alias("r")).select("doc_id", "r.*").toArrow()
     order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")
+    shared.unpersist()
     y = (rows["y"].to_numpy()[order] >= 0.5).astype(float)
     if len(y):
         model.base = float(y.mean())

@@ -131,6 +131,19 @@ def test_toxicity_counts_do_not_depend_on_partitions(spark):
     assert all(np.array_equal(one[k], many[k]) for k in one)
 
 
+def test_toxicity_counts_are_exact(spark):
+    rng = random.Random(11)
+    texts = [" ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(400)) for _ in range(150)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(100)], "doc_id long, toxic int")
+    held = toxicity.counts(frame(spark, texts), labels, lambda key: F.lit(True))
+    want = Counter((w[:k], w[k]) for t in texts for w in t.split(" ") for w in [w + " "] for k in range(len(w)))
+    for t in texts:
+        want[t.split(" ")[-1], " "] -= 1  # nothing follows a text's last word
+    want = +want
+    assert len(held["gram"]) == len(want) and sorted(held["a"].tolist()) == sorted(want.values())
+    assert len(np.unique(held["context"])) == len({u for u, _ in want})
+
+
 def test_licenses(spark):
     mit = dict(licenses.TEMPLATES)["MIT-text"]
     edited = mit.replace("merge", "fuse").replace("hereby", "here")
