@@ -13,8 +13,8 @@ thus gets nearly the same probability from both models, and what is frequent in
 class only stands out, inflected or not.  A text's evidence is the mean over its words
 of the difference of the log-likelihoods, in two parts (see ``evidence``); a logistic
 curve over them and the length makes it a score.
-Characters are lower-cased, a run of others than letters and digits counts as one space,
-and what follows the first ``LONG`` characters of a word says nothing of its class.
+Characters are lower-cased, and a run of others than letters and digits counts as one space.
+Past ``LONG`` characters of a word the context slides: it is the last ``LONG - 1``.
 
 Everything is counted over whole texts of all documents, exactly: a row for each gram and
 for each distinct neighbour, under 64-bit keys, added up in the tasks and then by key.  The
@@ -103,7 +103,10 @@ class Grams:
         for k in range(2, LONG + 1):
             at = np.flatnonzero(depth == k)
             whole[at] = _mixed(whole[at - 1], wide[at - 1])
-        at = np.flatnonzero((depth >= 1) & (depth <= LONG) & ((depth > 1) | (made > 1)))
+        at = np.flatnonzero(depth > LONG)
+        for back in range(LONG - 1, 0, -1):
+            whole[at] = _mixed(whole[at], wide[at - back])
+        at = np.flatnonzero((depth >= 1) & ((depth > 1) | (made > 1)))
         h, c = whole[at], wide[at]
         v = np.zeros(len(at), np.uint64)
         for back in range(1, SHORT + 1):

@@ -144,6 +144,16 @@ def test_toxicity_counts_are_exact(spark):
     assert len(np.unique(held["context"])) == len({u for u, _ in want})
 
 
+def test_toxicity_reads_words_to_their_ends(spark):
+    rng = random.Random(12)
+    texts = ["abcdefghijab" + (rng.choice("klm") if k % 2 else "xyzzy") + " " + " ".join(words(rng, 10)) for k in range(200)]
+    labels = spark.createDataFrame([(k, int(k % 2 == 0)) for k in range(200)], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.classify(frame(spark, texts), labels).collect()}
+    assert np.mean([got[k].beyond + got[k].bulk > 0 for k in range(0, 200, 2)]) > 0.9
+    a, b = (toxicity.Grams.of([t]) for t in ("abcdefghijkl", "abcdefghijxl"))
+    assert len(a.gram) == 12 and (a.gram != b.gram).sum() == 2
+
+
 def test_licenses(spark):
     mit = dict(licenses.TEMPLATES)["MIT-text"]
     edited = mit.replace("merge", "fuse").replace("hereby", "here")
