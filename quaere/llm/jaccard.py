@@ -94,9 +94,17 @@ def _digest(items: np.ndarray) -> tuple[int, int]:
     return high - (1 << 63), low - (1 << 63)
 
 
+def _anew(items: np.ndarray, mask: np.uint64) -> np.ndarray:
+    """Hashes of the items under a mask; after the XOR alone an item of a small set could own half of all masks."""
+    h = (items ^ mask) * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
 def signature(items: np.ndarray) -> np.ndarray:
     """Min-hashes, the low 32 bits of each."""
-    return np.array([(items ^ m).min() for m in _MASKS]).astype(np.uint32).view(np.int32)
+    return np.array([_anew(items, m).min() for m in _MASKS]).astype(np.uint32).view(np.int32)
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

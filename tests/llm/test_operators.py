@@ -87,6 +87,17 @@ def test_jaccard(spark, limit):
     assert {r.doc_id for r in jaccard.keep_one(frame(spark, texts)).collect()} == {k for k, (c, _) in got.items() if k == c}
 
 
+def dropped_by_signature(shared, union, pairs=2000):
+    rng = np.random.default_rng(13)
+    sets = [rng.integers(0, 1 << 64, union, np.uint64) for _ in range(pairs)]
+    signs = [(jaccard.signature(s) & 255, jaccard.signature(s[:shared]) & 255) for s in sets]
+    return sum(int((a == b).sum()) < jaccard.LEAST_EQUAL for a, b in signs)
+
+
+def test_short_texts_pass_the_signature():
+    assert [dropped_by_signature(4, 5), dropped_by_signature(8, 10), dropped_by_signature(12, 15)] == [0, 0, 0]
+
+
 def test_quality(spark):
     rng = random.Random(3)
     good = [" ".join(words(rng, rng.randrange(30, 200))) + "." for _ in range(300)]
