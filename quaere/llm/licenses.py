@@ -3,9 +3,9 @@
 Texts become five-word shingles.  Windows of ``WINDOW`` shingles, one every ``STRIDE``,
 overlap by half; each has ``HASHES`` min-hashes (the least of the shingles' hashes after an
 XOR with a constant) in ``BANDS`` bands of two.  A template's windows, one at every
-shingle, have the same; a shared band retrieves the template.  A template too short for a
-window is retrieved by any of its shingles, which is a window of one shingle, whose bands
-always collide.  Two windows with Jaccard J collide with probability 1 - (1 - J^2)^4:
+shingle, have the same; a shared band retrieves the template.  A template of fewer than
+``FEW_SHINGLES`` is retrieved by any of its shingles, which is a window of one shingle, whose
+bands always collide.  Two windows with Jaccard J collide with probability 1 - (1 - J^2)^4:
 0.98 at 0.8, and a notice of n shingles lies under n / 8 windows.
 
 Then the share of the template's distinct shingles that the text has is counted exactly; from
@@ -30,6 +30,8 @@ from .license_texts import TEMPLATES
 from .shingles import shingles, words
 
 WINDOW, STRIDE = 16, 8
+#: Shingles below which a template is retrieved by any of its own: with few windows, one edit may hide it from all bands.
+FEW_SHINGLES = 40
 HASHES, BANDS = 8, 4
 CONTAINMENT = NEAR
 #: Band keys of all templates, at most: 8 bytes each in every task's plan.
@@ -73,7 +75,7 @@ def index(spark: SparkSession, templates: list[tuple[str, str]]) -> list[dict]:
     df = df.select("name", shingles(words(F.col("text")), short=False).alias("h"))
     windows = F.transform(F.sequence(F.lit(1), F.size("h") - WINDOW + 1), lambda i: F.slice("h", i, F.lit(WINDOW)))
     banded = F.flatten(F.transform(windows, lambda w: F.array(*_bands(_least(w)))))
-    short = F.size("h") < WINDOW
+    short = F.size("h") < FEW_SHINGLES
     rows = df.select("name", short.alias("short"), F.array_distinct("h").alias("h"), F.array_distinct(F.when(short, F.col("h")).otherwise(banded)).alias("keys")).collect()
     out = [r.asDict() for r in rows]
     if any(not r["h"] for r in out):

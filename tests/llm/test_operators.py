@@ -178,6 +178,14 @@ def test_licenses(spark):
         licenses.scan(frame(spark, texts), [("x", "too short")])
 
 
+def test_edited_short_licenses(spark):
+    rng = random.Random(14)
+    notices = [words(rng, 29, 10**6) for _ in range(100)]  # 25 shingles each, of which one changed word leaves 20
+    texts = [" ".join(words(rng, 3) + n[:12] + ["edited"] + n[13:] + words(rng, 9)) for n in notices]
+    got = licenses.scan(frame(spark, texts), [(f"n{k}", " ".join(n)) for k, n in enumerate(notices)]).collect()
+    assert {(r.doc_id, r.license, r.containment) for r in got} == {(k, f"n{k}", 0.8) for k in range(100)}
+
+
 def test_fingerprints(spark):
     rng = random.Random(5)
     texts = ODD + [" ".join(words(rng, rng.randrange(1, 400))) for _ in range(60)]
