@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,10 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder of our own only where none is named, as in tests."""
+    """The shared folder that the cluster names; a folder of our own only in local mode, as in tests."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quaere-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -37,6 +40,42 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_written: list[str] = []
+
+
+def staged(df: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` written to the shared folder as a table, for what is read more than once."""
+    path = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _written.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all staged tables of this process, once the results that read them are written."""
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: A key with more than this share (1 / SPLIT) of a join's rows is joined by broadcast.
+SPLIT = 1024
+
+
+def split_join(many: DataFrame, one: DataFrame, on: str | list[str], total: int | None = None) -> DataFrame:
+    """Inner join with a table that has each key once and, in ``n``, how many rows of ``many`` have it (``total`` in all).
+
+    Frequent keys, SPLIT at most, are broadcast, so that their rows stay where they are; the others are dealt by key.
+    """
+    total = one.agg(F.sum("n")).first()[0] or 0 if total is None else total
+    frequent = one.where(F.col("n") > total / SPLIT)
+    if not frequent.limit(1).count():
+        return many.join(one.drop("n"), on)
+    near = many.join(F.broadcast(frequent.drop("n")), on)
+    far = many.join(F.broadcast(frequent.select(on)), on, "left_anti").join(one.where(F.col("n") <= total / SPLIT).drop("n"), on)
+    return near.unionByName(far)
+
+
 #: Rows of a batch that Python workers are sent, at most: whole texts, and some of them are long.
 BATCH_ROWS = 512
 

@@ -31,7 +31,6 @@ from __future__ import annotations
 import math
 import random
 import re
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NEAR, SHINGLE_WORDS, bounded_batches, checkpoint_dir, cut, pieces, texts
+from .common import NEAR, SHINGLE_WORDS, bounded_batches, cut, pieces, split_join, staged, texts
 
 SIMILARITY, RECALL = NEAR, 0.9999
 COORDINATES, LIMIT, DEPTH = 64, 1024, 3
@@ -260,13 +259,6 @@ def _leaves(sets: DataFrame, limit: int, depth: int) -> DataFrame:
     return out
 
 
-def _stage(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder as a table."""
-    path = f"{checkpoint_dir(df.sparkSession)}/jaccard-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def components(edges: DataFrame) -> DataFrame:
     """``set, root``: the least set of each one's connected component, for ``set, root`` edges."""
     both = cut(edges.select("set", "root").unionByName(edges.select(F.col("root").alias("set"), F.col("set").alias("root"))).distinct())
@@ -289,8 +281,8 @@ def join(docs: DataFrame, *, limit: int = LIMIT, depth: int = DEPTH) -> DataFram
     bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    all_rows = _stage(docs.mapInArrow(_describe, "doc_id bigint, set bigint, low bigint, signs array<int>"))
-    sets = _stage(all_rows.groupBy("set", "low").agg(F.count("*").alias("copies"), F.min("doc_id").alias("set_id"), F.first("signs").alias("signs")))
+    all_rows = staged(docs.mapInArrow(_describe, "doc_id bigint, set bigint, low bigint, signs array<int>"))
+    sets = staged(all_rows.groupBy("set", "low").agg(F.count("*").alias("copies"), F.min("doc_id").alias("set_id"), F.first("signs").alias("signs")))
     leaves = cut(_leaves(sets, limit, depth))
     half = F.lit(max(1, limit // 2))
     lists = leaves.groupBy("set").agg(F.collect_list("leaf").alias("leaves"))
@@ -305,7 +297,7 @@ def join(docs: DataFrame, *, limit: int = LIMIT, depth: int = DEPTH) -> DataFram
     members = members.select(F.xxhash64("leaf", "first", "second").alias("part"), "leaf", "set", "copies", "signs", "leaves", "block", "first", "second")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     wanted = members.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_candidates, "part bigint, set bigint, copies bigint, partners array<bigint>")
-    wanted = _stage(wanted)
+    wanted = staged(wanted)
     ids = cut(wanted.select("set").distinct().join(sets.select("set", "set_id"), "set").select("set", F.col("set_id").alias("_id")))
     few = ids.limit(FEW_SETS + 1).count() <= FEW_SETS
     fetched = docs.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("_id")).select("set", "text").mapInArrow(_fetch, "set bigint, items binary").dropDuplicates(["set"])

@@ -16,24 +16,26 @@ sorted one at a time:
    suffix's four cover places, with those of its ends, tell all of LENGTH bytes, and no
    tie is ever followed byte by byte.
    One block of buckets, at most ``BLOCK_BYTES`` unless a bucket alone is larger, is in memory.
-4. A bucket of more than ``HOT`` runs isn't gathered: its runs are counted by 128-bit
-   digests, first within documents and on the map side.  Equal runs are repeats throughout.
-   Of each different run one goes on, cut into pieces of up to eight suffixes that keep their
+4. A bucket of more than ``HOT`` runs isn't gathered: its equal runs are found by grouping them by their
+   bytes, first within documents and on the map side.  Equal runs are repeats throughout.
+   Of each different run one goes on to the sorting, cut into pieces of up to eight suffixes that keep their
    distance from the anchor, in buckets by what all strings of a piece have in common.  Should
-   one of these be as large again, its strings are counted by digests, one by one.
+   one of these be as large again, its strings are grouped by their bytes, one by one.
+
+Equal texts are told first, by hashes that the documents alone are grouped by: all of such a text is a
+repeat, and one of them goes through the steps above so that other texts meet it.  A key that holds more than
+1 / ``SPLIT`` of the rows of a join is joined by broadcast: there are at most SPLIT of them.
 
 Matches never cross documents, as runs don't.  Texts move once (to their runs' places; the
 last join reuses that exchange).
 
-Results: a null text is empty; texts of fewer than LENGTH bytes have nothing removed; equal rows repeat
-each other; rows of one key are told apart by a hash of their text; columns besides
-the key and the text are ignored.
+Results: a null text is empty; texts of fewer than LENGTH bytes have nothing removed; equal rows and rows of
+one key are documents of their own, a null key like any other; columns besides the key and the text are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,13 +44,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, checkpoint_dir, cut, pieces
+from .common import bounded_batches, cut, pieces, split_join, staged
 
 LENGTH, GRAM = 200, 32
 #: Runs of a bucket that one task gathers, at most, and bytes of a block.
 HOT, BLOCK_BYTES = 8192, 1 << 20
-#: Runs of hot buckets up to which their list is broadcast: some 30 bytes each.
-FEW_RUNS = 1_000_000
+#: Runs of hot buckets, or texts with copies, up to which their list is broadcast: some 30 bytes each.
+FEW = 1_000_000
 #: Suffixes of a piece of a run, at most.
 PIECE = 8
 #: A perfect difference set: every residue is a difference of two of its members.
@@ -192,28 +194,32 @@ def _spans(flags: np.ndarray) -> list[tuple[int, int]]:
 
 
 _SPANS = pa.list_(pa.struct([("at", pa.int32()), ("until", pa.int32())]))
-_OUT = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("spans", _SPANS)])
-_OUT_DDL = "doc_id bigint, row bigint, spans array<struct<at:int,until:int>>"
+_FETCHED = {"bucket": pa.int64(), "place": pa.int32(), "data": pa.binary(), "row": pa.int64()}
+_FETCHED_DDL = "bucket bigint, place int, data binary, row bigint"
+
+
+def _made(out: list, kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out or [[]] * len(kinds), kinds.values(), strict=True)], list(kinds))
 
 
 def _block(rows: list[tuple]) -> pa.RecordBatch:
-    """Removed stretches of the runs of whole buckets: ``(bucket, place, data, doc_id, row)``."""
-    owners: dict[tuple, list[tuple[int, int, int]]] = {}
+    """Removed stretches of the runs of whole buckets: ``(bucket, place, data, row)``."""
+    owners: dict[tuple, list[tuple[int, int]]] = {}
     buckets: dict[int, set] = {}
-    for bucket, place, data, doc, row in rows:
-        owners.setdefault((bucket, data), []).append((doc, row, place))
+    for bucket, place, data, row in rows:
+        owners.setdefault((bucket, data), []).append((row, place))
         buckets.setdefault(bucket, set()).add(data)
     flags = {key: np.ones(len(key[1]) - LENGTH + 1, bool) for key, of in owners.items() if len(of) > 1}
     rest = [key for key in owners if len(buckets[key[0]]) > 1]
     if rest:
-        for key, found in zip(rest, repeats([k[1] for k in rest], [owners[k][0][2] for k in rest]), strict=True):
+        for key, found in zip(rest, repeats([k[1] for k in rest], [owners[k][0][1] for k in rest]), strict=True):
             flags[key] = found | flags[key] if key in flags else found
-    out: dict[tuple[int, int], list[dict]] = {}
+    out: dict[int, list[dict]] = {}
     for key, found in flags.items():
         for a, b in _spans(found):
-            for doc, row, place in owners[key]:
-                out.setdefault((doc, row), []).append({"at": place + a, "until": place + b + LENGTH - 1})
-    return pa.RecordBatch.from_arrays([pa.array([k[0] for k in out], pa.int64()), pa.array([k[1] for k in out], pa.int64()), pa.array(list(out.values()), _SPANS)], schema=_OUT)
+            for row, place in owners[key]:
+                out.setdefault(row, []).append({"at": place + a, "until": place + b + LENGTH - 1})
+    return _made([list(out), list(out.values())], {"row": pa.int64(), "spans": _SPANS})
 
 
 def _sorted_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +227,7 @@ def _sorted_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     held: list[tuple] = []
     size = 0
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "place", "data", "doc_id", "row")), strict=True):
+        for row in zip(*(batch.column(c).to_pylist() for c in _FETCHED), strict=True):
             if size >= BLOCK_BYTES and held[-1][0] != row[0]:
                 yield _block(held)
                 held, size = [], 0
@@ -232,36 +238,32 @@ def _sorted_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _fetched_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """Of each document: ``(bucket, place, data, doc_id, row)`` of the runs that are wanted."""
+    """Of each text: ``(bucket, place, data, row)`` of the runs that are wanted."""
     for batch in pieces(batches, 256):
-        for doc, row, data, found in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "data", "runs")), strict=True):
+        for row, data, found in zip(*(batch.column(c).to_pylist() for c in ("row", "data", "runs")), strict=True):
             ends = [(r["bucket"], r["run"] >> 16, (r["run"] >> 16) + (r["run"] & 0xFFFF) + LENGTH - 1) for r in found]
-            yield [(bucket, a, data[a:b], doc, row) for bucket, a, b in ends if b <= len(data)]
+            yield [(bucket, a, data[a:b], row) for bucket, a, b in ends]
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for runs_of in _fetched_runs(batches):
-        out = list(zip(*runs_of, strict=True)) or [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()), strict=True)], ["bucket", "place", "data", "doc_id", "row"])
+        yield _made(list(zip(*runs_of, strict=True)), _FETCHED)
 
 
-def _digest_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each different run of a document, with all its places there."""
+def _distinct_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each different run of a text, with all its places there."""
     for runs_of in _fetched_runs(batches):
         places: dict[tuple[int, bytes, int], list[int]] = {}
-        for bucket, place, data, _, _ in runs_of:
-            places.setdefault((bucket, xxhash.xxh3_128_digest(data), len(data)), []).append(place)
-        n = len(places)
-        if n:
-            doc, row = runs_of[0][3:]
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in places], pa.int64()), pa.array([k[1] for k in places], pa.binary()), pa.array([k[2] for k in places], pa.int32()), pa.array(list(places.values()), pa.list_(pa.int32())), pa.array([doc] * n, pa.int64()), pa.array([row] * n, pa.int64())], ["bucket", "digest", "size", "places", "doc_id", "row"])
+        for bucket, place, data, row in runs_of:
+            places.setdefault((bucket, data, row), []).append(place)
+        yield _made([*zip(*places, strict=True), list(places.values())], {"bucket": pa.int64(), "data": pa.binary(), "row": pa.int64(), "places": pa.list_(pa.int32())})
 
 
 def _pieces_of_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs cut up by their suffixes' distance from the anchor, under the hash of what a piece's strings share."""
-    for runs_of in _fetched_runs(batches):
-        out: list[list] = [[], [], [], [], []]
-        for bucket, place, data, doc, row in runs_of:
+    for batch in pieces(batches):
+        out: list[list] = [[], [], [], []]
+        for bucket, place, data, row in zip(*(batch.column(c).to_pylist() for c in _FETCHED), strict=True):
             n = len(data) - LENGTH + 1
             anchor = int((_grams(np.frombuffer(data, np.uint8))[: LENGTH - GRAM + 1] >> np.uint64(32)).argmin())
             begin = 0
@@ -271,24 +273,29 @@ def _pieces_of_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 number = (anchor - begin) // PIECE
                 shared = anchor - number * PIECE
                 common = xxhash.xxh3_64_intdigest(data[shared : shared + LENGTH - PIECE + 1], (bucket + number) & (1 << 64) - 1)
-                for k, v in enumerate((common - (1 << 63), place + begin, data[begin : end + LENGTH - 1], doc, row)):
+                for k, v in enumerate((common - (1 << 63), place + begin, data[begin : end + LENGTH - 1], row)):
                     out[k].append(v)
                 begin = end
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()), strict=True)], ["bucket", "place", "data", "doc_id", "row"])
+        yield _made(out, _FETCHED)
 
 
-def _digest_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each string of LENGTH bytes of the pieces."""
     for batch in pieces(batches):
-        out: list[list] = [[], [], [], []]
-        for place, data, doc, row in zip(*(batch.column(c).to_pylist() for c in ("place", "data", "doc_id", "row")), strict=True):
+        out: list[list] = [[], [], []]
+        for place, data, row in zip(*(batch.column(c).to_pylist() for c in ("place", "data", "row")), strict=True):
             for k in range(len(data) - LENGTH + 1):
-                for i, v in enumerate((xxhash.xxh3_128_digest(data[k : k + LENGTH]), doc, row, place + k)):
+                for i, v in enumerate((data[k : k + LENGTH], row, place + k)):
                     out[i].append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.binary(), pa.int64(), pa.int64(), pa.int32()), strict=True)], ["digest", "doc_id", "row", "at"])
+        yield _made(out, {"data": pa.binary(), "row": pa.int64(), "at": pa.int32()})
+
+
+_KEPT = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept": pa.binary()}
 
 
 def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches):
+        batch = batch.filter(batch.column("own"))
         out: list[list] = [[], [], [], []]
         for data, spans in zip(batch.column("data").to_pylist(), batch.column("spans").to_pylist(), strict=True):
             merged: list[list[int]] = []
@@ -304,50 +311,79 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept.append(data[done:])
             for k, v in enumerate((len(data), sum(b - a for a, b in merged), len(merged), b"".join(kept))):
                 out[k].append(v)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *_made(out, _KEPT).columns], ["doc_id", *_KEPT])
+
+
+def _with_rows(of: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Texts with ``row``, a number that just equal ones share, and the numbers of those that have copies."""
+    seed = 0
+    while True:
+        rows = of.withColumn("row", F.xxhash64(F.lit(seed), "data"))
+        told = rows.select("row", *(F.xxhash64(F.lit(seed + k), "data").alias(f"h{k}") for k in (1, 2)))
+        copied = told.groupBy("row").agg(F.count("*").alias("n"), *(f(h).alias(f"{f.__name__}_{h}") for f in (F.min, F.max) for h in ("h1", "h2"))).where("n > 1")
+        copied = cut(copied.select("row", "n", (F.col("min_h1") != F.col("max_h1")) | (F.col("min_h2") != F.col("max_h2"))).toDF("row", "n", "mixed"))
+        if not copied.where("mixed").limit(1).count():
+            return rows, copied.select("row", "n")
+        seed += 3  # two texts met in one number: number them anew
 
 
-def removed(docs: DataFrame, *, hot: int = HOT) -> DataFrame:
+def removed(docs: DataFrame, *, hot: int = HOT, few: int = FEW) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept binary`` of every document."""
     bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     of = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("data"))
-    of = of.select("doc_id", F.xxhash64("doc_id", "data").alias("row"), "data")
-    path = f"{checkpoint_dir(spark)}/runs-{uuid.uuid4().hex}"
-    of.where(F.length("data") >= LENGTH).select("row", "data").mapInArrow(_run_batches, "bucket bigint, row bigint, run bigint").write.parquet(path)
-    found = spark.read.parquet(path)
+    size, none = F.length("data").cast("bigint"), F.lit(0).cast("bigint")
+    short = of.where(F.length("data") < LENGTH).select("doc_id", size.alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.col("data").alias("kept"))
+    rows, copied = _with_rows(of.where(F.length("data") >= LENGTH))
+    n_copied, n_copies = copied.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if n_copied <= few:
+        single = rows.join(F.broadcast(copied.select("row")), "row", "left_anti")
+        met = rows.join(F.broadcast(copied.select("row")), "row", "left_semi").groupBy("row").agg(F.first("data").alias("data"))
+    else:
+        single = rows.join(copied.select("row"), "row", "left_anti")
+        met = rows.groupBy("row").agg(F.first("data").alias("data"), F.count("*").alias("n")).where("n > 1")
+    copies = split_join(rows.select("row", "doc_id", size.alias("n_bytes")), copied, "row", n_copies)
+    copies = copies.select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("bigint").alias("n_spans"), F.lit(b"").alias("kept"))
+    each = single.select("doc_id", F.lit(True).alias("own"), "row", "data")
+    if n_copied:
+        one = staged(met.select("row", "data"))
+        each = each.unionByName(one.select(F.lit(None).cast("bigint").alias("doc_id"), F.lit(False).alias("own"), "row", "data"))
+
+    found = staged(each.select("row", "data").mapInArrow(_run_batches, "bucket bigint, row bigint, run bigint"))
     often = found.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
 
-    def fetched(wanted: DataFrame, to, schema: str, few: bool = False) -> DataFrame:
+    def fetched(wanted: DataFrame, to, schema: str, broadcast: bool = False) -> DataFrame:
         """``wanted`` are ``bucket, row, run``; a few are sent to the texts, for many the texts move."""
         lists = wanted.groupBy(F.col("row").alias("_row")).agg(F.collect_list(F.struct("bucket", "run")).alias("runs"))
-        return of.join(F.broadcast(lists) if few else lists, F.col("row") == F.col("_row")).select("doc_id", "row", "data", "runs").mapInArrow(to, schema)
+        return each.join(F.broadcast(lists) if broadcast else lists, F.col("row") == F.col("_row")).select("doc_id", "own", "row", "data", "runs").mapInArrow(to, schema)
 
     parts = spark.conf.get("spark.sql.shuffle.partitions")
-    rows = fetched(found.join(often.where(F.col("n") <= hot).select("bucket"), "bucket"), _fetch, "bucket bigint, place int, data binary, doc_id bigint, row bigint")
+    large = cut(often.where(F.col("n") > hot))
+    n_hot = large.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # rows of the large buckets meet nothing in the next join: they stay away where their list is short
+    rest = found.join(F.broadcast(large.select("bucket")), "bucket", "left_anti") if 0 < n_hot <= few * hot else found
+    cold = fetched(rest.join(often.where(F.col("n") <= hot).select("bucket"), "bucket", "left_semi"), _fetch, _FETCHED_DDL)
     spans = None
-    n_hot = often.where(F.col("n") > hot).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     if n_hot:
-        few = n_hot <= FEW_RUNS
-        of_hot = fetched(found.join(often.where(F.col("n") > hot).select("bucket"), "bucket"), _digest_runs, "bucket bigint, digest binary, size int, places array<int>, doc_id bigint, row bigint", few)
-        of_hot = cut(of_hot)
-        first = F.struct("row", (F.shiftleft(F.get("places", F.lit(0)).cast("bigint"), 16) + F.col("size") - LENGTH + 1).alias("run"))
-        kinds = cut(of_hot.groupBy("bucket", "digest").agg(F.sum(F.size("places")).alias("n"), F.min(first).alias("first")))
-        equal = of_hot.join(kinds.where("n > 1").select("bucket", "digest"), ["bucket", "digest"])
-        spans = equal.select("doc_id", "row", F.transform("places", lambda p: F.struct(p.alias("at"), (p + F.col("size")).alias("until"))).cast("array<struct<at:int,until:int>>").alias("spans"))
-        cuts = cut(fetched(kinds.select("bucket", "first.row", "first.run"), _pieces_of_runs, "bucket bigint, place int, data binary, doc_id bigint, row bigint", few))
-        shared = cuts.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-        rows = rows.unionByName(cuts.join(shared.where(F.col("n") <= hot).select("bucket"), "bucket").select(*rows.columns))
+        of_hot = staged(fetched(split_join(found, large, "bucket", n_hot), _distinct_runs, "bucket bigint, data binary, row bigint, places array<int>", n_hot <= few))
+        first = F.struct("row", F.get("places", F.lit(0)).alias("place"))
+        kinds = staged(of_hot.groupBy("bucket", "data").agg(F.sum(F.size("places")).alias("n"), F.count("*").alias("texts"), F.min(first).alias("first")))
+        twice = kinds.where("n > 1")
+        equal = split_join(of_hot, twice.select("bucket", "data", F.col("texts").alias("n")), ["bucket", "data"])
+        spans = equal.select("row", F.transform("places", lambda p: F.struct(p.alias("at"), (p + F.length("data")).alias("until"))).cast("array<struct<at:int,until:int>>").alias("spans"))
+        cuts = staged(kinds.select("bucket", "first.place", "data", "first.row").mapInArrow(_pieces_of_runs, _FETCHED_DDL))
+        shared = cut(cuts.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
+        cold = cold.unionByName(cuts.join(shared.where(F.col("n") <= hot).select("bucket"), "bucket", "left_semi").select(*cold.columns))
         if shared.where(F.col("n") > hot).limit(1).count():
-            counted = cuts.join(shared.where(F.col("n") > hot).select("bucket"), "bucket").mapInArrow(_digest_strings, "digest binary, doc_id bigint, row bigint, at int")
-            twice = counted.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
-            spans = spans.unionByName(counted.join(twice, "digest").select("doc_id", "row", F.array(F.struct(F.col("at"), (F.col("at") + LENGTH).alias("until"))).alias("spans")))
-    blocks = rows.repartition(int(parts), "bucket").sortWithinPartitions("bucket").mapInArrow(_sorted_blocks, _OUT_DDL)
+            counted = staged(split_join(cuts, shared.where(F.col("n") > hot), "bucket").select(*_FETCHED).mapInArrow(_strings, "data binary, row bigint, at int"))
+            often_met = counted.groupBy("data").agg(F.count("*").alias("n")).where("n > 1")
+            spans = spans.unionByName(split_join(counted, often_met, "data").select("row", F.array(F.struct(F.col("at"), (F.col("at") + LENGTH).alias("until"))).alias("spans")))
+    blocks = cold.repartition(int(parts), "bucket").sortWithinPartitions("bucket").mapInArrow(_sorted_blocks, "row bigint, spans array<struct<at:int,until:int>>")
     spans = blocks if spans is None else blocks.unionByName(spans)
-    lists = spans.groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).agg(F.collect_list("spans").alias("spans"))
-    # a null key has its own spans, and a row's hash alone decides nothing
-    both = of.join(lists, F.col("row") == F.col("_row"), "left").withColumn("spans", F.when(F.col("doc_id").eqNullSafe(F.col("_id")), F.col("spans")))
-    return both.select("doc_id", "data", "spans").mapInArrow(_keep, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    lists = spans.groupBy(F.col("row").alias("_row")).agg(F.collect_list("spans").alias("spans"))
+    both = each.join(lists, F.col("row") == F.col("_row"), "left")
+    kept = both.select("doc_id", "own", "row", "data", "spans").mapInArrow(_keep, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    return short.unionByName(copies).unionByName(kept)
 
 
 def digests(docs: DataFrame) -> DataFrame:

@@ -267,6 +267,18 @@ def test_suffixes(spark, hot):
     assert got == dict(enumerate(want))
 
 
+@pytest.mark.parametrize("few", [suffixes.FEW, 0])
+def test_suffixes_of_equal_rows(spark, few):
+    rng = random.Random(21)
+    long, other = ("".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (4700, 900))
+    rows = [(5, long)] * 1000 + [(None, other)] * 20 + [(None, None), (7, "s" * 199), (7, "s" * 199), (8, long[300:900] + other[:250]), (9, "".join(rng.choice("xyz") for _ in range(400)))]
+    want = sorted((r[0] is None, r[0] or 0, *w) for r, w in zip(rows, suffixes.brute([(t or "").encode() for _, t in rows]), strict=True))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in suffixes.removed(df, hot=20, few=few).collect())
+    assert got == want
+    assert suffixes.removed(df.where("false")).count() == 0
+
+
 def brute_spans(text):
     patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
     out = []
