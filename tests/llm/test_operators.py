@@ -155,6 +155,70 @@ def test_toxicity_counts_are_exact(spark):
     assert len(np.unique(held["context"])) == len({u for u, _ in want})
 
 
+def brute_gaps(texts, kinds):
+    """What each word says by Kneser-Ney models in dictionaries; kinds are 0, 1 or None."""
+    items = lambda t: re.findall(r"[a-z]+ ?", t)
+
+    def grams(item):
+        for k, c in enumerate(item):
+            padded = "^" * 9 + item[:k]
+            yield ("^" + item[:k] if k < toxicity.LONG else item[k - toxicity.LONG + 1 : k]), c, padded[-3:], padded[-4]
+
+    count = [Counter(), Counter(), Counter()]  # of each class, of all
+    before = defaultdict(set)
+    for t, kind in zip(texts, kinds, strict=True):
+        for item in items(t):
+            for u, c, v, x in grams(item):
+                before[v, c].add(x)
+                for k in [2] if kind is None else [2, kind]:
+                    count[k][u, c] += 1
+    total = Counter()
+    for (v, _), of in before.items():
+        total[v] += len(of)
+    size, after = [Counter() for _ in range(3)], [Counter() for _ in range(3)]
+    for k in range(3):
+        for (u, _), n in count[k].items():
+            size[k][u] += n
+            after[k][u] += 1
+
+    def backed(k, u, c, p, more):
+        n, m = count[k][u, c], size[k][u]
+        gained = max(n - toxicity.DISCOUNT, 0)
+        left = min(toxicity.DISCOUNT * max(after[k][u], 1), m - gained)
+        return (gained + (left + more) * p) / (m + more) if m + more else p
+
+    def gap(item):
+        out = 0.0
+        for u, c, v, _ in grams(item):
+            p = backed(2, u, c, (len(before[v, c]) + 0.1) / (total[v] + 6.4), 0.0)
+            out += np.log(backed(1, u, c, p, toxicity.SHARED) / backed(0, u, c, p, toxicity.SHARED))
+        return out
+
+    return [[gap(i) for i in items(t)] for t in texts]
+
+
+@pytest.mark.parametrize("few", [10**6, 3])
+def test_toxicity_is_kneser_ney(spark, few):
+    rng = random.Random(15)
+    spelled = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randrange(1, 14)))
+    some = [spelled("abc") for _ in range(60)]
+    bad = [spelled("abd") for _ in range(6)]
+    texts = [" ".join(rng.choice(some + bad * (k % 3 == 0)) for _ in range(40)) for k in range(120)]
+    kinds = [int(k % 3 == 0) if k < 100 else None for k in range(120)]
+    labels = spark.createDataFrame([(k, y) for k, y in enumerate(kinds) if y is not None], "doc_id long, toxic int")
+    df = frame(spark, [None, *texts, "", texts[3]], first=-1).unionAll(frame(spark, texts[:1]).where("doc_id = 0"))
+    model = toxicity.train(df, labels, few_grams=few, few_shorts=few)
+    got = defaultdict(list)
+    for r in toxicity.score(df, model).collect():
+        got[r.doc_id].append(r)
+    want = brute_gaps([*texts, texts[3], texts[0]], [*kinds, None, kinds[0]])
+    for k in range(120):
+        for r in got[k]:
+            bulk = [min(max(x, -toxicity.BULK), toxicity.BULK) for x in want[k]]
+            assert r.n_words == 40 and abs(r.bulk - np.mean(bulk)) < 1e-5 and abs(r.bulk + r.beyond - np.mean(want[k])) < 1e-5
+    assert len(got[0]) == 2 and got[-1][0].score == got[120][0].score and got[-1][0].n_words == 0 and got[3][0].score == got[121][0].score
+
+
 def test_toxicity_reads_words_to_their_ends(spark):
     rng = random.Random(12)
     texts = ["abcdefghijab" + (rng.choice("klm") if k % 2 else "xyzzy") + " " + " ".join(words(rng, 10)) for k in range(200)]
