@@ -76,6 +76,15 @@ def split_join(many: DataFrame, one: DataFrame, on: str | list[str], total: int
     return near.unionByName(far)
 
 
+def split_semi(many: DataFrame, one: DataFrame, on: str, total: int) -> DataFrame:
+    """The rows of ``many`` whose key is in a table as in ``split_join``; frequent keys, SPLIT at most, are filtered by value."""
+    frequent = [r[0] for r in one.where(F.col("n") > total / SPLIT).select(on).collect()]
+    if not frequent:
+        return many.join(one.select(on), on, "left_semi")
+    rest = many.where(~F.col(on).isin(frequent)).join(one.where(F.col("n") <= total / SPLIT).select(on), on, "left_semi")
+    return many.where(F.col(on).isin(frequent)).unionByName(rest.select(*many.columns))
+
+
 #: Rows of a batch that Python workers are sent, at most: whole texts, and some of them are long.
 BATCH_ROWS = 512
 

@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, pieces, split_join, staged
+from .common import bounded_batches, cut, pieces, split_join, split_semi, staged
 
 LENGTH, GRAM = 200, 32
 #: Runs of a bucket that one task gathers, at most, and bytes of a block.
@@ -342,7 +342,7 @@ def removed(docs: DataFrame, *, hot: int = HOT, few: int = FEW) -> DataFrame:
     else:
         single = rows.join(copied.select("row"), "row", "left_anti")
         met = rows.groupBy("row").agg(F.first("data").alias("data"), F.count("*").alias("n")).where("n > 1")
-    copies = split_join(rows.select("row", "doc_id", size.alias("n_bytes")), copied, "row", n_copies)
+    copies = split_semi(rows.select("row", "doc_id", size.alias("n_bytes")), copied, "row", n_copies)
     copies = copies.select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("bigint").alias("n_spans"), F.lit(b"").alias("kept"))
     each = single.select("doc_id", F.lit(True).alias("own"), "row", "data")
     if n_copied:
@@ -365,7 +365,7 @@ def removed(docs: DataFrame, *, hot: int = HOT, few: int = FEW) -> DataFrame:
     cold = fetched(rest.join(often.where(F.col("n") <= hot).select("bucket"), "bucket", "left_semi"), _fetch, _FETCHED_DDL)
     spans = None
     if n_hot:
-        of_hot = staged(fetched(split_join(found, large, "bucket", n_hot), _distinct_runs, "bucket bigint, data binary, row bigint, places array<int>", n_hot <= few))
+        of_hot = staged(fetched(split_semi(found, large, "bucket", n_hot), _distinct_runs, "bucket bigint, data binary, row bigint, places array<int>", n_hot <= few))
         first = F.struct("row", F.get("places", F.lit(0)).alias("place"))
         kinds = staged(of_hot.groupBy("bucket", "data").agg(F.sum(F.size("places")).alias("n"), F.count("*").alias("texts"), F.min(first).alias("first")))
         twice = kinds.where("n > 1")
@@ -375,7 +375,7 @@ def removed(docs: DataFrame, *, hot: int = HOT, few: int = FEW) -> DataFrame:
         shared = cut(cuts.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
         cold = cold.unionByName(cuts.join(shared.where(F.col("n") <= hot).select("bucket"), "bucket", "left_semi").select(*cold.columns))
         if shared.where(F.col("n") > hot).limit(1).count():
-            counted = staged(split_join(cuts, shared.where(F.col("n") > hot), "bucket").select(*_FETCHED).mapInArrow(_strings, "data binary, row bigint, at int"))
+            counted = staged(split_semi(cuts, shared.where(F.col("n") > hot), "bucket", n_hot).mapInArrow(_strings, "data binary, row bigint, at int"))
             often_met = counted.groupBy("data").agg(F.count("*").alias("n")).where("n > 1")
             spans = spans.unionByName(split_join(counted, often_met, "data").select("row", F.array(F.struct(F.col("at"), (F.col("at") + LENGTH).alias("until"))).alias("spans")))
     blocks = cold.repartition(int(parts), "bucket").sortWithinPartitions("bucket").mapInArrow(_sorted_blocks, "row bigint, spans array<struct<at:int,until:int>>")
