@@ -1,16 +1,20 @@
 """Licence scan: MinHash bands over text windows find templates, exact containment verifies them.
 
-Texts become five-word shingles.  Windows of ``WINDOW`` shingles, one every ``STRIDE``,
-overlap by half; each has ``HASHES`` min-hashes (the least of the shingles' hashes after an
-XOR with a constant) in ``BANDS`` bands of two.  A template's windows, one at every
-shingle, have the same; a shared band retrieves the template.  A template of fewer than
-``FEW_SHINGLES`` is retrieved by any of its shingles, which is a window of one shingle, whose
-bands always collide.  Two windows with Jaccard J collide with probability 1 - (1 - J^2)^4:
-0.98 at 0.8, and a notice of n shingles lies under n / 8 windows.
-
-Then the share of the template's distinct shingles that the text has is counted exactly; from
-``CONTAINMENT`` it is a match.  All of it is one projection of a document: nothing is
-shuffled, and a hot source is as cheap as any other.
+Texts become five-word shingles.  Windows of w shingles begin at each one, so that they overlap in all but
+one; each has ``HASHES`` min-hashes (the least of the shingles' hashes after an XOR with a constant) in ``BANDS``
+bands of two.  A template's windows have the same; a shared band retrieves the template.
+Two windows with Jaccard J collide with probability 1 - (1 - J^2)^4: 0.98 at 0.8, and 1 at 1.
+
+The width belongs to the template: the shingles that a match must have, ``WINDOW`` at most.  A notice that matches
+after edits keeps a run of w shingles, so that two windows are equal and collide for certain: what is put in, taken out, put
+in another's place or moved within a notice costs four shingles or more, or else is at its ends.  Of n shingles a fifth
+may be lost; below 20 that is no change within (n - lost >= w are left in one run), and from 20 on e <= n / 20 changes leave
+e + 1 runs of 0.8 n shingles, the longest of 8 or more.
+
+A band collides only where the text has the template's least shingles; texts without any of them are told by
+that and their windows aren't hashed.  Of a retrieved template the share of its
+distinct shingles that the text has is counted exactly; from ``CONTAINMENT`` it is a match.  All of it
+is one projection of a document: nothing is shuffled, and a hot source is as cheap as any other.
 
 Results: null and empty texts, and texts of fewer than five words, match nothing; equal texts match
 equally; a text may match several templates; columns besides the key and the text are
@@ -20,6 +24,7 @@ their bands go into the plan, so their number is checked against ``MOST_KEYS``.
 
 from __future__ import annotations
 
+import math
 import random
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,9 +34,8 @@ from .common import NEAR, let
 from .license_texts import TEMPLATES
 from .shingles import shingles, words
 
-WINDOW, STRIDE = 16, 8
-#: Shingles below which a template is retrieved by any of its own: with few windows, one edit may hide it from all bands.
-FEW_SHINGLES = 40
+#: Shingles of a window, at most.
+WINDOW = 8
 HASHES, BANDS = 8, 4
 CONTAINMENT = NEAR
 #: Band keys of all templates, at most: 8 bytes each in every task's plan.
@@ -41,45 +45,41 @@ _random = random.Random(20)
 _MASKS = [_random.getrandbits(63) for _ in range(HASHES)]
 
 
-def _bands(least: list[Column]) -> list[Column]:
-    """Keys of the bands of a window whose min-hashes these are."""
-    rows = HASHES // BANDS
-    return [F.xxhash64(F.lit(b), *least[b * rows : (b + 1) * rows]) for b in range(BANDS)]
+def width(n: int, containment: float = CONTAINMENT) -> int:
+    """Shingles of the windows of a template that has ``n`` of them."""
+    return max(1, min(WINDOW, math.ceil(containment * n - 1e-9)))
 
 
-def _least(window: Column) -> list[Column]:
-    return [F.array_min(F.transform(window, lambda x, m=m: x.bitwiseXOR(F.lit(m)))) for m in _MASKS]
+def _least(h: Column, w: int, mask: int) -> Column:
+    """Of the ``w`` shingles from each place on (fewer at the end), the least hash after the XOR."""
+    masked = F.transform(h, lambda x: x.bitwiseXOR(F.lit(mask)))
+    return let(masked, lambda x: F.transform(x, lambda _, i: F.array_min(F.slice(x, i + 1, F.lit(w)))))
 
 
-def _document_keys(h: Column) -> Column:
-    """Band keys of all windows of a text; its shingles ``h`` are not empty."""
-    blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(h) / STRIDE).cast("int") - 1), lambda b: F.slice(h, b * STRIDE + 1, F.lit(STRIDE)))
+def _unmasked(least: Column, mask: int) -> Column:
+    return F.transform(least, lambda x: x.bitwiseXOR(F.lit(mask)))
 
-    def over(found: Column) -> Column:
-        # the least of each block under each mask; a window is a block and the next one
-        minima = [F.transform(found, lambda x, m=m: F.array_min(F.transform(x, lambda y: y.bitwiseXOR(F.lit(m))))) for m in _MASKS]
-        rows = HASHES // BANDS
-        last = F.greatest(F.size(found) - 2, F.lit(0))
-        keys = []
-        for b in range(BANDS):
-            own = minima[b * rows : (b + 1) * rows]
-            keys.append(let(F.struct(*(x.alias(f"m{k}") for k, x in enumerate(own))), lambda s, b=b: F.transform(F.sequence(F.lit(0), last), lambda j: F.xxhash64(F.lit(b), *(F.least(F.get(s[f"m{k}"], j), F.coalesce(F.get(s[f"m{k}"], j + 1), F.get(s[f"m{k}"], j))) for k in range(rows))))))
-        return F.concat(*keys)
 
-    return let(blocks, over)
+def _band(h: Column, w: int, b: int) -> Column:
+    """Keys of a band of all windows of ``w`` shingles, in order."""
+    rows = HASHES // BANDS
+    least = [_least(h, w, m) for m in _MASKS[b * rows : (b + 1) * rows]]
+    return F.transform(F.arrays_zip(*(x.alias(f"m{k}") for k, x in enumerate(least))), lambda s: F.xxhash64(F.lit(w), F.lit(b), *(s[f"m{k}"] for k in range(rows))))
 
 
-def index(spark: SparkSession, templates: list[tuple[str, str]]) -> list[dict]:
-    """Of each template: name, distinct shingles, band keys of its windows (or its shingles, if it is short), and which of the two."""
+def index(spark: SparkSession, templates: list[tuple[str, str]], containment: float = CONTAINMENT) -> list[dict]:
+    """Of each template: name, distinct shingles, the width of its windows, their band keys and least shingles."""
     df = spark.createDataFrame(templates, "name string, text string")
-    df = df.select("name", shingles(words(F.col("text")), short=False).alias("h"))
-    windows = F.transform(F.sequence(F.lit(1), F.size("h") - WINDOW + 1), lambda i: F.slice("h", i, F.lit(WINDOW)))
-    banded = F.flatten(F.transform(windows, lambda w: F.array(*_bands(_least(w)))))
-    short = F.size("h") < FEW_SHINGLES
-    rows = df.select("name", short.alias("short"), F.array_distinct("h").alias("h"), F.array_distinct(F.when(short, F.col("h")).otherwise(banded)).alias("keys")).collect()
-    out = [r.asDict() for r in rows]
-    if any(not r["h"] for r in out):
+    rows = df.select("name", shingles(words(F.col("text")), short=False).alias("h")).collect()
+    if any(not r["h"] for r in rows):
         raise ValueError("a template needs five words")
+    out = []
+    for w in sorted({width(len(r["h"]), containment) for r in rows}):
+        own = spark.createDataFrame([(r["name"], r["h"]) for r in rows if width(len(r["h"]), containment) == w], "name string, h array<bigint>")
+        full = F.size("h") - w + 1  # windows that don't end early
+        banded = F.concat(*(F.slice(k, F.lit(1), full) for k in [_band(F.col("h"), w, b) for b in range(BANDS)]))
+        least = F.concat(*(_unmasked(F.slice(_least(F.col("h"), w, m), F.lit(1), full), m) for m in _MASKS))
+        out += [r.asDict() | {"width": w} for r in own.select("name", F.array_distinct("h").alias("h"), F.array_distinct(banded).alias("keys"), F.array_distinct(least).alias("least")).collect()]
     if (n := sum(len(r["keys"]) for r in out)) > MOST_KEYS:
         raise ValueError(f"{n} band keys: scan for the templates in parts of {MOST_KEYS} at most")
     return out
@@ -91,12 +91,10 @@ def _longs(of) -> Column:
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, *, containment: float = CONTAINMENT) -> DataFrame:
     """A row for each match: ``doc_id, license, containment, first_word`` (where the first shared shingle begins, from 0)."""
-    known = index(docs.sparkSession, templates)
-    short, long = ([r for r in known if r["short"] is s] for s in (True, False))
-
-    def hits(of: list[dict], keys: Column) -> Column:
-        """Which keys of these templates a text has."""
-        return F.array_intersect(_longs({k for r in of for k in r["keys"]}), keys)
+    known = index(docs.sparkSession, templates, containment)
+    keys = _longs({k for r in known for k in r["keys"]})
+    least = _longs({k for r in known for k in r["least"]})
+    widths = sorted({r["width"] for r in known})
 
     def verified(h: Column, found: Column) -> Column:
         """Names and shares of the retrieved templates."""
@@ -110,11 +108,10 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, *, conta
         return F.filter(F.array(*made), lambda m: m.isNotNull() & (m["containment"] >= F.lit(containment)))
 
     none = F.array().cast("array<struct<license:string,containment:double,first_word:bigint>>")
-    keyless = F.array().cast("array<bigint>")
 
     def matched(h: Column) -> Column:
-        found = F.concat(hits(short, h) if short else keyless, hits(long, _document_keys(h)) if long else keyless)
-        return F.when(F.size(h) == 0, none).otherwise(let(found, lambda k: F.when(F.size(k) == 0, none).otherwise(verified(h, k))))
+        found = F.concat(*(F.array_intersect(keys, F.flatten(F.array(*(_band(h, w, b) for b in range(BANDS))))) for w in widths))
+        return F.when(~F.arrays_overlap(least, h), none).otherwise(let(found, lambda k: F.when(F.size(k) == 0, none).otherwise(verified(h, k))))
 
     rows = docs.select("doc_id", let(shingles(words(F.col("text")), short=False), matched).alias("m")).where(F.size("m") > 0)
     return rows.select("doc_id", F.explode("m").alias("m")).select("doc_id", "m.license", "m.containment", "m.first_word")
