@@ -13,8 +13,9 @@ How often each pattern of votes occurs is counted over all documents; the patter
 few, whatever the input (``MOST_PATTERNS``).  Expectation-maximisation over these counts
 estimates, per kind, each labeler's rates for true and for false spans and the share of true
 ones; a logistic classifier over the votes is then trained on the resulting posteriors, again
-by pattern.  A looser candidate whose probability reaches ``THRESHOLD`` is added, unless it
-overlaps a base span or an added one before it; base spans that pass their rule always stay.
+by pattern.  A looser candidate whose probability reaches ``THRESHOLD`` is added, unless its check votes
+against it (a card that fails Luhn) or it overlaps a base span or an added one before it; base spans that pass their
+rule always stay.
 
 All work on texts is Column expressions; only counts of vote patterns come to the driver.
 Patterns start only where a run of their characters starts (or a match has ended) and don't
@@ -261,7 +262,7 @@ def _accepted(model: SpanModel, threshold: float) -> Column:
     """Keys of the vote patterns of looser candidates that the classifier takes for true spans."""
     from itertools import product
 
-    keys = [_code(k, v) for k in range(len(KINDS)) for v in product((-1, 0, 1), repeat=len(LABELERS)) if model.probability(k, v) >= threshold]
+    keys = [_code(k, v) for k in range(len(KINDS)) for v in product((-1, 0, 1), repeat=len(LABELERS)) if v[0] >= 0 and model.probability(k, v) >= threshold]
     return F.lit(keys or [-1]).cast("array<int>")
 
 
@@ -305,11 +306,15 @@ def _spelled(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["at"].cast("string"), s["until"].cast("string"))), ",")
 
 
+def _is_of(kind: int):
+    return lambda s: s["kind"] == kind  # a second parameter, were there one, would be given the place in the array
+
+
 def digests(docs: DataFrame) -> DataFrame:
     """Counts and digest of the base spans, and all spans spelled out."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     of = detect(docs)
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
+    counts = [F.size(F.filter("base", _is_of(k))).cast("bigint").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
     return of.select("doc_id", *counts, F.sha2(_spelled(F.col("base")).cast("binary"), 256).alias("base_sha256"), _spelled(F.array_sort(F.concat("base", "added"))).alias("spans"), F.size("added").cast("bigint").alias("n_added"))
 
 

@@ -250,6 +250,32 @@ def test_edited_short_licenses(spark):
     assert {(r.doc_id, r.license, r.containment) for r in got} == {(k, f"n{k}", 0.8) for k in range(100)}
 
 
+def test_licenses_of_all_lengths(spark):
+    rng = random.Random(16)
+    find = regex.compile(r"[\p{L}\p{N}]+").findall
+    cut = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    notices = [words(rng, n + 4, 10**6) for n in range(1, 61) for _ in range(3)]
+    texts = []
+    for n in notices:
+        for edits in range(4):
+            t = list(n)
+            for _ in range(edits):
+                at = rng.randrange(len(t))
+                t[at : at + rng.randrange(2)] = words(rng, rng.randrange(2), 10**6)
+                if rng.random() < 0.2:
+                    t = t[at:] + t[:at]  # turned round
+            texts.append(" ".join(words(rng, 7, 10**6) + t + words(rng, 9, 10**6)))
+    got = {(r.doc_id, r.license): r.containment for r in licenses.scan(frame(spark, texts), [(str(k), " ".join(n)) for k, n in enumerate(notices)]).collect()}
+    want = {}
+    for k, t in enumerate(texts):
+        share = len(cut(find(t)) & cut(notices[k // 4])) / len(cut(notices[k // 4]))
+        if share >= 0.8:
+            want[k, str(k // 4)] = share
+    assert got == want and len(want) > 250 and sum(v < 1 for v in want.values()) > 30
+    collide = [1 - (1 - j * j) ** licenses.BANDS for j in (0.8, 1.0)]
+    assert collide[0] > 0.98 and collide[1] == 1
+
+
 def test_fingerprints(spark):
     rng = random.Random(5)
     texts = ODD + [" ".join(words(rng, rng.randrange(1, 400))) for _ in range(60)]
@@ -364,11 +390,45 @@ def test_pii(spark):
         want = brute_spans(t or "")
         assert got[k].base_sha256 == hashlib.sha256(want.encode()).hexdigest()
         assert set(filter(None, want.split(","))) <= set(got[k].spans.split(","))
+        assert [got[k][f"n_{kind}"] for kind in pii.KINDS] == [want.count(kind + ":") for kind in pii.KINDS]
     assert pii.digests(frame(spark, texts).where("false")).count() == 0
     hidden = pii.masked(frame(spark, ["mail a@b.de or 1.2.3.4 now", None]).where("doc_id = 0")).first().text
     assert hidden == "mail <email> or <ip> now"
 
 
+def test_pii_added(spark):
+    rng = random.Random(17)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    def luhn(d):
+        return sum(v if k % 2 == 0 else v * 2 - 9 * (v > 4) for k, v in enumerate(map(int, reversed(d)))) % 10 == 0
+    good, bad, texts = set(), set(), []
+    for k in range(400):
+        name = "".join(rng.choice("abcdef") for _ in range(5))
+        wrong = next(d for d in iter(lambda: "4" + digits(15), None) if not luhn(d))
+        start, span, true = [
+            ("call my mobile ", f"({digits(3)}) {digits(3)}-{digits(4)}", True), ("contact me by email: ", f"{name} [at] {name}.com", True), ("mail to ", f"{name} [at] {name} [dot] org", True),
+            ("plain words and then ", f"{name}@{name}.org", None), ("ring +", f"49 30 {digits(7)}", None), ("card number ", wrong, False), ("visa card ", wrong, False),
+        ][k % 7]
+        texts.append(start + span + " and more words")
+        if true is not None:
+            (good if true else bad).add((k, len(start), len(start) + len(span)))
+    added = {(r.doc_id, s.at, s.until) for r in pii.detect(frame(spark, texts)).collect() for s in r.added}
+    print(f"added spans: precision {len(added & good) / len(added):.3f}, recall {len(added & good) / len(good):.3f}")
+    assert len(added & good) >= 0.9 * len(added) and len(added & good) >= 0.9 * len(good) and not added & bad
+
+
+def test_pii_estimates():
+    # three labelers that are right at known rates, one that says nothing
+    rng = np.random.default_rng(18)
+    true = rng.random(20000) < 0.3
+    votes = np.stack([np.where(rng.random(20000) < r, np.where(true, 1, -1), np.where(true, -1, 1)) for r in (0.95, 0.85, 0.75)] + [np.zeros(20000, int)], axis=1)
+    rows = [(0, False, v, n) for v, n in Counter(map(tuple, votes.tolist())).items()]
+    model = pii.fit(rows)
+    assert abs(model.share[0] - 0.3) < 0.05 and all(abs(model.rates[0, 1, j, 2] - r) < 0.05 for j, r in enumerate((0.95, 0.85, 0.75)))
+    said = {v: model.probability(0, v) >= 0.5 for _, _, v, _ in rows}
+    assert np.mean([said[tuple(v)] == t for v, t in zip(votes.tolist(), true, strict=True)]) > 0.93
+
+
 def test_lines(spark):
     rng = random.Random(10)
     line = lambda: " ".join(words(rng, 6))
