@@ -28,8 +28,8 @@ from .shingles import shingles, words
 
 BINS, BITS = 128, 8
 TRIES = 24
-#: Documents that stand in one range of keys, about.
-RANGE_ROWS = 1024
+#: Ranges of keys for each shuffle partition, and in all, at most: their bounds go into the plan.
+RANGES, MOST_RANGES = 4, 1 << 14
 
 _shift = 64 - (BINS.bit_length() - 1)
 _random = random.Random(5)
@@ -39,11 +39,16 @@ _orders = [_random.sample(range(BINS), BINS) for _ in range(BINS)]
 _sentinels = [((b - BINS // 2 + 1) << _shift) - 1 for b in range(BINS)]
 
 
+def _numbers(of: list[int], kind: str = "int") -> Column:
+    """A constant array as one literal: as one for each number it would fill the driver with the plan."""
+    return F.split(F.lit(",".join(map(str, of))), ",").cast(f"array<{kind}>")
+
+
 def bins(of: Column) -> Column:
     """Per bin the least hash, empty bins densified; of no shingles, an empty array."""
-    sentinels = F.lit(_sentinels).cast("array<bigint>")
-    tries = F.lit([x for row in _tries for x in row]).cast("array<int>")
-    orders = F.lit(_orders).cast("array<array<int>>")
+    sentinels = _numbers(_sentinels, "bigint")
+    tries = _numbers([x for row in _tries for x in row])
+    orders = _numbers([x for row in _orders for x in row])
     none = F.array().cast("array<bigint>")
 
     def firsts(s: Column) -> Column:
@@ -55,7 +60,7 @@ def bins(of: Column) -> Column:
         def fill(u: Column) -> Column:
             def value(x: Column, b: Column) -> Column:
                 tried = [F.get(u, F.get(tries, b * TRIES + k)) for k in range(TRIES)]
-                last = F.get(F.filter(F.transform(F.get(orders, b), lambda j: F.get(u, j)), lambda y: y.isNotNull()), F.lit(0))
+                last = F.get(F.filter(F.transform(F.slice(orders, b * BINS + 1, F.lit(BINS)), lambda j: F.get(u, j)), lambda y: y.isNotNull()), F.lit(0))
                 return F.coalesce(x, *tried, last)
 
             return F.transform(u, value)
@@ -67,7 +72,7 @@ def bins(of: Column) -> Column:
 
 def packed(values: Column) -> Column:
     """The low bits of all bins as lowercase hex; the empty string of no bins."""
-    digits = F.lit([f"{i:0{BITS // 4}x}" for i in range(1 << BITS)])
+    digits = F.split(F.lit(",".join(f"{i:0{BITS // 4}x}" for i in range(1 << BITS))), ",")
     return F.array_join(F.transform(values, lambda v: F.get(digits, v.bitwiseAND(F.lit((1 << BITS) - 1)).cast("int"))), "")
 
 
@@ -89,44 +94,56 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", packed(bins(shingles(words(F.col("text"))))).alias("fingerprint"))
 
 
+def _range(df: DataFrame, key: str, ranges: int) -> Column:
+    """The number of a row's range, from 1 in order of keys, 0 for a null: ranges hold about as many rows, wherever the keys are."""
+    steps = [k / ranges for k in range(1, ranges)]
+    bounds = df.agg(F.percentile_approx(key, F.lit(steps), F.lit(20 * ranges))).first()[0] if steps else None
+    if not bounds:
+        return F.when(F.col(key).isNull(), F.lit(0)).otherwise(F.lit(1))
+    # the place that the key takes among the bounds
+    place = F.array_position(F.sort_array(F.concat(_numbers(sorted(set(bounds)), "bigint"), F.array(key))), F.col(key))
+    return F.coalesce(place, F.lit(0)).cast("int")
+
+
 def following(keys: DataFrame, key: str, rows: int = 1_000_000) -> DataFrame:
     """``key, next``: the next lower of some distinct whole numbers; of the least, the greatest.
 
     Up to ``rows`` numbers are put in order by one task; more are cut into ranges, and only the
     ranges' greatest numbers go on.
     """
-    n, low, high = keys.agg(F.count("*"), F.min(key), F.max(key)).first()
+    n, high = keys.agg(F.count("*"), F.max(key)).first()
     if not n:
         return keys.select(F.col(key), F.col(key).alias("next"))
     if n <= rows:
         w = Window.partitionBy(F.lit(0)).orderBy(F.desc(key))
         return keys.select(key, F.coalesce(F.lead(key).over(w), F.lit(high)).alias("next"))
-    width = max(RANGE_ROWS, (high - low) * RANGE_ROWS // n)
-    of = keys.withColumn("_range", F.floor(F.col(key) / F.lit(width)).cast("bigint"))
+    of = keys.withColumn("_range", _range(keys, key, min(MOST_RANGES, 2 * n // rows + 1)))
     w = Window.partitionBy("_range").orderBy(F.desc(key))
     heads = of.groupBy("_range").agg(F.max(key).alias("_head"))
-    order = following(heads.select("_range"), "_range", rows).join(heads.select(F.col("_range").alias("next"), F.col("_head").alias("_first")), "next")
-    return of.withColumn("next", F.lead(key).over(w)).join(order.select("_range", "_first"), "_range").select(key, F.coalesce("next", "_first").alias("next"))
+    order = following(heads.select("_range"), "_range", MOST_RANGES).join(heads.select(F.col("_range").alias("next"), F.col("_head").alias("_first")), "next")
+    return of.withColumn("next", F.lead(key).over(w)).join(F.broadcast(order.select("_range", "_first")), "_range").select(key, F.coalesce("next", "_first").alias("next"))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """``doc_id, text, v, next_text, next_v``: each document, its bins, and those of the next by descending key; the first follows the last.
 
     Texts move once, to ranges of keys; only the first of each range moves again.  Rows of one key
-    follow each other by descending text.
+    follow each other by descending text, and null keys come last.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    n, low, high = docs.agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
-    width = max(1, ((high or 0) - (low or 0) + 1) * RANGE_ROWS // max(n, 1))
-    parts = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    ranged = docs.withColumn("range", F.coalesce((F.col("doc_id") - F.pmod("doc_id", F.lit(width))) / F.lit(width), F.lit(float(-(1 << 62)))).cast("bigint")).repartition(int(parts), "range")
-    ranged = ranged.withColumn("v", bins(shingles(words(F.col("text")))))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = docs.withColumn("range", _range(docs, "doc_id", min(MOST_RANGES, RANGES * parts)))
+    # MOST_RANGES + 1 rows at most: the greatest key of each range, and then its text
+    heads = ranged.groupBy("range").agg(F.max("doc_id").alias("_head"))
+    firsts = ranged.join(F.broadcast(heads.withColumnRenamed("range", "_range")), (F.col("range") == F.col("_range")) & F.col("doc_id").eqNullSafe(F.col("_head")))
+    firsts = firsts.groupBy("range").agg(F.max("text").alias("head_text"))
+    order = following(heads.select("range"), "range").join(firsts.withColumnRenamed("range", "next"), "next").drop("next")
+    ranged = ranged.repartitionByRange(parts, "range").withColumn("v", bins(shingles(words(F.col("text")))))
     w = Window.partitionBy("range").orderBy(F.desc("doc_id"), F.desc("text"))
-    placed = ranged.select("range", "doc_id", "text", "v", F.row_number().over(w).alias("rn"), F.lead("text").over(w).alias("next_text"), F.lead("v").over(w).alias("next_v"))
-    heads = placed.where("rn = 1").select(F.col("range").alias("next"), F.col("text").alias("head_text"), F.col("v").alias("head_v"))
-    order = following(ranged.select("range").distinct(), "range").join(heads, "next").drop("next")
-    out = placed.join(order, "range")
-    return out.select("doc_id", "text", "v", F.coalesce("next_text", "head_text").alias("next_text"), F.coalesce("next_v", "head_v").alias("next_v"))
+    placed = ranged.select("range", "doc_id", "text", "v", F.lead("text").over(w).alias("next_text"), F.lead("v").over(w).alias("next_v"))
+    out = placed.join(F.broadcast(order), "range")
+    head = bins(shingles(words(F.col("head_text"))))  # made for the last row of a range alone
+    return out.select("doc_id", "text", "v", F.coalesce("next_text", "head_text").alias("next_text"), F.coalesce("next_v", head).alias("next_v"))
 
 
 def compare_edited(docs: DataFrame) -> DataFrame:

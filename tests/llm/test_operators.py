@@ -304,6 +304,46 @@ def test_fingerprints(spark):
     assert {r.k: r.next for r in fingerprints.following(keys, "k", rows=100).collect()} == {k * k: (k - 1) ** 2 if k else 2999**2 for k in range(3000)}
 
 
+def brute_bins(hashes):
+    """One permutation and optimal densification, step by step."""
+    shift = 64 - (fingerprints.BINS.bit_length() - 1)
+    full = {}
+    for h in hashes:
+        b = (h >> shift) + fingerprints.BINS // 2  # signed hashes
+        if h != ((b - fingerprints.BINS // 2 + 1) << shift) - 1:
+            full[b] = min(h, full.get(b, h))
+    out = []
+    for b in range(fingerprints.BINS):
+        take = next((t for t in [b, *fingerprints._tries[b], *fingerprints._orders[b]] if t in full), None)
+        out.append(full[take])
+    return out if full else []
+
+
+def test_fingerprint_values(spark):
+    from quaere.llm import shingles as sh
+
+    rng = random.Random(19)
+    texts = ODD + [" ".join(words(rng, n)) for n in (1, 5, 6, 9, 20, 60, 300, 2000)]
+    df = frame(spark, texts)
+    hashes = {r.doc_id: r.h for r in df.select("doc_id", sh.shingles(sh.words(F.col("text"))).alias("h")).collect()}
+    for r in fingerprints.fingerprints(df).collect():
+        want = "".join(f"{v & 255:02x}" for v in brute_bins(hashes[r.doc_id])) if hashes[r.doc_id] else ""
+        assert r.fingerprint == want
+
+
+def test_fingerprints_of_any_keys(spark):
+    rng = random.Random(20)
+    keys = [0, 2**60, -(2**62), 2**62, 2**63 - 1, -(2**63), None, None, 7, 7, *range(-40, 40)]
+    rows = sorted(((k is not None, k or 0, " ".join(words(rng, 12))) for k in keys), reverse=True)
+    df = spark.createDataFrame([(k if told else None, t, 1) for told, k, t in rows], "doc_id long, text string, range int").repartition(3)
+    got = Counter((r.doc_id, r.edited_sha256) for r in fingerprints.compare_edited(df).collect())
+    want = Counter()
+    for (told, k, own), (_, _, after) in zip(rows, rows[1:] + rows[:1], strict=True):
+        third = len(own) // 3
+        want[k if told else None, hashlib.sha256((own[: len(own) - third] + after[:third]).encode()).hexdigest()] += 1
+    assert got == want
+
+
 def brute_tiles(doc, item, least):
     used_doc, used_item, out = [x < 0 for x in doc], [False] * len(item), []
     while True:
