@@ -13,17 +13,17 @@ s(0) = 1 and s(d) = 1 - exp(-s(d - 1)); as many runs are made as bring the chanc
 any of them to ``RECALL``.
 
 Equal sets are one set with a number of copies from the start.  Every pair is compared once: in
-the least of the leaves that it shares, which each set carries a list of.  A leaf first keeps the
-pairs whose min-hashes agree often enough (a pair at the threshold fails this once in some
-ten million times), and hands on sets and lists of partners, never pairs; only for those are
-whole sets fetched and compared exactly.  What a leaf gives back is each set's number of links
-and a spanning forest, from which connected components follow by least labels and
-pointer jumping.
+the least of the leaves that it shares, which each set carries a list of.  A leaf first tells the
+sets that have a partner whose min-hashes agree often enough (a pair at the threshold fails this once in some
+ten million times), and hands on those sets, never pairs; only they are
+fetched whole, and their leaf finds the pairs again and compares them exactly.  What a leaf gives back is each set's
+number of links and a spanning forest, from which connected components follow by least labels and
+pointer jumping.  Nodes, labels and sets that a large share of a join's rows have are joined by broadcast.
 
 Results: a document without words has an empty set, which is linked to none; a text of one to
-four words has one shingle; equal sets are linked whether or not their texts are equal; rows of one key
+four words has one shingle; equal sets are linked whether or not their texts are equal; rows of one key, or of none,
 count as documents of their own; columns besides the key and the text are ignored.  The class
-of a document is the least key of its connected component.
+of a document is the least key of its connected component (null where none of it has a key).
 """
 
 from __future__ import annotations
@@ -87,8 +87,8 @@ def shingle_set(text: str, size: int = SHINGLE_WORDS) -> np.ndarray:
     return np.unique(out)
 
 
-def _digest(items: np.ndarray) -> tuple[int, int]:
-    d = xxhash.xxh3_128_intdigest(items.tobytes())
+def _digest(items: np.ndarray, seed: int = 0) -> tuple[int, int]:
+    d = xxhash.xxh3_128_intdigest(items.tobytes(), seed)
     high, low = d >> 64, d & (1 << 64) - 1
     return high - (1 << 63), low - (1 << 63)
 
@@ -106,22 +106,22 @@ def signature(items: np.ndarray) -> np.ndarray:
     return np.array([_anew(items, m).min() for m in _MASKS]).astype(np.uint32).view(np.int32)
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _describe(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBatch]:
     empty = np.zeros(0, np.int32)
     for batch in pieces(batches):
         sets = [shingle_set(t) for t in texts(batch)]
-        keys = [_digest(s) for s in sets]
+        keys = [_digest(s, seed) for s in sets]
         signs = [signature(s) if len(s) else empty for s in sets]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(signs, pa.list_(pa.int32()))], ["doc_id", "set", "low", "signs"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("twin"), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(signs, pa.list_(pa.int32()))], ["doc_id", "twin", "set", "low", "signs"])
 
 
-def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _fetch(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBatch]:
     """Whole sets of the documents that are wanted, under the keys that they are wanted for."""
     for batch in pieces(batches):
         keys, items = [], []
         for key, text in zip(batch.column("set").to_pylist(), texts(batch), strict=True):
             s = shingle_set(text)
-            if _digest(s)[0] == key:  # a key of several rows may stand for another text
+            if _digest(s, seed)[0] == key:  # a hash of two texts may stand for the other one
                 keys.append(key)
                 items.append(s.tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(items, pa.binary())], ["set", "items"])
@@ -140,57 +140,56 @@ def _groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[lis
         yield held
 
 
+#: What a part of a leaf is told of each of its sets.
+_MEMBER = ["part", "leaf", "set", "copies", "signs", "leaves", "block", "first", "second"]
+
+
+def _pairs(rows: list[tuple]) -> np.ndarray:
+    """Which sets of a part (columns ``_MEMBER``) are a pair to compare: a half matrix."""
+    n, leaf = len(rows), rows[0][1]
+    signs = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(n, COORDINATES)
+    if n <= 128:
+        equal = np.count_nonzero(signs[:, None, :] == signs[None, :, :], axis=2)
+    else:
+        equal = np.zeros((n, n), np.uint8)
+        for k in range(COORDINATES):
+            equal += signs[:, k, None] == signs[None, :, k]
+    pair = np.triu(equal >= LEAST_EQUAL, 1)
+    if rows[0][7] != rows[0][8]:
+        blocks = np.array([r[6] for r in rows])
+        pair &= blocks[:, None] != blocks[None, :]
+    if pair.any():
+        # an earlier leaf that both are in has compared them
+        column: dict[int, list[int]] = {}
+        for i, r in enumerate(rows):
+            for other in r[5]:
+                if other < leaf:
+                    column.setdefault(other, []).append(i)
+        shared = [v for v in column.values() if len(v) > 1]
+        if shared:
+            inside = np.zeros((n, len(shared)), np.float32)
+            for j, v in enumerate(shared):
+                inside[v, j] = 1
+            pair &= (inside @ inside.T) == 0
+    return pair
+
+
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each leaf (or pair of blocks): the sets with a candidate partner, and the partners that come after each."""
-    names = ["part", "leaf", "set", "copies", "signs", "leaves", "block", "first", "second"]
-    out: list[list] = [[], [], [], []]
-    for rows in _groups(batches, names):
-        n = len(rows)
-        if n > 1:
-            leaf = rows[0][1]
-            signs = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(n, COORDINATES)
-            if n <= 128:
-                equal = np.count_nonzero(signs[:, None, :] == signs[None, :, :], axis=2)
-            else:
-                equal = np.zeros((n, n), np.uint8)
-                for k in range(COORDINATES):
-                    equal += signs[:, k, None] == signs[None, :, k]
-            pair = np.triu(equal >= LEAST_EQUAL, 1)
-            blocks = np.array([r[6] for r in rows])
-            if rows[0][7] != rows[0][8]:
-                pair &= blocks[:, None] != blocks[None, :]
-            if pair.any():
-                # an earlier leaf that both are in has compared them
-                column: dict[int, list[int]] = {}
-                for i, r in enumerate(rows):
-                    for other in r[5]:
-                        if other < leaf:
-                            column.setdefault(other, []).append(i)
-                shared = [v for v in column.values() if len(v) > 1]
-                if shared:
-                    inside = np.zeros((n, len(shared)), np.float32)
-                    for j, v in enumerate(shared):
-                        inside[v, j] = 1
-                    pair &= (inside @ inside.T) == 0
-            a, b = np.nonzero(pair)
-            if len(a):
-                keys = np.array([r[2] for r in rows])
-                wanted = np.unique(np.concatenate([a, b]))
-                partners = dict(zip(np.unique(a).tolist(), np.split(keys[b], np.flatnonzero(np.diff(a)) + 1), strict=True))
-                for i in wanted.tolist():
-                    for k, v in enumerate((rows[0][0], rows[i][2], rows[i][3], partners.get(i, []))):
-                        out[k].append(v)
-        if len(out[0]) > 1000:
-            yield _candidate_rows(out)
-            out = [[], [], [], []]
-    yield _candidate_rows(out)
-
-
-def _candidate_rows(out: list[list]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)], ["part", "set", "copies", "partners"])
-
-
-def verify(sets: list[np.ndarray], copies: list[int], partners: list[list[int]], least: float = SIMILARITY) -> tuple[list[int], list[int], list[int]]:
+    """Of each part: the sets with a candidate partner."""
+    names, kinds = ["part", "leaf", "set", "block", "first", "second"], [pa.int64()] * 3 + [pa.int32()] * 3
+    out: list[tuple] = []
+    made = lambda: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 6, kinds, strict=True)], names)
+    for rows in _groups(batches, _MEMBER):
+        if len(rows) > 1:
+            pair = _pairs(rows)
+            out += [(r[0], r[1], r[2], r[6], r[7], r[8]) for r, some in zip(rows, pair.any(axis=0) | pair.any(axis=1), strict=True) if some]
+        if len(out) > 10_000:
+            yield made()
+            out = []
+    yield made()
+
+
+def verify(sets: list[np.ndarray], copies: list[int], partners: list[np.ndarray], least: float = SIMILARITY) -> tuple[list[int], list[int], list[int]]:
     """Exact comparison of each set with its partners (by number): links to documents, links to sets, and roots of the linked."""
     values, local = np.unique(np.concatenate(sets), return_inverse=True)
     sizes = np.array([len(s) for s in sets])
@@ -209,7 +208,6 @@ def verify(sets: list[np.ndarray], copies: list[int], partners: list[list[int]],
         if not len(of):
             continue
         mark[parts[i]] = 1
-        of = np.asarray(of)
         both = np.add.reduceat(mark[np.concatenate([parts[j] for j in of])], np.cumsum(sizes[of]) - sizes[of])
         mark[parts[i]] = 0
         near = of[both >= least * (sizes[i] + sizes[of] - both) - 1e-9]
@@ -225,10 +223,10 @@ def verify(sets: list[np.ndarray], copies: list[int], partners: list[list[int]],
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows in _groups(batches, ["part", "set", "copies", "partners", "items"]):
-        place = {r[1]: k for k, r in enumerate(rows)}
-        links, others, root = verify([np.frombuffer(r[4], np.uint64) for r in rows], [r[2] for r in rows], [[place[p] for p in r[3] if p in place] for r in rows])
-        keys = [r[1] for r in rows]
+    for rows in _groups(batches, [*_MEMBER, "items"]):
+        pair = _pairs(rows)
+        links, others, root = verify([np.frombuffer(r[9], np.uint64) for r in rows], [r[3] for r in rows], [np.flatnonzero(x) for x in pair])
+        keys = [r[2] for r in rows]
         kept = [k for k in range(len(rows)) if links[k]]
         yield pa.RecordBatch.from_arrays([pa.array([keys[k] for k in kept], pa.int64()), pa.array([keys[root[k]] for k in kept], pa.int64()), pa.array([links[k] for k in kept], pa.int64()), pa.array([others[k] for k in kept], pa.int64())], ["set", "root", "links", "others"])
 
@@ -246,7 +244,7 @@ def _leaves(sets: DataFrame, limit: int, depth: int) -> DataFrame:
     out = None
     for level in range(1, depth + 1):
         sizes = nodes.groupBy("leaf").agg(F.count("*").alias("size")).where("size > 1")
-        sized = cut(nodes.join(sizes, "leaf"))
+        sized = cut(split_join(nodes, cut(sizes.withColumn("n", F.col("size"))), "leaf"))
         done = sized if level == depth else sized.where(F.col("size") <= limit)
         out = done if out is None else out.unionByName(done)
         large = sized.where(F.col("size") > limit)
@@ -262,15 +260,17 @@ def _leaves(sets: DataFrame, limit: int, depth: int) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """``set, root``: the least set of each one's connected component, for ``set, root`` edges."""
     both = cut(edges.select("set", "root").unionByName(edges.select(F.col("root").alias("set"), F.col("set").alias("root"))).distinct())
-    labels = cut(both.groupBy("set").agg(F.least(F.min("root"), F.col("set")).alias("label")))
+    total = both.count()
+    labels = cut(both.groupBy("set").agg(F.least(F.min("root"), F.col("set")).alias("label"), F.count("*").alias("n")))
     while True:
-        near = both.join(labels.select(F.col("set").alias("root"), "label"), "root").groupBy("set").agg(F.min("label").alias("near"))
-        least = labels.join(near, "set").select("set", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        near = split_join(both, labels.select(F.col("set").alias("root"), "label", "n"), "root", total).groupBy("set").agg(F.min("label").alias("near"))
+        least = cut(labels.join(near, "set").select("set", "n", F.col("label").alias("old"), F.least("label", "near").alias("label")))
         # a label's own label is a shorter way to the least one
-        jump = least.select(F.col("set").alias("label"), F.col("label").alias("further"))
-        new = cut(least.join(jump, "label", "left").select("set", "old", F.least("label", F.coalesce("further", "label")).alias("label")))
+        jump = least.groupBy("label").agg(F.count("*").alias("n")).join(least.select(F.col("set").alias("label"), F.col("label").alias("further")), "label", "left")
+        new = split_join(least.withColumnRenamed("n", "degree"), jump, "label")
+        new = cut(new.select("set", F.col("degree").alias("n"), "old", F.least("label", F.coalesce("further", "label")).alias("label")))
         changed = new.where("label <> old").limit(1).count()
-        labels = new.select("set", "label")
+        labels = new.select("set", "label", "n")
         if not changed:
             return labels.select("set", F.col("label").alias("root"))
 
@@ -280,9 +280,15 @@ def join(docs: DataFrame, *, limit: int = LIMIT, depth: int = DEPTH) -> DataFram
     at the threshold, copies included) and ``n_set_links`` (different sets among them)."""
     bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    all_rows = staged(docs.mapInArrow(_describe, "doc_id bigint, set bigint, low bigint, signs array<int>"))
-    sets = staged(all_rows.groupBy("set", "low").agg(F.count("*").alias("copies"), F.min("doc_id").alias("set_id"), F.first("signs").alias("signs")))
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("twin"), "text")
+    seed = 0
+    while True:
+        all_rows = staged(docs.mapInArrow(lambda batches, seed=seed: _describe(batches, seed), "doc_id bigint, twin bigint, set bigint, low bigint, signs array<int>"))
+        one = F.min(F.struct("doc_id", "twin")).alias("one")
+        sets = staged(all_rows.groupBy("set", "low").agg(F.count("*").alias("copies"), F.min("doc_id").alias("set_id"), one, F.first("signs").alias("signs")))
+        if not sets.groupBy("set").count().where("count > 1").limit(1).count():
+            break
+        seed += 1  # two sets met in half of their digests: number them anew
     leaves = cut(_leaves(sets, limit, depth))
     half = F.lit(max(1, limit // 2))
     lists = leaves.groupBy("set").agg(F.collect_list("leaf").alias("leaves"))
@@ -296,28 +302,30 @@ def join(docs: DataFrame, *, limit: int = LIMIT, depth: int = DEPTH) -> DataFram
     members = members.select("leaf", "set", "copies", "signs", "leaves", "block", F.inline(pairs))
     members = members.select(F.xxhash64("leaf", "first", "second").alias("part"), "leaf", "set", "copies", "signs", "leaves", "block", "first", "second")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    wanted = members.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_candidates, "part bigint, set bigint, copies bigint, partners array<bigint>")
-    wanted = staged(wanted)
-    ids = cut(wanted.select("set").distinct().join(sets.select("set", "set_id"), "set").select("set", F.col("set_id").alias("_id")))
+    wanted = staged(members.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_candidates, "part bigint, leaf bigint, set bigint, block int, first int, second int"))
+    ids = cut(wanted.select("set").distinct().join(sets, "set").select("set", F.col("one.doc_id").alias("_id"), F.col("one.twin").alias("_twin")))
     few = ids.limit(FEW_SETS + 1).count() <= FEW_SETS
-    fetched = docs.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("_id")).select("set", "text").mapInArrow(_fetch, "set bigint, items binary").dropDuplicates(["set"])
-    whole = wanted.join(fetched, "set").repartition(parts, "part").sortWithinPartitions("part").select("part", "set", "copies", "partners", "items")
+    fetched = docs.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("twin") == F.col("_twin")))
+    fetched = fetched.select("set", "text").mapInArrow(lambda batches: _fetch(batches, seed), "set bigint, items binary").dropDuplicates(["set"])
+    whole = wanted.join(info.join(fetched, "set"), "set").repartition(parts, "part").sortWithinPartitions("part").select(*_MEMBER, "items")
     linked = cut(whole.mapInArrow(_verified, "set bigint, root bigint, links bigint, others bigint"))
     counts = linked.groupBy("set").agg(F.sum("links").alias("links"), F.sum("others").alias("others"))
     roots = components(linked.where("set <> root").select("set", "root"))
-    firsts = roots.join(sets.select("set", "set_id"), "set").groupBy("root").agg(F.min("set_id").alias("class_id"))
-    known = sets.select("set", "low", "copies", "set_id", (F.size("signs") > 0).alias("words")).join(counts, "set", "left").join(roots.join(firsts, "root"), "set", "left")
+    firsts = cut(roots.join(sets.select("set", "set_id"), "set").groupBy("root").agg(F.min("set_id").alias("class_id"), F.count("*").alias("n")))
+    known = sets.select("set", "copies", "set_id", (F.size("signs") > 0).alias("words")).join(counts, "set", "left").join(split_join(roots, firsts, "root"), "set", "left")
     own = F.when(F.col("words"), F.col("copies") - 1).otherwise(F.lit(0))
     # documents without words are all of one set but of no one's class
     set_id = F.when(F.col("words"), F.col("set_id"))
-    known = known.select("set", "low", set_id.alias("set_id"), F.coalesce("class_id", set_id).alias("class_id"), (own + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("others", F.lit(0)).alias("n_set_links"))
-    out = all_rows.select("doc_id", "set", "low").join(known, ["set", "low"])
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("set_id", "doc_id").alias("set_id"), F.col("n_links").cast("bigint").alias("n_links"), F.col("n_set_links").cast("bigint").alias("n_set_links"))
+    class_id = F.when(F.col("root").isNotNull(), F.col("class_id")).otherwise(set_id)
+    known = cut(known.select("set", "words", set_id.alias("set_id"), class_id.alias("class_id"), (own + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("others", F.lit(0)).alias("n_set_links"), F.col("copies").alias("n")))
+    out = split_join(all_rows.select("doc_id", "set"), known, "set")
+    own_id = lambda c: F.when(F.col("words"), F.col(c)).otherwise(F.col("doc_id")).alias(c)
+    return out.select("doc_id", own_id("class_id"), own_id("set_id"), F.col("n_links").cast("bigint").alias("n_links"), F.col("n_set_links").cast("bigint").alias("n_set_links"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each class, the one with the least key, with all its columns; rows of one key stay together."""
-    dropped = join(docs).groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept")).where("NOT kept")
+    """One document of each class, the one with the least key, with all its columns; rows of one key stay together, those without a key stay."""
+    dropped = join(docs).groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept")).where("NOT kept AND doc_id IS NOT NULL")
     dropped = cut(dropped.select(F.col("doc_id").alias("_dropped")))
     few = dropped.limit(FEW_SETS + 1).count() <= FEW_SETS
     return docs.join(F.broadcast(dropped) if few else dropped, F.col("doc_id") == F.col("_dropped"), "left_anti")

@@ -1,6 +1,7 @@
 """Each operator on small rows, against brute force, an exact round trip or held-out accuracy."""
 
 import hashlib
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -87,6 +88,32 @@ def test_jaccard(spark, limit):
     assert {r.doc_id for r in jaccard.keep_one(frame(spark, texts)).collect()} == {k for k, (c, _) in got.items() if k == c}
 
 
+def test_jaccard_of_rows_without_keys(spark):
+    rng = random.Random(22)
+    base = words(rng, 100, 10**6)
+    near = " ".join([*base[:50], "zz", *base[51:]])
+    rows = [(None, " ".join(base)), (None, near), (None, "alone " * 3), (4, " ".join(base)), (4, near), (9, None), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.class_id, r.n_links) for r in jaccard.join(df).collect())
+    assert got == Counter([(None, 4, 3)] * 2 + [(4, 4, 3)] * 2 + [(None, None, 0)] * 2 + [(9, 9, 0)])
+    only = df.where("doc_id IS NULL")
+    assert Counter((r.class_id, r.n_links) for r in jaccard.join(only).collect()) == Counter({(None, 1): 2, (None, 0): 2})
+    assert Counter(r.doc_id for r in jaccard.keep_one(df).collect()) == Counter({None: 4, 4: 2, 9: 1})
+    assert jaccard.join(df.where("false")).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no tables")
+def test_jaccard_recall(spark):
+    rows = sorted(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect())
+    want = brute_links([r.text for r in rows])
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()}
+    ends = sum(n for _, n in want.values())
+    recall = sum(min(got[r.doc_id][1], want[k][1]) for k, r in enumerate(rows)) / ends
+    print(f"measured recall of link ends on sf0.01: {recall:.4f} of {ends}")
+    assert recall >= 0.99 and all(got[r.doc_id][1] <= want[k][1] for k, r in enumerate(rows))
+    assert {r.doc_id: got[r.doc_id][0] for r in rows} == {r.doc_id: rows[want[k][0]].doc_id for k, r in enumerate(rows)}
+
+
 def dropped_by_signature(shared, union, pairs=2000):
     rng = np.random.default_rng(13)
     sets = [rng.integers(0, 1 << 64, union, np.uint64) for _ in range(pairs)]
