@@ -186,18 +186,18 @@ def _rolled(ids: np.ndarray, length: int, at: np.ndarray | None = None) -> np.nd
     return h
 
 
-def _parts(benchmark: DataFrame, least: int, part_words: int) -> list[Benchmark]:
-    """The benchmark in parts whose size is checked."""
+def _parts(benchmark: DataFrame, least: int, part_words: int) -> Iterator[Benchmark]:
+    """The benchmark in parts whose size is checked, one at a time on the driver."""
     rows: list[tuple[object, str | None]] = []
-    out, held = [], 0
+    held = 0
     for row in benchmark.select("item_id", "text").toLocalIterator():
         n = len(words(row["text"]))
         if rows and held + n > part_words:
-            out.append(Benchmark.of(rows, least))
+            yield Benchmark.of(rows, least)
             rows, held = [], 0
         rows.append((row["item_id"], row["text"]))
         held += n
-    return [*out, Benchmark.of(rows, least)]
+    yield Benchmark.of(rows, least)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, *, least: int = SHINGLE_WORDS, coverage: float = COVERAGE, part_words: int = PART_WORDS) -> DataFrame:
