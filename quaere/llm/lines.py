@@ -8,7 +8,8 @@ bytes; every occurrence but the first (by key, then place) of a chunk of two lin
 goes.
 
 Only hashes of chunks are compared globally, after counting on the map side; then each
-document's text moves once, and only the text of repeated chunks besides.
+document's text moves once, and only the text of repeated chunks besides.  A chunk that is a large
+share of them all is joined by broadcast.
 
 Results: a null text stays null, an empty one empty; single lines and chunks of white space stay;
 a document may lose all its lines and stays with an empty text; rows of one key are told
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, let
+from .common import cut, let, split_join, staged
 
 
 def chunks(text: Column) -> Column:
@@ -61,12 +62,12 @@ def repeated(docs: DataFrame) -> DataFrame:
     of = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_twin"), chunks(F.col("text")).alias("c"))
     keyed = of.select("_id", "_twin", F.posexplode(F.transform("c", lambda c: F.when(_told(c), F.xxhash64(c["text"])))).alias("at", "k")).where("k IS NOT NULL")
     keyed = cut(keyed)
-    often = keyed.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k")
-    places = keyed.join(often, "k").groupBy("_id", "_twin").agg(F.collect_set("at").alias("_places"))
+    often = cut(keyed.groupBy("k").agg(F.count("*").alias("n")).where("n > 1"))
+    places = split_join(keyed, often, "k").groupBy("_id", "_twin").agg(F.collect_set("at").alias("_places"))
     fetched = let(chunks(F.col("text")), lambda c: F.transform("_places", lambda p: F.named_struct(F.lit("at"), p, F.lit("chunk"), F.get(c, p)["text"])))
-    held = _joined(docs, places, "inner").select("_id", "_twin", F.inline(fetched))
-    first = held.groupBy("chunk").agg(F.min(F.struct("_id", "_twin", "at")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    gone = held.join(first, "chunk").where(F.struct("_id", "_twin", "at") != F.col("first"))
+    held = staged(_joined(docs, places, "inner").select("_id", "_twin", F.inline(fetched)), "chunks")
+    first = cut(held.groupBy("chunk").agg(F.min(F.struct("_id", "_twin", "at")).alias("first"), F.count("*").alias("n")).where("n > 1"))
+    gone = split_join(held, first, "chunk").where(F.struct("_id", "_twin", "at") != F.col("first"))
     return gone.groupBy("_id", "_twin").agg(F.array_sort(F.collect_set("at")).alias("_gone"))
 
 
