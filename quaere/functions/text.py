@@ -142,6 +142,6 @@ def mark_answer(text: Column, answer: Column) -> Column:
         return x
 
     whole, part = escaped(text), escaped(answer)
-    at = F.locate_expr(part, whole) if hasattr(F, "locate_expr") else F.call_function("locate", part, whole)
+    at = F.position(part, whole)
     marked = F.concat(F.substring(whole, F.lit(1), at - 1), F.lit("<mark>"), part, F.lit("</mark>"), F.substring(whole, at + F.length(part), F.length(whole)))
     return F.when((part == "") | (at == 0), whole).otherwise(marked)

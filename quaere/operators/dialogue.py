@@ -16,11 +16,12 @@ from . import answers, facts, index
 
 #: Fixed texts of replies that need no documents.
 SMALL_TALK = {
-    "farewell": "Goodbye.",
-    "thanks": "Happy to help. Anything else?",
+    "farewell": "Until next time.",
+    "thanks": "You are welcome; go on asking.",
     "help": "Ask about a person, a date, a place or a number and I will name it with the sentence it stands in; ask why or what something is and I will quote the sentence. Follow-ups such as \"and when?\" work.",
 }
-SUGGESTIONS = ["Who wrote ELIZA?", "When was WordNet begun?", "Which company released word2vec?", "What is a synset?", "How many synsets does WordNet contain?", "Why does BM25 normalise for length?"]
+#: Questions of the kinds that are answered, for any collection.
+SUGGESTIONS = ["Who is the first author named here?", "In which year did it begin?", "Where is the institute?", "How many pages are there?", "What is the main topic?", "Why is that so?"]
 
 
 def described(turns: DataFrame, facts_: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -95,9 +96,9 @@ def respond(turns: DataFrame, *, documents: DataFrame, passages: DataFrame, post
     n = documents.agg(F.count("*").alias("n_docs")).crossJoin(titles)
     replied = known.select("query_id", F.lit("knowledge base").alias("route"), F.concat("object", F.lit(".")).alias("reply")).unionByName(found.select("query_id", F.lit("retrieval").alias("route"), F.col("text").alias("reply")))
     out = rows.join(replied, "query_id", "left").join(missing, "query_id", "left").join(F.broadcast(n))
-    refusal = F.when(F.col("missing").isNotNull(), F.concat(F.lit("Nothing in the "), F.col("n_docs").cast("string"), F.lit(" documents mentions "), F.array_join(F.transform("missing", lambda t: F.concat(F.lit("“"), t, F.lit("”"))), ", "), F.lit(".")))
-    refusal = refusal.otherwise(F.lit("Related passages were found, but nothing that answers that directly."))
-    talk = F.when(F.col("intent") == "greeting", F.concat(F.lit("Hello. I answer questions from "), F.col("n_docs").cast("string"), F.lit(" documents."))).when(F.col("intent") == "documents", F.concat(F.lit("I have "), F.col("n_docs").cast("string"), F.lit(" documents: "), F.col("titles"), F.lit(".")))
+    refusal = F.when(F.col("missing").isNotNull(), F.concat(F.lit("None of "), F.col("n_docs").cast("string"), F.lit(" documents speaks of "), F.array_join(F.transform("missing", lambda t: F.concat(F.lit("“"), t, F.lit("”"))), ", "), F.lit(".")))
+    refusal = refusal.otherwise(F.lit("No passage answers that, though some are about it."))
+    talk = F.when(F.col("intent") == "greeting", F.concat(F.lit("Good to see you. "), F.col("n_docs").cast("string"), F.lit(" documents are ready for your questions."))).when(F.col("intent") == "documents", F.concat(F.lit("The collection counts "), F.col("n_docs").cast("string"), F.lit(" documents, among them: "), F.col("titles"), F.lit(".")))
     for name, text in SMALL_TALK.items():
         talk = talk.when(F.col("intent") == name, F.lit(text))
     route = F.when(F.col("intent") != "question", "conversation").otherwise(F.coalesce("route", F.lit("none")))

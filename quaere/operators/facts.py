@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of subjects or aliases up to which they are compared with every question; beyond, by their first words.
-FEW_NAMES = 10_000
+#: Names up to which each is looked for in every question; more are joined to the questions' runs of words.
+FEW_NAMES = 16
 
 
 def subjects(facts: DataFrame) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from ..functions.rules import INTENT_RULES, PUNCTUATION, QUESTION_RULES
-from ..functions.spans import ABBREVIATIONS
+from ..functions.rules import INTENT_RULES, PRONOUNS, PUNCTUATION, QUESTION_ONLY, QUESTION_RULES
+from ..functions.spans import ABBREVIATIONS, NAME, NUMBER, YEAR
 from ..functions.text import STOPWORDS, TOKEN, quoted, stem_sql
 from ..params import DEFAULTS as P
 from .tables import ALIASES, CUES, FOLLOW_UPS
@@ -178,6 +178,50 @@ TURNS = f"turns AS (SELECT conv_id, turn, text FROM conversations WHERE role = '
 
 _KINDS = ["How many {} are there?", "Who wrote {}?", "When was {} made?", "Where is {}?", "Which company owns {}?", "What is a {}?", "Why does {} matter?", "Which method finds {}?", "Tell me of {}"]
 
+
+
+def short(x: str, limit: int) -> str:
+    return rf"CASE WHEN length({x}) <= {limit} THEN {x} ELSE regexp_replace(substr({x}, 1, {limit - 1}), '\s+$', '') || '…' END"
+
+
+_HEADING = stripped(r"regexp_extract(substr(text, 1, 400), '(?m)^#\s+(.+?)\s*$', 1)")
+_LINE = "substr(" + stripped(r"regexp_extract(text, '(?m)^[ \t]*#*[ \t]*([^#\s].*)$', 1)") + ", 1, 120)"
+_BODY = flat(r"regexp_replace(text, '\A#\s+(.+?)[ \t]*(?:\n\s*|\z)', '')")
+_PLAIN = f"replace(array_to_string(list_filter(string_split({flat('text')}, ' '), lambda w: trim(w, '#') <> ''), ' '), '# ', '')"
+DISPLAY = f"SELECT doc_id, title, {short('body', 180)} AS preview, {short('plain', 240)} AS snippet FROM (SELECT doc_id, coalesce(nullif({_HEADING}, ''), nullif({_LINE}, ''), 'Document') AS title, {_BODY} AS body, {_PLAIN} AS plain FROM documents)"
+
+#: Letters beyond ASCII: at the edge of a word they count as its part.
+_LETTERS = "[ªµºÀ-ÖØ-öø-ʸͰ-῿぀-퟿]"
+
+
+def found(pattern: str, kind: int, label: str) -> str:
+    """Matches of a pattern in ``t(doc_id, text, ascii)`` with their places, by marks around them."""
+    marked = f"string_split(regexp_replace(ascii, {s('(' + pattern.removeprefix('(?U)') + ')')}, chr(1) || '\\1' || chr(2), 'g'), chr(1))"
+    placed = f"SELECT doc_id, text, k, piece, coalesce(sum(length(piece) - (k > 0)::INT) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS a FROM (SELECT doc_id, text, unnest(range(0, len(p))) AS k, unnest(p) AS piece FROM (SELECT doc_id, text, {marked} AS p FROM t))"
+    return f"SELECT doc_id, text AS body, {kind} AS kind, '{label}' AS label, a, a + length(split_part(piece, chr(2), 1))::INT AS b FROM ({placed}) WHERE k > 0"
+
+
+ENTITIES = f"""t AS (SELECT doc_id, text, regexp_replace(text, '{_LETTERS}', '_', 'g') AS ascii FROM documents WHERE text IS NOT NULL),
+years AS ({found(YEAR, 0, 'DATE')}), numbers AS ({found(NUMBER, 1, 'CARDINAL')}), names AS ({found(NAME, 2, 'PROPN')}),
+whole AS (
+  SELECT * FROM years
+  UNION ALL SELECT * FROM numbers n WHERE NOT EXISTS (SELECT 1 FROM years y WHERE y.doc_id = n.doc_id AND n.a >= y.a AND n.a < y.b)
+  UNION ALL SELECT * FROM names WHERE contains(substr(body, a + 1, b - a), ' ') OR NOT (a = 0 OR substr(body, CASE WHEN a = 1 THEN length(body) ELSE a - 1 END, 1) IN ('.', '!', '?')))"""
+
+
+def folded(turns: str) -> str:
+    """``fold``: what each turn of ``turns(conv_id, turn, text)`` asks, and the topic after it; every rewritten question is searched for names anew."""
+    question = f"CASE WHEN s.intent <> 'question' THEN NULL WHEN coalesce(f.topic, '') = '' THEN s.text WHEN regexp_matches(s.text, {s('(?i)' + QUESTION_ONLY)}) THEN regexp_replace(s.text, '\\?+$', '') || ' ' || f.topic ELSE regexp_replace(s.text, {s('(?i)' + PRONOUNS)}, f.topic) END"
+    canonical = "CASE " + " ".join(f"WHEN regexp_matches(lower(question), '\\b{alias}\\b') THEN replace(lower(question), {s(alias)}, {s(name.lower())})" for alias, name in sorted(ALIASES, key=lambda x: -len(x[0]))) + " ELSE lower(question) END"
+    return f"""said AS (SELECT *, {intent('lower(text)')} AS intent, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS nth FROM (SELECT conv_id, turn, {stripped('text')} AS text FROM {turns}) WHERE text <> ''),
+known AS (SELECT lower(subject) AS low, subject, min(ord) AS ord FROM facts GROUP BY ALL),
+fold AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS nth, NULL::BIGINT AS turn, NULL::VARCHAR AS text, NULL::VARCHAR AS intent, NULL::VARCHAR AS question, NULL::VARCHAR AS topic FROM said
+  UNION ALL SELECT conv_id, nth, turn, text, intent, question, CASE WHEN intent <> 'question' THEN before ELSE coalesce((
+      SELECT subject FROM known WHERE contains(asked, low) AND regexp_matches(asked, '\\b' || regexp_escape(low) || '\\b') ORDER BY length(subject) DESC, ord LIMIT 1), before) END
+    FROM (SELECT *, {canonical} AS asked FROM (SELECT s.conv_id, s.nth, s.turn, s.text, s.intent, f.topic AS before, {question} AS question FROM fold f JOIN said s ON s.conv_id = f.conv_id AND s.nth = f.nth + 1)))"""
+
+
 ORACLE_SQL = {
     "doc_admission": f"WITH {DOCS} SELECT m.doc_ord, CASE WHEN k.n = 1 THEN m.slug WHEN k.n > 1 THEN m.slug || '-' || k.n END AS doc_id, m.slug, m.checksum, m.char_count::INT AS char_count, m.word_count::INT AS word_count, m.reject_reason FROM marked m LEFT JOIN members k USING (doc_ord)",
     "corpus_stats": f"WITH {DOCS} SELECT count(*) AS documents, sum(word_count)::BIGINT AS total_words, list_sort(list(word_count))[count(*) // 2 + 1]::INT AS median_words, count(*) FILTER (WHERE source = 'upload') AS uploaded FROM members",
@@ -208,4 +252,8 @@ ORACLE_SQL = {
     "kb_lookup": f"WITH {FACTS}, {subjects_of('questions', 'query_id')}, {RELATIONS}, last AS (SELECT lower(subject) AS low, relation, arg_max(object, ord) AS object, arg_max(doc_id, ord) AS doc_id FROM facts GROUP BY ALL) SELECT query_id, subject, relation, label AS relation_label, cue AS matched_cue, object, doc_id FROM found JOIN related USING (query_id) JOIN last USING (relation) WHERE low = lower(subject)",
     "question_type": "WITH w AS (SELECT doc_id, lower(regexp_extract(text, " + s(TOKEN) + ")) AS w FROM documents WHERE regexp_extract(text, " + s(TOKEN) + ") <> ''), q AS (" + " UNION ALL ".join(f"SELECT doc_id * 10 + {k} AS query_id, {s(q.split('{}')[0])} || w || {s(q.split('{}')[1])} AS text FROM w" for k, q in enumerate(_KINDS)) + f") SELECT query_id, {question_type('lower(text)')} AS question_type FROM q",
     "intent": f"WITH {TURNS} SELECT conv_id, turn, {intent('lower(' + stripped('text') + ')')} AS intent FROM turns",
+    "document_display": DISPLAY,
+    "regex_entities": f"WITH {ENTITIES} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY kind, a) - 1)::INT AS nth, substr(body, a + 1, b - a) AS text, label, a AS \"start\", b AS \"end\" FROM whole",
+    "topic_carry": f"WITH RECURSIVE {FACTS}, {TURNS}, {folded('turns')} SELECT conv_id, turn, question, coalesce(question <> text, false) AS rewritten, topic FROM fold WHERE nth > 0",
+    "stream_topic_state": f"WITH RECURSIVE {FACTS}, {folded('(FROM conversations WHERE role = ' + s('user') + ')')} SELECT conv_id, turn, text, intent, question, topic FROM fold WHERE nth > 0",
 }
