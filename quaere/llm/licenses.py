@@ -11,8 +11,8 @@ in another's place or moved within a notice costs four shingles or more, or else
 may be lost; below 20 that is no change within (n - lost >= w are left in one run), and from 20 on e <= n / 20 changes leave
 e + 1 runs of 0.8 n shingles, the longest of 8 or more.
 
-A band collides only where the text has the template's least shingles; texts without any of them are told by
-that and their windows aren't hashed.  Of a retrieved template the share of its
+A band collides only where the text has the template's least shingles; for a width whose templates' least shingles
+a text has none of, its windows aren't hashed.  Of a retrieved template the share of its
 distinct shingles that the text has is counted exactly; from ``CONTAINMENT`` it is a match.  All of it
 is one projection of a document: nothing is shuffled, and a hot source is as cheap as any other.
 
@@ -92,9 +92,15 @@ def _longs(of) -> Column:
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, *, containment: float = CONTAINMENT) -> DataFrame:
     """A row for each match: ``doc_id, license, containment, first_word`` (where the first shared shingle begins, from 0)."""
     known = index(docs.sparkSession, templates, containment)
-    keys = _longs({k for r in known for k in r["keys"]})
     least = _longs({k for r in known for k in r["least"]})
     widths = sorted({r["width"] for r in known})
+    keyless = F.array().cast("array<bigint>")
+
+    def hits(h: Column, w: int) -> Column:
+        """Which band keys of the templates of this width a text has."""
+        own = [r for r in known if r["width"] == w]
+        bands = F.flatten(F.array(*(_band(h, w, b) for b in range(BANDS))))
+        return F.when(F.arrays_overlap(_longs({k for r in own for k in r["least"]}), h), F.array_intersect(_longs({k for r in own for k in r["keys"]}), bands)).otherwise(keyless)
 
     def verified(h: Column, found: Column) -> Column:
         """Names and shares of the retrieved templates."""
@@ -110,7 +116,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, *, conta
     none = F.array().cast("array<struct<license:string,containment:double,first_word:bigint>>")
 
     def matched(h: Column) -> Column:
-        found = F.concat(*(F.array_intersect(keys, F.flatten(F.array(*(_band(h, w, b) for b in range(BANDS))))) for w in widths))
+        found = F.concat(*(hits(h, w) for w in widths))
         return F.when(~F.arrays_overlap(least, h), none).otherwise(let(found, lambda k: F.when(F.size(k) == 0, none).otherwise(verified(h, k))))
 
     rows = docs.select("doc_id", let(shingles(words(F.col("text")), short=False), matched).alias("m")).where(F.size("m") > 0)
