@@ -86,7 +86,7 @@ def respond(turns: DataFrame, *, documents: DataFrame, passages: DataFrame, post
     asked = rows.where("intent = 'question'").select("query_id", F.col("question").alias("text")).distinct()
     known = facts.answer(asked, facts_, cues, aliases)
     open_ = asked.join(known.select("query_id"), "query_id", "left_anti")
-    hits = index.search(open_, postings, stats, k=params.top_k, params=params)
+    hits = index.top(open_, postings, stats, k=params.top_k, params=params)
     found = answers.extract(open_, hits, passages, params=params).where("kind <> 'none'")
     refused = open_.join(found.select("query_id"), "query_id", "left_anti")
     terms = postings.select("term").distinct()

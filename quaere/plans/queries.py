@@ -56,7 +56,7 @@ def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _postings(units: DataFrame) -> DataFrame:
-    return index.stored(index.postings(units))
+    return index.stored(index.postings(index.by_unit(units)))
 
 
 def term_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,14 +84,19 @@ def index_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.index_stats(units, posted).join(n).select("n", "vocabulary", F.round("avg_length", 1).alias("avg_length"), F.lit(DEFAULTS.k1).alias("k1"), F.lit(DEFAULTS.b).alias("b"))
 
 
-def _ranked(spark: SparkSession, sf_dir: str, scorer: str) -> DataFrame:
+def _doc_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     units = _units(spark, sf_dir)
     posted = _postings(units)
-    return index.search(t.benchmark(spark, sf_dir), posted, index.index_stats(units, posted), scorer=scorer)
+    return posted, index.index_stats(units, posted)
+
+
+def _ranked(spark: SparkSession, sf_dir: str, scorer: str) -> DataFrame:
+    return index.top(t.benchmark(spark, sf_dir), *_doc_index(spark, sf_dir), scorer=scorer)
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ranked(spark, sf_dir, "bm25").select("query_id", F.col("unit_id").alias("doc_id"), "score", "rank", F.array_join(F.array_sort(F.map_keys("term_scores")), " ").alias("terms"))
+    hits = index.search(t.benchmark(spark, sf_dir), *_doc_index(spark, sf_dir))
+    return hits.select("query_id", F.col("unit_id").alias("doc_id"), "score", "rank", F.array_join(F.array_sort(F.map_keys("term_scores")), " ").alias("terms"))
 
 
 def tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,22 +105,19 @@ def tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _passage_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     cut = passages.passages(t.documents(spark, sf_dir))
-    units = index.units(cut, "passage_id", ["doc_ord", "index"])
+    units = index.units(cut, "passage_id", ["doc_ord", "index", "doc_id"])
     posted = _postings(units)
     return cut, posted, index.index_stats(units, posted)
 
 
 def document_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut, posted, stats = _passage_index(spark, sf_dir)
-    hits = index.search(t.benchmark(spark, sf_dir), posted, stats, k=None)
-    owner = cut.select(F.col("passage_id").alias("unit_id"), "doc_id")
-    return index.best_per_document(hits, owner).select("query_id", "doc_id", F.col("unit_id").alias("passage_id"), "score", "rank")
+    _, posted, stats = _passage_index(spark, sf_dir)
+    hits = index.scores(t.benchmark(spark, sf_dir), posted, stats)
+    return index.best_per_document(hits, F.col("ord.doc_id")).select("query_id", "doc_id", F.col("unit_id").alias("passage_id"), "score", "rank")
 
 
 def score_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    units = _units(spark, sf_dir)
-    posted = _postings(units)
-    out = index.explain(t.benchmark(spark, sf_dir), posted, index.index_stats(units, posted))
+    out = index.explain(t.benchmark(spark, sf_dir), *_doc_index(spark, sf_dir))
     return out.withColumnRenamed("unit_id", "doc_id")
 
 
@@ -151,7 +153,7 @@ def retrieval_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sentence_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut, posted, stats = _passage_index(spark, sf_dir)
     asked = t.benchmark(spark, sf_dir)
-    hits = index.search(asked, posted, stats)
+    hits = index.top(asked, posted, stats)
     return answers.best_sentences(answers.considered(asked, hits, cut))
 
 
@@ -176,7 +178,7 @@ def span_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut, posted, stats = _passage_index(spark, sf_dir)
     words = F.array_join(F.slice(T.tokens(F.col("text"), lower=False), 1, 6), " ")
     asked = t.benchmark(spark, sf_dir).select("query_id", F.concat(F.lit("Who wrote "), words, F.lit("?")).alias("text"))
-    return answers.extract(asked, index.search(asked, posted, stats), cut)
+    return answers.extract(asked, index.top(asked, posted, stats), cut)
 
 
 def kb_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
