@@ -53,9 +53,9 @@ def index_stats(units_: DataFrame, postings_: DataFrame | None = None) -> DataFr
     return n.join(F.broadcast(total)).select("n", F.when(F.col("n") == 0, 0.0).otherwise(F.col("_total") / F.col("n")).alias("avg_length"))
 
 
-def stored(postings_: DataFrame) -> DataFrame:
-    """Postings kept by the executors, in memory as far as it goes: a ranking reads them several times."""
-    return postings_.persist(StorageLevel.MEMORY_AND_DISK)
+def stored(rows: DataFrame) -> DataFrame:
+    """Rows kept by the executors, in memory as far as it goes, for what reads them several times; lost ones are made anew."""
+    return rows.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def vocabulary(postings_: DataFrame, stats: DataFrame) -> DataFrame:
