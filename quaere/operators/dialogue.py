@@ -13,6 +13,7 @@ from ..functions import rules
 from ..functions.text import stripped
 from ..params import DEFAULTS, Params
 from . import answers, facts, index
+from .staging import written
 
 #: Fixed texts of replies that need no documents.
 SMALL_TALK = {
@@ -79,15 +80,17 @@ def respond(turns: DataFrame, *, documents: DataFrame, passages: DataFrame, post
     """``conv_id, turn, text, intent, question, rewritten, route, reply, topic`` of every turn.
 
     Facts are tried first, and only what they leave open is searched for.  A reply counts all documents and names
-    the first ``listed`` of them (None: all).
+    the first ``listed`` of them (None: all).  Each step is written down: the next ones read it several times, and a
+    plan of all of them at once takes the driver minutes.
     """
-    rows = with_topics(described(turns, facts_, aliases)).withColumn("query_id", F.col("question"))
+    rows = written(with_topics(written(described(turns, facts_, aliases))).withColumn("query_id", F.col("question")))
     # a question that many conversations ask is answered once
     asked = rows.where("intent = 'question'").select("query_id", F.col("question").alias("text")).distinct()
-    known = facts.answer(asked, facts_, cues, aliases)
-    open_ = asked.join(known.select("query_id"), "query_id", "left_anti")
-    hits = index.top(open_, postings, stats, k=params.top_k, params=params)
-    found = answers.extract(open_, hits, passages, params=params).where("kind <> 'none'")
+    known = written(facts.answer(asked, facts_, cues, aliases).select("query_id", "object"))
+    open_ = written(asked.join(known.select("query_id"), "query_id", "left_anti"))
+    hits = written(index.top(open_, postings, stats, k=params.top_k, params=params))
+    shown = written(passages.join(hits.select(F.col("unit_id").alias("passage_id")).distinct(), "passage_id", "left_semi"))
+    found = written(answers.extract(open_, hits, shown, params=params).where("kind <> 'none'").select("query_id", "text"))
     refused = open_.join(found.select("query_id"), "query_id", "left_anti")
     terms = postings.select("term").distinct()
     missing = index.unknown_terms(refused, terms).groupBy("query_id").agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("pos", "term"))), 1, 3), lambda x: x["term"]).alias("missing"))
