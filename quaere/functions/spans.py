@@ -54,8 +54,8 @@ jan feb mar apr jun jul aug sep sept oct nov dec
 
 #: A place where a sentence may end; and one where it must.
 CANDIDATE = r"""(\n(?U:\s)*\n|[.!?]+["')\]]*(?U:\s)+)"""
-#: Stands between pieces while a text is cut up; texts don't hold it.
-_MARK = "\x01"
+#: A text up to the next such place, that included; or what comes after the last.
+_PIECE = rf"(?s).*?{CANDIDATE}|.+"
 
 
 def _ends(pieces: Column) -> Column:
@@ -96,8 +96,7 @@ def sentences(text: Column) -> Column:
 
         return let(lasts, lambda last: let(offsets, lambda at: spans(last, at)))
 
-    marked = F.split(F.regexp_replace(text, CANDIDATE, "$1" + _MARK), F.lit(_MARK), -1)
-    return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, none).otherwise(let(marked, cut))
+    return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, none).otherwise(let(F.regexp_extract_all(text, F.lit(_PIECE), F.lit(0)), cut))
 
 
 def sentence_texts(text: Column) -> Column:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from ..functions.rules import INTENT_RULES, PRONOUNS, PUNCTUATION, QUESTION_ONLY, QUESTION_RULES
+from ..functions.rules import INTENT_RULES, LABELS, PRONOUNS, PUNCTUATION, QUESTION_ONLY, QUESTION_RULES
 from ..functions.spans import ABBREVIATIONS, NAME, NUMBER, YEAR
 from ..functions.text import STOPWORDS, TOKEN, quoted, stem_sql
+from ..operators.dialogue import SMALL_TALK
 from ..params import DEFAULTS as P
-from .tables import ALIASES, CUES, FOLLOW_UPS
+from .tables import ALIASES, CUES, FOLLOW_UPS, ITEM_QUESTIONS, LISTED
 
 
 def s(text: str) -> str:
@@ -64,15 +65,15 @@ passages AS (
   FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sid) - 1 AS nth FROM kept) k JOIN documents d ON d.doc_id = k.doc_id)"""
 
 
-def indexed(unit: str, source: str) -> str:
-    """Tables of an index over ``source``, whose units are named by ``unit``."""
+def indexed(unit: str, source: str, queries: str = "benchmark", key: str = "item_id") -> str:
+    """Tables of an index over ``source``, whose units are named by ``unit``, and what ``queries`` find in it."""
     return f"""analyzed AS (SELECT {unit}, {analyzed('text')} AS terms FROM {source}),
 sizes AS (SELECT {unit}, len(terms) AS length FROM analyzed),
 stats AS (SELECT count(*) AS n, coalesce(avg(length), 0.0::DOUBLE) AS avg_length FROM sizes),
 postings AS (SELECT term, {unit}, count(*) AS tf FROM (SELECT {unit}, unnest(terms) AS term FROM analyzed) GROUP BY ALL),
 vocabulary AS (SELECT term, df, ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) AS idf, ln(n::DOUBLE / df) AS idf_tfidf FROM (SELECT term, count(*) AS df FROM postings GROUP BY term), stats),
 norms AS (SELECT {unit}, CASE WHEN sum(w * w) = 0 THEN 1.0::DOUBLE ELSE sqrt(sum(w * w)) END AS norm FROM (SELECT {unit}, (1 + ln(tf)) * idf_tfidf AS w FROM postings JOIN vocabulary USING (term)) GROUP BY {unit}),
-asked AS (SELECT DISTINCT query_id, term FROM (SELECT item_id AS query_id, unnest({analyzed('text')}) AS term FROM benchmark)),
+asked AS (SELECT DISTINCT query_id, term FROM (SELECT {key} AS query_id, unnest({analyzed('text')}) AS term FROM {queries})),
 parts AS (
   SELECT query_id, {unit}, term, tf, df, idf, idf * tf * ({P.k1}::DOUBLE + 1) / (tf + {P.k1}::DOUBLE * (1 - {P.b}::DOUBLE + {P.b}::DOUBLE * length / avg_length)) AS bm25, (1 + ln(tf)) * idf_tfidf * idf_tfidf / norm AS tfidf
   FROM asked JOIN postings USING (term) JOIN vocabulary USING (term) JOIN sizes USING ({unit}) JOIN norms USING ({unit}), stats)"""
@@ -83,7 +84,13 @@ def hits(unit: str, order: str, scorer: str = "bm25", k: int = P.top_k) -> str:
 
 
 DOCUMENT_INDEX = indexed("doc_id", "documents")
-PASSAGE_INDEX = f"{PASSAGES}, {indexed('passage_id', 'passages')}"
+
+
+def passage_index(queries: str = "benchmark", key: str = "item_id") -> str:
+    return f"{PASSAGES}, {indexed('passage_id', 'passages', queries, key)}"
+
+
+PASSAGE_INDEX = passage_index()
 PASSAGE_ORDER = "split_part(passage_id, '::p', 1)::BIGINT, split_part(passage_id, '::p', 2)::BIGINT"
 GOLD = "gold AS (SELECT b.item_id AS query_id, b.text, min(d.doc_id) AS doc FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY ALL)"
 
@@ -92,10 +99,11 @@ def overlap(terms: str, text: str) -> str:
     return f"(CASE WHEN len({terms}) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect({terms}, list_distinct({analyzed(text)})))::DOUBLE / len({terms}) END)"
 
 
-#: Sentences of the passages that a question's coverage lets through, scored; the best of each question.
-SENTENCE_ANSWERS = rf"""{PASSAGE_INDEX}, {hits('passage_id', PASSAGE_ORDER)},
+def sentence_answers(queries: str = "benchmark", key: str = "item_id") -> str:
+    """Sentences of the passages that a question's coverage lets through, scored; the best of each question."""
+    return rf"""{passage_index(queries, key)}, {hits('passage_id', PASSAGE_ORDER)},
 evident AS (SELECT h.query_id, h.passage_id, h.rank, h.score / CASE WHEN max(h.score) OVER (PARTITION BY h.query_id) = 0 THEN 1.0::DOUBLE ELSE max(h.score) OVER (PARTITION BY h.query_id) END AS evidence FROM hits h),
-considered AS (SELECT e.*, p.doc_id, p.text, p."start" AS place_0, list_distinct({analyzed('b.text')}) AS terms FROM evident e JOIN passages p USING (passage_id) JOIN benchmark b ON b.item_id = e.query_id WHERE rank <= {P.extract_from}),
+considered AS (SELECT e.*, p.doc_id, p.text, p."start" AS place_0, list_distinct({analyzed('b.text')}) AS terms FROM evident e JOIN passages p USING (passage_id) JOIN {queries} b ON b.{key} = e.query_id WHERE rank <= {P.extract_from}),
 gated AS (SELECT * FROM considered WHERE {overlap('terms', 'text')} >= {P.min_coverage}),
 p_pieces AS (SELECT query_id, passage_id, unnest(range(0, len(p))) AS k, unnest(p) AS piece FROM (SELECT query_id, passage_id, string_split(regexp_replace(text, '(\n\s*\n|[.!?]+["'')\]]*\s+)', '\1' || chr(1), 'g'), chr(1)) AS p FROM gated)),
 p_ending AS (
@@ -134,8 +142,12 @@ def normal(x: str) -> str:
     return f"array_to_string({words(x)}, ' ')"
 
 
-METRICS = f"""{SENTENCE_ANSWERS},
-predicted AS (SELECT a.query_id, regexp_replace(regexp_replace(substr(a.text, a.a::INT + 1, ({ANSWER})::INT - a.a::INT), '^[# ]+', ''), '^\\s+|\\s+$', '', 'g') AS text, total, a.doc_id, passage_id, (place_0 + a.a)::INT AS doc_start, (place_0 + {ANSWER})::INT AS doc_end FROM answers a JOIN benchmark b ON b.item_id = a.query_id),
+def predicted(queries: str = "benchmark", key: str = "item_id") -> str:
+    return f"""{sentence_answers(queries, key)},
+predicted AS (SELECT a.query_id, regexp_replace(regexp_replace(substr(a.text, a.a::INT + 1, ({ANSWER})::INT - a.a::INT), '^[# ]+', ''), '^\\s+|\\s+$', '', 'g') AS text, total, a.doc_id, passage_id, (place_0 + a.a)::INT AS doc_start, (place_0 + {ANSWER})::INT AS doc_end FROM answers a JOIN {queries} b ON b.{key} = a.query_id)"""
+
+
+METRICS = f"""{predicted()},
 pairs AS (SELECT query_id, p.text AS predicted, b.text AS gold, {words('p.text')} AS pw, {words('b.text')} AS gw FROM predicted p JOIN benchmark b ON b.item_id = query_id),
 common AS (SELECT query_id, sum(least(p, g)) AS n FROM (SELECT query_id, w, count(*) AS p FROM (SELECT query_id, unnest(pw) AS w FROM pairs) GROUP BY ALL) JOIN (SELECT query_id, w, count(*) AS g FROM (SELECT query_id, unnest(gw) AS w FROM pairs) GROUP BY ALL) USING (query_id, w) GROUP BY query_id),
 measured AS (SELECT query_id, ({normal('predicted')} = {normal('gold')})::INT::DOUBLE AS exact_match, CASE WHEN len(pw) = 0 OR len(gw) = 0 THEN (len(pw) = len(gw))::INT::DOUBLE ELSE 2.0::DOUBLE * coalesce(n, 0) / (len(pw) + len(gw)) END AS f1, contains({normal('predicted')}, {normal('gold')})::INT::DOUBLE AS contains FROM pairs LEFT JOIN common USING (query_id))"""
@@ -171,7 +183,13 @@ subjects AS (SELECT subject, min(ord) AS ord FROM facts GROUP BY subject),
 found AS (SELECT {key}, subject FROM (SELECT {key}, subject, row_number() OVER (PARTITION BY {key} ORDER BY length(subject) DESC, ord) AS nth FROM replaced JOIN subjects ON contains(text, lower(subject)) AND regexp_matches(text, '\b' || regexp_escape(lower(subject)) || '\b')) WHERE nth = 1)"""
 
 
-RELATIONS = "related AS (SELECT * EXCLUDE (nth) FROM (SELECT query_id, relation, label, cue, row_number() OVER (PARTITION BY query_id ORDER BY length(cue) DESC, rel_ord, cue_ord) AS nth FROM questions JOIN cues ON contains(lower(text), cue)) WHERE nth = 1)"
+def relations_of(source: str) -> str:
+    """``related``: the relation that each text of ``source(query_id, text)`` asks for."""
+    return f"related AS (SELECT * EXCLUDE (nth) FROM (SELECT query_id, relation, label, cue, row_number() OVER (PARTITION BY query_id ORDER BY length(cue) DESC, rel_ord, cue_ord) AS nth FROM {source} JOIN cues ON contains(lower(text), cue)) WHERE nth = 1)"
+
+
+RELATIONS = relations_of("questions")
+LAST = "last AS (SELECT lower(subject) AS low, relation, arg_max(object, ord) AS object, arg_max(doc_id, ord) AS doc_id FROM facts GROUP BY ALL)"
 
 _MORE = " UNION ALL ".join(f"SELECT conv_id, {turn}, {s(head)}" + ("" if tail is None else f" || 'NATION_' || (conv_id % 25) || {s(tail)}") + " FROM (SELECT DISTINCT conv_id FROM conversations WHERE role = 'user')" for turn, head, tail in FOLLOW_UPS)
 TURNS = f"turns AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user' UNION ALL {_MORE})"
@@ -201,7 +219,9 @@ def found(pattern: str, kind: int, label: str) -> str:
     return f"SELECT doc_id, text AS body, {kind} AS kind, '{label}' AS label, a, a + length(split_part(piece, chr(2), 1))::INT AS b FROM ({placed}) WHERE k > 0"
 
 
-ENTITIES = f"""t AS (SELECT doc_id, text, regexp_replace(text, '{_LETTERS}', '_', 'g') AS ascii FROM documents WHERE text IS NOT NULL),
+def entities(source: str, key: str = "doc_id") -> str:
+    """``whole``: the entities of the texts of ``source(key, text)``."""
+    return f"""t AS (SELECT {key + " AS doc_id" if key != "doc_id" else key}, text, regexp_replace(text, '{_LETTERS}', '_', 'g') AS ascii FROM {source} WHERE text IS NOT NULL),
 years AS ({found(YEAR, 0, 'DATE')}), numbers AS ({found(NUMBER, 1, 'CARDINAL')}), names AS ({found(NAME, 2, 'PROPN')}),
 whole AS (
   SELECT * FROM years
@@ -209,6 +229,46 @@ whole AS (
   UNION ALL SELECT * FROM names WHERE contains(substr(body, a + 1, b - a), ' ') OR NOT (a = 0 OR substr(body, CASE WHEN a = 1 THEN length(body) ELSE a - 1 END, 1) IN ('.', '!', '?')))"""
 
 
+ENTITIES = entities("documents")
+_FIT = "CASE " + " ".join((f"WHEN qtype = '{k}' AND label IN ({quoted(v)}) THEN 1.0::DOUBLE" if v else f"WHEN qtype = '{k}' THEN 0.4::DOUBLE") for k, v in LABELS.items()) + " WHEN label = 'PROPN' THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END"
+_TITLE = f"coalesce(nullif({_HEADING}, ''), nullif({_LINE}, ''), 'Document')"
+
+
+def extracted(queries: str) -> str:
+    """``extracted``: the answer to each question of ``queries(query_id, text)`` that has one, a span or else a sentence."""
+    words_ = f"string_split(regexp_replace(sentence, {s('(' + TOKEN + ')')}, chr(1) || '\\1' || chr(2), 'g'), chr(1))"
+    return f"""{predicted(queries, 'query_id')},
+typed AS (SELECT query_id, {question_type('lower(' + stripped('text') + ')')} AS qtype FROM {queries}),
+{entities('(SELECT DISTINCT passage_id, text FROM gated)', 'passage_id')},
+named AS (SELECT doc_id AS passage_id, row_number() OVER (PARTITION BY doc_id ORDER BY kind, a) - 1 AS e_nth, label, a AS e_a, b AS e_b, substr(body, a + 1, b - a) AS entity FROM whole),
+fitting AS (SELECT *, {_FIT} AS fit FROM gated JOIN typed USING (query_id) JOIN named USING (passage_id) WHERE qtype NOT IN ('DEFINITION', 'EXPLANATION')),
+placed AS (SELECT f.*, coalesce(x.a, 0) AS s_a, coalesce(x.sentence, f.text) AS sentence FROM fitting f LEFT JOIN p_sentences x ON x.query_id = f.query_id AND x.passage_id = f.passage_id AND x.a <= f.e_a AND f.e_a < x.a + length(x.sentence) WHERE fit > 0),
+w_pieces AS (SELECT passage_id, s_a, unnest(range(0, len(p))) AS k, unnest(p) AS piece FROM (SELECT passage_id, s_a, {words_} AS p FROM (SELECT DISTINCT passage_id, s_a, sentence FROM placed))),
+w_placed AS (SELECT *, coalesce(sum(length(piece) - (k > 0)::INT) OVER (PARTITION BY passage_id, s_a ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM w_pieces),
+w AS (SELECT passage_id, s_a, k AS i, a, a + length(split_part(piece, chr(2), 1)) AS b, {stem_sql("lower(split_part(piece, chr(2), 1))")} AS term FROM w_placed WHERE k > 0),
+covered AS (SELECT query_id, passage_id, e_nth, min(i) AS low, max(i) AS high FROM placed p JOIN w USING (passage_id, s_a) WHERE w.a < p.e_b - s_a AND w.b > p.e_a - s_a GROUP BY ALL),
+away AS (SELECT query_id, passage_id, e_nth, term, min(least(abs(i - low), abs(i - high))) AS d FROM covered JOIN placed USING (query_id, passage_id, e_nth) JOIN w USING (passage_id, s_a) WHERE (i < low OR i > high) AND list_contains(terms, w.term) GROUP BY ALL),
+near AS (SELECT query_id, passage_id, e_nth, 1.0::DOUBLE / (1.0::DOUBLE + sum(d)::DOUBLE / count(*) / 5.0::DOUBLE) AS near FROM away GROUP BY ALL),
+weighed AS (
+  SELECT *, round({P.w_evidence}::DOUBLE * evidence, 4) AS evidence_part, round({P.w_type}::DOUBLE * fit, 4) AS type_part,
+    round({P.w_context}::DOUBLE * (0.55::DOUBLE * {overlap('terms', 'sentence')} + 0.45::DOUBLE * coalesce(near, 0)), 4) AS context_part,
+    round(-{P.w_repeat}::DOUBLE * (len({analyzed('entity')}) > 0 AND list_has_all(terms, {analyzed('entity')}))::INT, 4) AS repeat_part
+  FROM placed LEFT JOIN near USING (query_id, passage_id, e_nth)),
+candidates AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY total DESC, rank, e_nth) AS best FROM (SELECT *, round(evidence_part + type_part + context_part + repeat_part, 6) AS total FROM weighed)),
+firsts AS (SELECT * FROM candidates WHERE best = 1 AND total >= {P.min_confidence}),
+others AS (
+  SELECT query_id, string_agg(format('{{}} ({{:.3f}})', entity, round(greatest(total, 0), 3)), '; ' ORDER BY best) AS alternatives
+  FROM (SELECT c.*, row_number() OVER (PARTITION BY c.query_id ORDER BY c.best) AS n FROM candidates c JOIN firsts f USING (query_id) WHERE lower(c.entity) <> lower(f.entity)) WHERE n <= 3 GROUP BY query_id),
+extracted AS (
+  SELECT query_id, entity AS text, 'span' AS kind, round(least(greatest(total, 0), 1), 3) AS confidence, label, sentence, doc_id, (place_0 + e_a)::INT AS doc_start, (place_0 + e_b)::INT AS doc_end, passage_id, evidence_part, type_part, context_part, repeat_part, coalesce(alternatives, '') AS alternatives
+  FROM firsts LEFT JOIN others USING (query_id)
+  UNION ALL SELECT query_id, p.text, 'sentence', round(least(greatest(total, 0), 1), 3), '', substr(g.text, doc_start - g.place_0::INT + 1, doc_end - doc_start), p.doc_id, doc_start, doc_end, passage_id, round({P.w_evidence}::DOUBLE * evidence, 4), NULL, round({P.w_type + P.w_context}::DOUBLE * {overlap('g.terms', 'a.sentence')}, 4), NULL, ''
+  FROM predicted p JOIN gated g USING (query_id, passage_id) JOIN answers a USING (query_id, passage_id, total) WHERE query_id NOT IN (SELECT query_id FROM firsts))"""
+
+
+_ITEMS = " UNION ALL ".join(f"SELECT item_id * {len(ITEM_QUESTIONS)} + {k} AS query_id, {s(q.split('{}')[0])} || text || {s(q.split('{}')[1])} AS text FROM benchmark" for k, q in enumerate(ITEM_QUESTIONS))
+
+
 def folded(turns: str) -> str:
     """``fold``: what each turn of ``turns(conv_id, turn, text)`` asks, and the topic after it; every rewritten question is searched for names anew."""
     question = f"CASE WHEN s.intent <> 'question' THEN NULL WHEN coalesce(f.topic, '') = '' THEN s.text WHEN regexp_matches(s.text, {s('(?i)' + QUESTION_ONLY)}) THEN regexp_replace(s.text, '\\?+$', '') || ' ' || f.topic ELSE regexp_replace(s.text, {s('(?i)' + PRONOUNS)}, f.topic) END"
@@ -222,6 +282,25 @@ fold AS (
     FROM (SELECT *, {canonical} AS asked FROM (SELECT s.conv_id, s.nth, s.turn, s.text, s.intent, f.topic AS before, {question} AS question FROM fold f JOIN said s ON s.conv_id = f.conv_id AND s.nth = f.nth + 1)))"""
 
 
+def replies() -> str:
+    """What each turn is answered, by which route: a fact, else a span or sentence of a passage, else the words that no document has."""
+    talk = " ".join(f"WHEN intent = '{k}' THEN {s(v)}" for k, v in SMALL_TALK.items())
+    return f"""WITH RECURSIVE {FACTS}, {TURNS}, {folded('turns')},
+put AS (SELECT DISTINCT question AS query_id, question AS text FROM fold WHERE nth > 0 AND intent = 'question'),
+{subjects_of('put', 'query_id')}, {relations_of('put')}, {LAST},
+told AS (SELECT query_id, object || '.' AS reply FROM found JOIN related USING (query_id) JOIN last USING (relation) WHERE low = lower(subject)),
+left_open AS (SELECT * FROM put WHERE query_id NOT IN (SELECT query_id FROM told)), {extracted('left_open')},
+strange AS (
+  SELECT query_id, string_agg('“' || term || '”', ', ' ORDER BY pos) AS missing
+  FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS n FROM (SELECT query_id, unnest(range(0, len(x))) AS pos, unnest(x) AS term FROM (SELECT query_id, {analyzed('text')} AS x FROM left_open)) WHERE term NOT IN (SELECT term FROM vocabulary)) WHERE n <= 3 GROUP BY query_id),
+size AS (SELECT count(*) AS n_docs FROM documents), list AS (SELECT string_agg(title, '; ' ORDER BY doc_id, title) AS titles FROM (SELECT doc_id, {_TITLE} AS title FROM documents ORDER BY doc_id, title LIMIT {LISTED}))
+SELECT conv_id, turn, f.text, intent, coalesce(question, '') AS question, coalesce(question <> f.text, false) AS rewritten, topic,
+  CASE WHEN intent <> 'question' THEN 'conversation' WHEN k.reply IS NOT NULL THEN 'knowledge base' WHEN e.text IS NOT NULL THEN 'retrieval' ELSE 'none' END AS route,
+  CASE WHEN intent = 'greeting' THEN 'Good to see you. ' || n_docs || ' documents are ready for your questions.' WHEN intent = 'documents' THEN 'The collection counts ' || n_docs || ' documents, among them: ' || titles || '.' {talk}
+    ELSE coalesce(k.reply, e.text, 'None of ' || n_docs || ' documents speaks of ' || missing || '.', 'No passage answers that, though some are about it.') END AS reply
+FROM fold f LEFT JOIN told k ON k.query_id = f.question LEFT JOIN extracted e ON e.query_id = f.question LEFT JOIN strange x ON x.query_id = f.question, size, list WHERE nth > 0"""
+
+
 ORACLE_SQL = {
     "doc_admission": f"WITH {DOCS} SELECT m.doc_ord, CASE WHEN k.n = 1 THEN m.slug WHEN k.n > 1 THEN m.slug || '-' || k.n END AS doc_id, m.slug, m.checksum, m.char_count::INT AS char_count, m.word_count::INT AS word_count, m.reject_reason FROM marked m LEFT JOIN members k USING (doc_ord)",
     "corpus_stats": f"WITH {DOCS} SELECT count(*) AS documents, sum(word_count)::BIGINT AS total_words, list_sort(list(word_count))[count(*) // 2 + 1]::INT AS median_words, count(*) FILTER (WHERE source = 'upload') AS uploaded FROM members",
@@ -246,14 +325,16 @@ ORACLE_SQL = {
     "evaluation_summary": f"WITH {EVALUATED} SELECT count(*) AS questions, count(*) FILTER (WHERE answerable) AS answerable, round(coalesce(avg((doc_rank IS NOT NULL)::INT::DOUBLE) FILTER (WHERE answerable), 0), 6) AS recall_at_k, round(coalesce(avg(coalesce(1.0::DOUBLE / doc_rank, 0)) FILTER (WHERE answerable), 0), 6) AS mrr, round(coalesce(avg(em) FILTER (WHERE answerable), 0), 6) AS exact_match, round(coalesce(avg(f1) FILTER (WHERE answerable), 0), 6) AS f1, round(coalesce(avg(contains) FILTER (WHERE answerable), 0), 6) AS contains, round(coalesce(avg(refused::INT::DOUBLE) FILTER (WHERE NOT answerable), 0), 6) AS refusal_accuracy, round(coalesce(avg(correct::INT::DOUBLE), 0), 6) AS overall FROM correct",
     "summary_by_type": f"WITH {EVALUATED} SELECT question_type, count(*) AS n, round(avg(correct::INT::DOUBLE), 6) AS correct, round(coalesce(avg(f1) FILTER (WHERE answerable), 0), 6) AS f1 FROM correct GROUP BY question_type",
     "summary_by_route": f"WITH {EVALUATED} SELECT route, count(*) AS n FROM correct GROUP BY route",
+    "span_answer": f"WITH item_questions AS ({_ITEMS}), {extracted('item_questions')} SELECT i.query_id, coalesce(e.text, '') AS text, coalesce(kind, 'none') AS kind, coalesce(confidence, 0.0::DOUBLE) AS confidence, qtype AS question_type, coalesce(label, '') AS label, coalesce(sentence, '') AS sentence, coalesce(e.doc_id, -1) AS doc_id, coalesce(title, '') AS doc_title, coalesce(doc_start, -1) AS doc_start, coalesce(doc_end, -1) AS doc_end, coalesce(passage_id, '') AS passage_id, " + ", ".join(f"coalesce({k}_part, 0.0::DOUBLE) AS {k}_part" for k in ("evidence", "type", "context", "repeat")) + f", coalesce(alternatives, '') AS alternatives FROM item_questions i JOIN typed USING (query_id) LEFT JOIN extracted e USING (query_id) LEFT JOIN (SELECT doc_id, {_TITLE} AS title FROM documents) USING (doc_id)",
     "kb_stats": f"WITH {FACTS} SELECT count(*) AS facts, count(DISTINCT subject) AS subjects, (SELECT count(DISTINCT relation) FROM cues) AS relations, count(DISTINCT doc_id) AS documents_covered FROM facts",
     "subject_match": f"WITH {FACTS}, {subjects_of('questions', 'query_id')} SELECT query_id, subject FROM found",
     "relation_match": f"WITH {FACTS}, {RELATIONS} SELECT query_id, relation, label, cue FROM related",
-    "kb_lookup": f"WITH {FACTS}, {subjects_of('questions', 'query_id')}, {RELATIONS}, last AS (SELECT lower(subject) AS low, relation, arg_max(object, ord) AS object, arg_max(doc_id, ord) AS doc_id FROM facts GROUP BY ALL) SELECT query_id, subject, relation, label AS relation_label, cue AS matched_cue, object, doc_id FROM found JOIN related USING (query_id) JOIN last USING (relation) WHERE low = lower(subject)",
+    "kb_lookup": f"WITH {FACTS}, {subjects_of('questions', 'query_id')}, {RELATIONS}, {LAST} SELECT query_id, subject, relation, label AS relation_label, cue AS matched_cue, object, doc_id FROM found JOIN related USING (query_id) JOIN last USING (relation) WHERE low = lower(subject)",
     "question_type": "WITH w AS (SELECT doc_id, lower(regexp_extract(text, " + s(TOKEN) + ")) AS w FROM documents WHERE regexp_extract(text, " + s(TOKEN) + ") <> ''), q AS (" + " UNION ALL ".join(f"SELECT doc_id * 10 + {k} AS query_id, {s(q.split('{}')[0])} || w || {s(q.split('{}')[1])} AS text FROM w" for k, q in enumerate(_KINDS)) + f") SELECT query_id, {question_type('lower(text)')} AS question_type FROM q",
     "intent": f"WITH {TURNS} SELECT conv_id, turn, {intent('lower(' + stripped('text') + ')')} AS intent FROM turns",
     "document_display": DISPLAY,
     "regex_entities": f"WITH {ENTITIES} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY kind, a) - 1)::INT AS nth, substr(body, a + 1, b - a) AS text, label, a AS \"start\", b AS \"end\" FROM whole",
     "topic_carry": f"WITH RECURSIVE {FACTS}, {TURNS}, {folded('turns')} SELECT conv_id, turn, question, coalesce(question <> text, false) AS rewritten, topic FROM fold WHERE nth > 0",
+    "reply_route": replies(),
     "stream_topic_state": f"WITH RECURSIVE {FACTS}, {folded('(FROM conversations WHERE role = ' + s('user') + ')')} SELECT conv_id, turn, text, intent, question, topic FROM fold WHERE nth > 0",
 }

@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..functions.spans import entities
 from ..operators import answers, collection, dialogue, index, metrics, passages
 from ..operators import facts as kb
+from ..operators.staging import written
 from ..params import DEFAULTS
 from . import tables as t
 
@@ -174,11 +175,13 @@ def regex_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def span_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers to a question for each benchmark item, asked with its own first words."""
+    """Answers to questions of several kinds about each whole benchmark item, with the parts of their scores; '', -1 or 0 is what isn't there."""
     cut, posted, stats = _passage_index(spark, sf_dir)
-    words = F.array_join(F.slice(T.tokens(F.col("text"), lower=False), 1, 6), " ")
-    asked = t.benchmark(spark, sf_dir).select("query_id", F.concat(F.lit("Who wrote "), words, F.lit("?")).alias("text"))
-    return answers.extract(asked, index.top(asked, posted, stats), cut)
+    asked = written(t.item_questions(spark, sf_dir))
+    out = answers.extract(asked, written(index.top(asked, posted, stats)), cut)
+    shown = F.array_join(F.transform("alternatives", lambda a: F.format_string("%s (%.3f)", a["text"], a["score"])), "; ")
+    out = out.withColumns({f"{k}_part": F.col("parts")[k] for k in ("evidence", "type", "context", "repeat")}).withColumn("alternatives", shown).drop("parts")
+    return out.fillna("").fillna(-1, ["doc_id", "doc_start", "doc_end"]).fillna(0.0)
 
 
 def kb_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,14 +213,10 @@ def topic_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogue.with_topics(rows).select("conv_id", "turn", "question", "rewritten", "topic")
 
 
-#: Titles that a reply lists; all documents are counted and searched.
-LISTED = 20
-
-
 def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = t.documents(spark, sf_dir)
     cut, posted, stats = _passage_index(spark, sf_dir)
-    return dialogue.respond(t.turns(spark, sf_dir), documents=docs, passages=cut, postings=posted, stats=stats, facts_=t.facts(spark, sf_dir), cues=t.cues(spark), aliases=t.aliases(spark), listed=LISTED)
+    return dialogue.respond(t.turns(spark, sf_dir), documents=docs, passages=cut, postings=posted, stats=stats, facts_=t.facts(spark, sf_dir), cues=t.cues(spark), aliases=t.aliases(spark), listed=t.LISTED)
 
 
 def reply_route(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,6 +47,8 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: relation, label, cues: what a question about each relation says.
 CUES = [("located_in", "is located in", ["located", "where is", "which region"]), ("based_in", "is based in", ["based", "where is the seat of", "which country"])]
+#: Titles that a reply lists; all documents are counted and searched.
+LISTED = 20
 ALIASES = [("the first nation", "NATION_0"), ("the last nation", "NATION_24")]
 
 
@@ -81,6 +83,17 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said
 
 
+#: What is asked about each benchmark item: a name, a year, a number, anything.
+ITEM_QUESTIONS = ["Who wrote {}?", "When was {} made?", "How many {} are there?", "Tell me of {}"]
+
+
+def item_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions of several kinds about each whole benchmark item: ``query_id, text``."""
+    items = read(spark, sf_dir, "benchmark")
+    made = [F.struct((F.col("item_id") * len(ITEM_QUESTIONS) + k).alias("query_id"), F.concat(*(x for part in zip(map(F.lit, q.split("{}")), [F.col("text"), F.lit("")]) for x in part)).alias("text")) for k, q in enumerate(ITEM_QUESTIONS)]
+    return items.select(F.inline(F.array(*made)))
+
+
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions of every kind about words of documents: ``query_id, text``."""
     kinds = ["How many {} are there?", "Who wrote {}?", "When was {} made?", "Where is {}?", "Which company owns {}?", "What is a {}?", "Why does {} matter?", "Which method finds {}?", "Tell me of {}"]

@@ -53,3 +53,10 @@ def test_answer_metrics(spark):
 def test_display(spark):
     assert row(spark, T.title(F.lit("x\n# Hello  \ny"), F.lit("a.md")), T.title(F.lit("\n ## sub\n"), F.lit("a.md")), T.title(F.lit("\n"), F.lit("a_b-c.md")), T.slug(F.lit("/x/My File.md")), T.slug(F.lit("??.md"))) == ("Hello", "sub", "A B C", "my-file", "doc")
     assert row(spark, T.preview(F.lit("# T\n\nbody  here"), 6), T.mark_answer(F.lit("a <b> & <b>"), F.lit("<b>")), T.normalise(F.lit("ﬁ\r\nx\t\ty\n\n\n\nz "))) == ("body…", "a <mark>&lt;b&gt;</mark> &amp; &lt;b&gt;", "fi\nx y\n\nz")
+
+
+def test_sentences_of_texts_with_control_characters(spark):
+    text = "One two.\x01 Three four. Five six. \x01\n\nEnd"
+    got = spark.createDataFrame([(text,), ("",), (None,), ("Of Dr. ",), ("  ",)], "t string").select(S.sentences(F.col("t")).alias("s")).collect()
+    assert [[text[x.start : x.end] for x in got[0].s]] == [["One two.\x01 Three four.", "Five six.", "\x01", "End"]]
+    assert [[(x.start, x.end) for x in r.s] for r in got[1:]] == [[], [], [(0, 6)], []]
