@@ -7,7 +7,7 @@ from ..functions.spans import ABBREVIATIONS, NAME, NUMBER, YEAR
 from ..functions.text import STOPWORDS, TOKEN, quoted, stem_sql
 from ..operators.dialogue import SMALL_TALK
 from ..params import DEFAULTS as P
-from .tables import ALIASES, CUES, FOLLOW_UPS, ITEM_QUESTIONS, LISTED
+from .tables import ALIASES, CAP, CUES, FOLLOW_UPS, ITEM_QUESTIONS, LISTED
 
 
 def s(text: str) -> str:
@@ -152,10 +152,15 @@ pairs AS (SELECT query_id, p.text AS predicted, b.text AS gold, {words('p.text')
 common AS (SELECT query_id, sum(least(p, g)) AS n FROM (SELECT query_id, w, count(*) AS p FROM (SELECT query_id, unnest(pw) AS w FROM pairs) GROUP BY ALL) JOIN (SELECT query_id, w, count(*) AS g FROM (SELECT query_id, unnest(gw) AS w FROM pairs) GROUP BY ALL) USING (query_id, w) GROUP BY query_id),
 measured AS (SELECT query_id, ({normal('predicted')} = {normal('gold')})::INT::DOUBLE AS exact_match, CASE WHEN len(pw) = 0 OR len(gw) = 0 THEN (len(pw) = len(gw))::INT::DOUBLE ELSE 2.0::DOUBLE * coalesce(n, 0) / (len(pw) + len(gw)) END AS f1, contains({normal('predicted')}, {normal('gold')})::INT::DOUBLE AS contains FROM pairs LEFT JOIN common USING (query_id))"""
 
-EVALUATED = f"""{METRICS}, {GOLD},
-d_analyzed AS (SELECT doc_id, {analyzed('text')} AS terms FROM documents), d_sizes AS (SELECT doc_id, len(terms) AS length FROM d_analyzed), d_stats AS (SELECT count(*) AS n, avg(length) AS avg_length FROM d_sizes),
+def document_hits(asked: str) -> str:
+    """``d_hits``: documents ranked for the terms of ``asked(query_id, term)``."""
+    return f"""d_analyzed AS (SELECT doc_id, {analyzed('text')} AS terms FROM documents), d_sizes AS (SELECT doc_id, len(terms) AS length FROM d_analyzed), d_stats AS (SELECT count(*) AS n, avg(length) AS avg_length FROM d_sizes),
 d_postings AS (SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(terms) AS term FROM d_analyzed) GROUP BY ALL), d_vocabulary AS (SELECT term, count(*) AS df FROM d_postings GROUP BY term),
-d_hits AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * ({P.k1}::DOUBLE + 1) / (tf + {P.k1}::DOUBLE * (1 - {P.b}::DOUBLE + {P.b}::DOUBLE * length / avg_length))), 6) AS score FROM asked JOIN d_postings USING (term) JOIN d_vocabulary USING (term) JOIN d_sizes USING (doc_id), d_stats GROUP BY query_id, doc_id)),
+d_hits AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * ({P.k1}::DOUBLE + 1) / (tf + {P.k1}::DOUBLE * (1 - {P.b}::DOUBLE + {P.b}::DOUBLE * length / avg_length))), 6) AS score FROM {asked} JOIN d_postings USING (term) JOIN d_vocabulary USING (term) JOIN d_sizes USING (doc_id), d_stats GROUP BY query_id, doc_id))"""
+
+
+EVALUATED = f"""{METRICS}, {GOLD},
+{document_hits('asked')},
 results AS (
   SELECT g.query_id, g.doc IS NOT NULL AS answerable, CASE WHEN g.doc IS NOT NULL THEN 'DEFINITION' ELSE 'UNANSWERABLE' END AS question_type, CASE WHEN p.query_id IS NULL THEN 'none' ELSE 'retrieval' END AS route, p.query_id IS NULL AS refused,
     CASE WHEN g.doc IS NOT NULL THEN coalesce(m.exact_match, 0) ELSE 0.0 END AS em, CASE WHEN g.doc IS NOT NULL THEN coalesce(m.f1, 0) ELSE 0.0 END AS f1, CASE WHEN g.doc IS NOT NULL THEN coalesce(m.contains, 0) ELSE 0.0 END AS contains,
@@ -282,10 +287,10 @@ fold AS (
     FROM (SELECT *, {canonical} AS asked FROM (SELECT s.conv_id, s.nth, s.turn, s.text, s.intent, f.topic AS before, {question} AS question FROM fold f JOIN said s ON s.conv_id = f.conv_id AND s.nth = f.nth + 1)))"""
 
 
-def replies() -> str:
-    """What each turn is answered, by which route: a fact, else a span or sentence of a passage, else the words that no document has."""
+def replies(turns: str) -> str:
+    """``replied``: what each of the ``turns`` that the SQL makes is answered, by which route: a fact, else a span or sentence of a passage, else the words that no document has."""
     talk = " ".join(f"WHEN intent = '{k}' THEN {s(v)}" for k, v in SMALL_TALK.items())
-    return f"""WITH RECURSIVE {FACTS}, {TURNS}, {folded('turns')},
+    return f"""{turns}, {folded('turns')},
 put AS (SELECT DISTINCT question AS query_id, question AS text FROM fold WHERE nth > 0 AND intent = 'question'),
 {subjects_of('put', 'query_id')}, {relations_of('put')}, {LAST},
 told AS (SELECT query_id, object || '.' AS reply FROM found JOIN related USING (query_id) JOIN last USING (relation) WHERE low = lower(subject)),
@@ -293,12 +298,31 @@ left_open AS (SELECT * FROM put WHERE query_id NOT IN (SELECT query_id FROM told
 strange AS (
   SELECT query_id, string_agg('“' || term || '”', ', ' ORDER BY pos) AS missing
   FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS n FROM (SELECT query_id, unnest(range(0, len(x))) AS pos, unnest(x) AS term FROM (SELECT query_id, {analyzed('text')} AS x FROM left_open)) WHERE term NOT IN (SELECT term FROM vocabulary)) WHERE n <= 3 GROUP BY query_id),
-size AS (SELECT count(*) AS n_docs FROM documents), list AS (SELECT string_agg(title, '; ' ORDER BY doc_id, title) AS titles FROM (SELECT doc_id, {_TITLE} AS title FROM documents ORDER BY doc_id, title LIMIT {LISTED}))
-SELECT conv_id, turn, f.text, intent, coalesce(question, '') AS question, coalesce(question <> f.text, false) AS rewritten, topic,
+size AS (SELECT count(*) AS n_docs FROM documents), list AS (SELECT string_agg(title, '; ' ORDER BY doc_id, title) AS titles FROM (SELECT doc_id, {_TITLE} AS title FROM documents ORDER BY doc_id, title LIMIT {LISTED})),
+replied AS (SELECT conv_id, turn, f.text, intent, coalesce(question, '') AS question, coalesce(question <> f.text, false) AS rewritten, topic,
   CASE WHEN intent <> 'question' THEN 'conversation' WHEN k.reply IS NOT NULL THEN 'knowledge base' WHEN e.text IS NOT NULL THEN 'retrieval' ELSE 'none' END AS route,
   CASE WHEN intent = 'greeting' THEN 'Good to see you. ' || n_docs || ' documents are ready for your questions.' WHEN intent = 'documents' THEN 'The collection counts ' || n_docs || ' documents, among them: ' || titles || '.' {talk}
     ELSE coalesce(k.reply, e.text, 'None of ' || n_docs || ' documents speaks of ' || missing || '.', 'No passage answers that, though some are about it.') END AS reply
-FROM fold f LEFT JOIN told k ON k.query_id = f.question LEFT JOIN extracted e ON e.query_id = f.question LEFT JOIN strange x ON x.query_id = f.question, size, list WHERE nth > 0"""
+FROM fold f LEFT JOIN told k ON k.query_id = f.question LEFT JOIN extracted e ON e.query_id = f.question LEFT JOIN strange x ON x.query_id = f.question, size, list WHERE nth > 0)"""
+
+
+def means(of: str) -> str:
+    """The one row of an evaluation."""
+    return f"SELECT count(*) AS questions, count(*) FILTER (WHERE answerable) AS answerable, round(coalesce(avg((doc_rank IS NOT NULL)::INT::DOUBLE) FILTER (WHERE ranked), 0), 6) AS recall_at_k, round(coalesce(avg(coalesce(1.0::DOUBLE / doc_rank, 0)) FILTER (WHERE ranked), 0), 6) AS mrr, round(coalesce(avg(em) FILTER (WHERE answerable), 0), 6) AS exact_match, round(coalesce(avg(f1) FILTER (WHERE answerable), 0), 6) AS f1, round(coalesce(avg(contains) FILTER (WHERE answerable), 0), 6) AS contains, round(coalesce(avg(refused::INT::DOUBLE) FILTER (WHERE NOT answerable), 0), 6) AS refusal_accuracy, round(coalesce(avg(correct::INT::DOUBLE), 0), 6) AS overall FROM {of}"
+
+
+#: Facts and benchmark items as gold, asked as conversations of one turn, with measures of each reply.
+DIALOGUE = f"""{FACTS}, {GOLD},
+gold_q AS (SELECT ord AS query_id, q.text, object AS a, NULL::BIGINT AS doc, 'PLACE' AS type FROM facts JOIN questions q ON query_id = ord UNION ALL SELECT -1 - query_id, 'Tell me of ' || text, CASE WHEN doc IS NOT NULL THEN text END, doc, CASE WHEN doc IS NULL THEN 'UNANSWERABLE' ELSE 'OTHER' END FROM gold),
+{replies('turns AS (SELECT query_id AS conv_id, 0::BIGINT AS turn, text FROM gold_q)')},
+g_asked AS (SELECT DISTINCT query_id, term FROM (SELECT query_id, unnest({analyzed('text')}) AS term FROM gold_q)), {document_hits('g_asked')},
+g_pairs AS (SELECT *, {words('predicted')} AS pw, {words('a')} AS gw FROM (SELECT g.*, r.route, r.route NOT IN ('knowledge base', 'retrieval') AS refused, CASE WHEN r.route IN ('knowledge base', 'retrieval') THEN r.reply ELSE '' END AS predicted FROM gold_q g JOIN replied r ON r.conv_id = query_id)),
+g_common AS (SELECT query_id, sum(least(p, g)) AS n FROM (SELECT query_id, w, count(*) AS p FROM (SELECT query_id, unnest(pw) AS w FROM g_pairs) GROUP BY ALL) JOIN (SELECT query_id, w, count(*) AS g FROM (SELECT query_id, unnest(gw) AS w FROM g_pairs) GROUP BY ALL) USING (query_id, w) GROUP BY query_id),
+g_results AS (
+  SELECT query_id, type AS question_type, route, refused, a IS NOT NULL AS answerable, a IS NOT NULL AND doc IS NOT NULL AS ranked, CASE WHEN h.rank <= {P.top_k} THEN h.rank END AS doc_rank, CASE WHEN a IS NULL THEN 0 ELSE ({normal('predicted')} = {normal('a')})::INT::DOUBLE END AS em,
+    CASE WHEN a IS NULL THEN 0 WHEN len(pw) = 0 OR len(gw) = 0 THEN (len(pw) = len(gw))::INT::DOUBLE ELSE 2.0::DOUBLE * coalesce(n, 0) / (len(pw) + len(gw)) END AS f1, CASE WHEN a IS NULL THEN 0 ELSE contains({normal('predicted')}, {normal('a')})::INT::DOUBLE END AS contains
+  FROM g_pairs p LEFT JOIN g_common USING (query_id) LEFT JOIN (SELECT query_id, doc_id AS doc, rank FROM d_hits) h USING (query_id, doc)),
+g_correct AS (SELECT *, CASE WHEN answerable THEN contains > 0 OR em > 0 ELSE refused END AS correct FROM g_results)"""
 
 
 ORACLE_SQL = {
@@ -325,7 +349,13 @@ ORACLE_SQL = {
     "evaluation_summary": f"WITH {EVALUATED} SELECT count(*) AS questions, count(*) FILTER (WHERE answerable) AS answerable, round(coalesce(avg((doc_rank IS NOT NULL)::INT::DOUBLE) FILTER (WHERE answerable), 0), 6) AS recall_at_k, round(coalesce(avg(coalesce(1.0::DOUBLE / doc_rank, 0)) FILTER (WHERE answerable), 0), 6) AS mrr, round(coalesce(avg(em) FILTER (WHERE answerable), 0), 6) AS exact_match, round(coalesce(avg(f1) FILTER (WHERE answerable), 0), 6) AS f1, round(coalesce(avg(contains) FILTER (WHERE answerable), 0), 6) AS contains, round(coalesce(avg(refused::INT::DOUBLE) FILTER (WHERE NOT answerable), 0), 6) AS refusal_accuracy, round(coalesce(avg(correct::INT::DOUBLE), 0), 6) AS overall FROM correct",
     "summary_by_type": f"WITH {EVALUATED} SELECT question_type, count(*) AS n, round(avg(correct::INT::DOUBLE), 6) AS correct, round(coalesce(avg(f1) FILTER (WHERE answerable), 0), 6) AS f1 FROM correct GROUP BY question_type",
     "summary_by_route": f"WITH {EVALUATED} SELECT route, count(*) AS n FROM correct GROUP BY route",
+    "answer_explain": f"WITH item_questions AS ({_ITEMS}), {extracted('item_questions')} SELECT query_id, printf('%-38s %+.3f', 'rank of the passage', evidence_part) || chr(10) || CASE WHEN kind = 'span' THEN printf('%-38s %+.3f', 'is of the type ' || qtype, type_part) || chr(10) ELSE '' END || printf('%-38s %+.3f', 'words shared with the question', context_part) || CASE WHEN kind = 'span' THEN chr(10) || printf('%-38s %+.3f', 'less for words of the question', repeat_part) ELSE '' END AS explanation FROM extracted JOIN typed USING (query_id)",
+    "matched_terms": f"WITH {DOCUMENT_INDEX}, {hits('doc_id', 'doc_id')} SELECT p.query_id, p.doc_id, string_agg(p.term, ' ' ORDER BY round(p.bm25, 6) DESC, p.term) AS terms FROM parts p JOIN hits h USING (query_id, doc_id) GROUP BY ALL",
+    "corpus_rows": f"WITH {DOCS} SELECT CASE WHEN n = 1 THEN slug ELSE slug || '-' || n END AS doc_id, coalesce(nullif({_HEADING}, ''), nullif({_LINE}, ''), upper(source[1]) || source[2:]) AS title, word_count::INT AS words, source, source || '.txt' AS file FROM members",
+    "corpus_cap": f"WITH {DOCS}, capped AS (SELECT CASE WHEN reject_reason IS NULL AND row_number() OVER (PARTITION BY reject_reason IS NULL ORDER BY doc_ord) > {CAP} THEN 'full' ELSE coalesce(reject_reason, 'admitted') END AS reason FROM marked) SELECT reason, count(*) AS n, greatest({CAP} - (SELECT count(*) FROM capped WHERE reason = 'admitted'), 0)::BIGINT AS slots_free FROM capped GROUP BY reason",
+    "fact_triples": f"WITH {FACTS} SELECT ord, '(' || subject || ', ' || relation || ', ' || object || ')' AS triple FROM facts",
     "span_answer": f"WITH item_questions AS ({_ITEMS}), {extracted('item_questions')} SELECT i.query_id, coalesce(e.text, '') AS text, coalesce(kind, 'none') AS kind, coalesce(confidence, 0.0::DOUBLE) AS confidence, qtype AS question_type, coalesce(label, '') AS label, coalesce(sentence, '') AS sentence, coalesce(e.doc_id, -1) AS doc_id, coalesce(title, '') AS doc_title, coalesce(doc_start, -1) AS doc_start, coalesce(doc_end, -1) AS doc_end, coalesce(passage_id, '') AS passage_id, " + ", ".join(f"coalesce({k}_part, 0.0::DOUBLE) AS {k}_part" for k in ("evidence", "type", "context", "repeat")) + f", coalesce(alternatives, '') AS alternatives FROM item_questions i JOIN typed USING (query_id) LEFT JOIN extracted e USING (query_id) LEFT JOIN (SELECT doc_id, {_TITLE} AS title FROM documents) USING (doc_id)",
+    "kb_explain": f"WITH {FACTS}, {subjects_of('questions', 'query_id')}, {RELATIONS}, {LAST} SELECT query_id, 'subject ' || subject || '; cue \"' || cue || '\" means ' || label || '; so ' || object AS explanation FROM found JOIN related USING (query_id) JOIN last USING (relation) WHERE low = lower(subject)",
     "kb_stats": f"WITH {FACTS} SELECT count(*) AS facts, count(DISTINCT subject) AS subjects, (SELECT count(DISTINCT relation) FROM cues) AS relations, count(DISTINCT doc_id) AS documents_covered FROM facts",
     "subject_match": f"WITH {FACTS}, {subjects_of('questions', 'query_id')} SELECT query_id, subject FROM found",
     "relation_match": f"WITH {FACTS}, {RELATIONS} SELECT query_id, relation, label, cue FROM related",
@@ -335,6 +365,9 @@ ORACLE_SQL = {
     "document_display": DISPLAY,
     "regex_entities": f"WITH {ENTITIES} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY kind, a) - 1)::INT AS nth, substr(body, a + 1, b - a) AS text, label, a AS \"start\", b AS \"end\" FROM whole",
     "topic_carry": f"WITH RECURSIVE {FACTS}, {TURNS}, {folded('turns')} SELECT conv_id, turn, question, coalesce(question <> text, false) AS rewritten, topic FROM fold WHERE nth > 0",
-    "reply_route": replies(),
+    "reply_route": f"WITH RECURSIVE {FACTS}, {replies(TURNS)} SELECT * FROM replied",
+    "dialogue_summary": f"WITH RECURSIVE {DIALOGUE} {means('g_correct')}",
+    "dialogue_failures": f"WITH RECURSIVE {DIALOGUE} SELECT query_id, question_type, route, round(f1, 6) AS f1 FROM g_correct WHERE NOT correct",
+    "last_topics": f"WITH RECURSIVE {FACTS}, {TURNS}, {folded('turns')} SELECT conv_id, arg_max(coalesce(topic, ''), nth) AS topic FROM fold WHERE nth > 0 GROUP BY conv_id",
     "stream_topic_state": f"WITH RECURSIVE {FACTS}, {folded('(FROM conversations WHERE role = ' + s('user') + ')')} SELECT conv_id, turn, text, intent, question, topic FROM fold WHERE nth > 0",
 }

@@ -11,7 +11,7 @@ from ..functions.spans import entities
 from ..operators import answers, collection, dialogue, index, metrics, passages
 from ..operators import facts as kb
 from ..operators.staging import written
-from ..params import DEFAULTS
+from ..params import DEFAULTS, Params
 from . import tables as t
 
 
@@ -27,6 +27,18 @@ def corpus_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collection.fingerprint(collection.members(collection.admit(t.collection(spark, sf_dir))))
 
 
+def corpus_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collection.rows(collection.members(collection.admit(t.collection(spark, sf_dir))))
+
+
+def corpus_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents a bounded collection admits and refuses, and why, and what is free of it then."""
+    bound = Params(max_docs=t.CAP)
+    admitted = collection.admit(t.collection(spark, sf_dir), params=bound)
+    free = collection.stats(collection.members(admitted), params=bound).select("slots_free")
+    return admitted.groupBy(F.coalesce("reject_reason", F.lit("admitted")).alias("reason")).agg(F.count("*").alias("n")).join(F.broadcast(free))
+
+
 def document_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = t.read(spark, sf_dir, "documents")
     terms = T.analyze(F.col("text"))
@@ -100,6 +112,12 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("query_id", F.col("unit_id").alias("doc_id"), "score", "rank", F.array_join(F.array_sort(F.map_keys("term_scores")), " ").alias("terms"))
 
 
+def matched_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The terms behind each hit, the weightiest first."""
+    hits = index.search(t.benchmark(spark, sf_dir), *_doc_index(spark, sf_dir))
+    return hits.select("query_id", F.col("unit_id").alias("doc_id"), F.array_join(index.matched_terms(F.col("term_scores")), " ").alias("terms"))
+
+
 def tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranked(spark, sf_dir, "tfidf").select("query_id", F.col("unit_id").alias("doc_id"), "score", "rank")
 
@@ -174,16 +192,34 @@ def regex_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.documents(spark, sf_dir).select("doc_id", F.posexplode(entities(F.col("text"))).alias("nth", "e")).select("doc_id", "nth", "e.text", "e.label", "e.start", "e.end")
 
 
-def span_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers to questions of several kinds about each whole benchmark item, with the parts of their scores; '', -1 or 0 is what isn't there."""
+def _item_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut, posted, stats = _passage_index(spark, sf_dir)
     asked = written(t.item_questions(spark, sf_dir))
-    out = answers.extract(asked, written(index.top(asked, posted, stats)), cut)
+    return answers.extract(asked, written(index.top(asked, posted, stats)), cut)
+
+
+def span_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers to questions of several kinds about each whole benchmark item, with the parts of their scores; '', -1 or 0 is what isn't there."""
+    out = _item_answers(spark, sf_dir)
     shown = F.array_join(F.transform("alternatives", lambda a: F.format_string("%s (%.3f)", a["text"], a["score"])), "; ")
     out = out.withColumns({f"{k}_part": F.col("parts")[k] for k in ("evidence", "type", "context", "repeat")}).withColumn("alternatives", shown).drop("parts")
     return out.fillna("").fillna(-1, ["doc_id", "doc_start", "doc_end"]).fillna(0.0)
 
 
+def answer_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _item_answers(spark, sf_dir).where("kind <> 'none'")
+    return found.select("query_id", F.array_join(answers.explain(F.col("parts"), F.col("question_type")), "\n").alias("explanation"))
+
+
+def fact_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t.facts(spark, sf_dir).select("ord", kb.as_triple(F.col("subject"), F.col("relation"), F.col("object")).alias("triple"))
+
+
+def kb_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = kb_lookup(spark, sf_dir)
+    return found.select("query_id", kb.explain(F.col("subject"), F.col("relation_label"), F.col("matched_cue"), F.col("object")).alias("explanation"))
+
+
 def kb_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kb.stats(t.facts(spark, sf_dir), t.cues(spark))
 
@@ -213,14 +249,39 @@ def topic_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogue.with_topics(rows).select("conv_id", "turn", "question", "rewritten", "topic")
 
 
-def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+def last_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = dialogue.described(t.turns(spark, sf_dir), t.facts(spark, sf_dir), t.aliases(spark))
+    return dialogue.last_topics(dialogue.with_topics(rows)).fillna("")
+
+
+def _replies(spark: SparkSession, sf_dir: str, turns: DataFrame) -> DataFrame:
     docs = t.documents(spark, sf_dir)
     cut, posted, stats = _passage_index(spark, sf_dir)
-    return dialogue.respond(t.turns(spark, sf_dir), documents=docs, passages=cut, postings=posted, stats=stats, facts_=t.facts(spark, sf_dir), cues=t.cues(spark), aliases=t.aliases(spark), listed=t.LISTED)
+    return dialogue.respond(turns, documents=docs, passages=cut, postings=posted, stats=stats, facts_=t.facts(spark, sf_dir), cues=t.cues(spark), aliases=t.aliases(spark), listed=t.LISTED)
 
 
 def reply_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _replies(spark, sf_dir)
+    return _replies(spark, sf_dir, t.turns(spark, sf_dir))
+
+
+def _dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts and benchmark items as gold: each is asked in a conversation of its own, and the whole dialogue answers."""
+    told = t.facts(spark, sf_dir).select(F.col("ord").alias("query_id"), F.col("object").alias("a"), F.lit(None).cast("bigint").alias("doc"), F.lit("PLACE").alias("type")).join(t.fact_questions(spark, sf_dir), "query_id")
+    held = F.col("doc").isNotNull()
+    read = _gold(spark, sf_dir).select((-1 - F.col("query_id")).alias("query_id"), F.when(held, F.col("text")).alias("a"), "doc", F.when(held, "OTHER").otherwise("UNANSWERABLE").alias("type"), F.concat(F.lit("Tell me of "), "text").alias("text"))
+    gold = written(told.unionByName(read))
+    replies = _replies(spark, sf_dir, gold.select(F.col("query_id").alias("conv_id"), F.lit(0).cast("bigint").alias("turn"), "text")).select(F.col("conv_id").alias("query_id"), "route", "reply")
+    hits = index.top(gold.select("query_id", "text"), *_doc_index(spark, sf_dir)).select("query_id", F.col("unit_id").alias("doc_id"), "rank")
+    return metrics.evaluate(gold.withColumnRenamed("text", "q"), replies, hits)
+
+
+def dialogue_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = metrics.summary(_dialogue(spark, sf_dir))
+    return out.select(*(F.round(c, 6).alias(c) if k == "double" else F.col(c) for c, k in out.dtypes))
+
+
+def dialogue_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.failures(_dialogue(spark, sf_dir)).select("query_id", "question_type", "route", F.round("f1", 6).alias("f1"))
 
 
 def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -261,7 +322,7 @@ def stream_topic_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    doc_admission, corpus_stats, corpus_fingerprint, document_terms, document_display, sentence_spans, passage_windows, offset_violations, term_frequencies, vocabulary_idf, passage_stats, index_summary, bm25_topk, tfidf_topk,
-    document_rank, score_explain, unknown_terms, coverage_gate, retrieval_eval, sentence_answer, answer_metrics, regex_entities, span_answer, kb_stats, subject_match, relation_match, kb_lookup, question_type, intent,
-    topic_carry, reply_route, evaluation_summary, summary_by_type, summary_by_route, stream_topic_state,
+    doc_admission, corpus_stats, corpus_rows, corpus_cap, corpus_fingerprint, document_terms, document_display, sentence_spans, passage_windows, offset_violations, term_frequencies, vocabulary_idf, passage_stats, index_summary, bm25_topk, matched_terms, tfidf_topk,
+    document_rank, score_explain, unknown_terms, coverage_gate, retrieval_eval, sentence_answer, answer_metrics, regex_entities, span_answer, answer_explain, fact_triples, kb_explain, kb_stats, subject_match, relation_match, kb_lookup, question_type, intent,
+    topic_carry, last_topics, reply_route, dialogue_summary, dialogue_failures, evaluation_summary, summary_by_type, summary_by_route, stream_topic_state,
 )}

@@ -47,6 +47,8 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: relation, label, cues: what a question about each relation says.
 CUES = [("located_in", "is located in", ["located", "where is", "which region"]), ("based_in", "is based in", ["based", "where is the seat of", "which country"])]
+#: Documents that a bounded collection takes.
+CAP = 150
 #: Titles that a reply lists; all documents are counted and searched.
 LISTED = 20
 ALIASES = [("the first nation", "NATION_0"), ("the last nation", "NATION_24")]
