@@ -80,8 +80,8 @@ def _nfkc(text: pd.Series) -> pd.Series:
 
 
 def normalise(text: Column) -> Column:
-    """Canonical Unicode and white space.  Only texts beyond ASCII reach Python, for which Spark has no NFKC."""
-    nfkc = F.when(F.regexp_like(text, F.lit(r"[^\x00-\x7F]")), F.pandas_udf(_nfkc, "string")(text)).otherwise(text)
+    """Canonical Unicode and white space.  Only texts beyond ASCII reach Python, for which Spark has no NFKC; others are sent as nulls."""
+    nfkc = F.coalesce(F.pandas_udf(_nfkc, "string")(F.when(F.regexp_like(text, F.lit(r"[^\x00-\x7F]")), text)), text)
     out = F.regexp_replace(nfkc, "\r\n?", "\n")
     out = F.regexp_replace(out, "[ \t\u00a0]+", " ")
     out = F.regexp_replace(out, "\n{3,}", "\n\n")

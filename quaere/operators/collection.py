@@ -53,14 +53,18 @@ def remove(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
-    """One row: a hash of all checksums, whatever their order, as a digest of the sorted list."""
+    """One row: a hash of all checksums, whatever their order, as a digest of the sorted list.
+
+    A digest of one list is made in one place; `quick_fingerprint` serves where the checksums outgrow it.
+    """
     return docs.agg(F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list("checksum")), "|").cast("binary"), 256), 1, 16).alias("fingerprint"))
 
 
 def quick_fingerprint(docs: DataFrame) -> DataFrame:
-    """The same purpose in constant memory: an order-free sum and XOR of hashes, and a count."""
-    h = F.xxhash64("checksum")
-    return docs.agg(F.concat_ws("-", F.hex(F.bit_xor(h)), F.hex(F.sum(F.shiftright(h, 16))), F.count("*").cast("string")).alias("fingerprint"))
+    """The same purpose in constant memory: XOR and sum of 60 bits of each checksum, whatever their order, and a count."""
+    bits = F.conv(F.substring("checksum", 1, 15), 16, 10).cast("bigint")
+    total = F.coalesce(F.sum(bits.cast("decimal(28,0)")), F.lit(0)).cast("decimal(38,0)")
+    return docs.agg(F.concat_ws("-", F.coalesce(F.bit_xor(bits), F.lit(0)).cast("string"), total.cast("string"), F.count("*").cast("string")).alias("fingerprint"))
 
 
 def stats(docs: DataFrame, *, params: Params = DEFAULTS) -> DataFrame:

@@ -7,7 +7,7 @@ from ..functions.spans import ABBREVIATIONS, NAME, NUMBER, YEAR
 from ..functions.text import STOPWORDS, TOKEN, quoted, stem_sql
 from ..operators.dialogue import SMALL_TALK
 from ..params import DEFAULTS as P
-from .tables import ALIASES, CAP, CUES, FOLLOW_UPS, ITEM_QUESTIONS, LISTED
+from .tables import ALIASES, CAP, CUES, FOLLOW_UPS, ITEM_QUESTIONS, KINDS, LISTED
 
 
 def s(text: str) -> str:
@@ -199,9 +199,6 @@ LAST = "last AS (SELECT lower(subject) AS low, relation, arg_max(object, ord) AS
 _MORE = " UNION ALL ".join(f"SELECT conv_id, {turn}, {s(head)}" + ("" if tail is None else f" || 'NATION_' || (conv_id % 25) || {s(tail)}") + " FROM (SELECT DISTINCT conv_id FROM conversations WHERE role = 'user')" for turn, head, tail in FOLLOW_UPS)
 TURNS = f"turns AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user' UNION ALL {_MORE})"
 
-_KINDS = ["How many {} are there?", "Who wrote {}?", "When was {} made?", "Where is {}?", "Which company owns {}?", "What is a {}?", "Why does {} matter?", "Which method finds {}?", "Tell me of {}"]
-
-
 
 def short(x: str, limit: int) -> str:
     return rf"CASE WHEN length({x}) <= {limit} THEN {x} ELSE regexp_replace(substr({x}, 1, {limit - 1}), '\s+$', '') || '…' END"
@@ -360,7 +357,8 @@ ORACLE_SQL = {
     "subject_match": f"WITH {FACTS}, {subjects_of('questions', 'query_id')} SELECT query_id, subject FROM found",
     "relation_match": f"WITH {FACTS}, {RELATIONS} SELECT query_id, relation, label, cue FROM related",
     "kb_lookup": f"WITH {FACTS}, {subjects_of('questions', 'query_id')}, {RELATIONS}, {LAST} SELECT query_id, subject, relation, label AS relation_label, cue AS matched_cue, object, doc_id FROM found JOIN related USING (query_id) JOIN last USING (relation) WHERE low = lower(subject)",
-    "question_type": "WITH w AS (SELECT doc_id, lower(regexp_extract(text, " + s(TOKEN) + ")) AS w FROM documents WHERE regexp_extract(text, " + s(TOKEN) + ") <> ''), q AS (" + " UNION ALL ".join(f"SELECT doc_id * 10 + {k} AS query_id, {s(q.split('{}')[0])} || w || {s(q.split('{}')[1])} AS text FROM w" for k, q in enumerate(_KINDS)) + f") SELECT query_id, {question_type('lower(text)')} AS question_type FROM q",
+    "question_type": f"WITH {SENTENCES}, q AS (SELECT doc_id, sid, CASE sid % {len(KINDS)} " + " ".join(f"WHEN {k} THEN {s(q.split('{}')[0])} || said || {s(q.split('{}')[1])}" for k, q in enumerate(KINDS)) + f" END AS text FROM (SELECT doc_id, sid, substr(text, \"start\" + 1, \"end\" - \"start\") AS said FROM sentences JOIN documents USING (doc_id))) SELECT doc_id, sid::INT AS sid, {question_type('lower(text)').replace(chr(92) + 'w-', chr(92) + 'p{L}' + chr(92) + 'p{N}_-')} AS question_type FROM q",
+    "quick_fingerprint": f"WITH {DOCS} SELECT coalesce(bit_xor(bits), 0)::VARCHAR || '-' || coalesce(sum(bits::HUGEINT), 0)::VARCHAR || '-' || count(*) AS fingerprint FROM (SELECT ('0x' || substr(checksum, 1, 15))::BIGINT AS bits FROM members)",
     "intent": f"WITH {TURNS} SELECT conv_id, turn, {intent('lower(' + stripped('text') + ')')} AS intent FROM turns",
     "document_display": DISPLAY,
     "regex_entities": f"WITH {ENTITIES} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY kind, a) - 1)::INT AS nth, substr(body, a + 1, b - a) AS text, label, a AS \"start\", b AS \"end\" FROM whole",

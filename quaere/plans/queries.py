@@ -27,6 +27,10 @@ def corpus_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collection.fingerprint(collection.members(collection.admit(t.collection(spark, sf_dir))))
 
 
+def quick_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collection.quick_fingerprint(collection.members(collection.admit(t.collection(spark, sf_dir))))
+
+
 def corpus_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collection.rows(collection.members(collection.admit(t.collection(spark, sf_dir))))
 
@@ -237,7 +241,7 @@ def kb_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def question_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t.questions(spark, sf_dir).select("query_id", rules.question_type(F.col("text")).alias("question_type"))
+    return t.questions(spark, sf_dir).select("doc_id", "sid", rules.question_type(F.col("text")).alias("question_type"))
 
 
 def intent(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -322,7 +326,7 @@ def stream_topic_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    doc_admission, corpus_stats, corpus_rows, corpus_cap, corpus_fingerprint, document_terms, document_display, sentence_spans, passage_windows, offset_violations, term_frequencies, vocabulary_idf, passage_stats, index_summary, bm25_topk, matched_terms, tfidf_topk,
+    doc_admission, corpus_stats, corpus_rows, corpus_cap, corpus_fingerprint, quick_fingerprint, document_terms, document_display, sentence_spans, passage_windows, offset_violations, term_frequencies, vocabulary_idf, passage_stats, index_summary, bm25_topk, matched_terms, tfidf_topk,
     document_rank, score_explain, unknown_terms, coverage_gate, retrieval_eval, sentence_answer, answer_metrics, regex_entities, span_answer, answer_explain, fact_triples, kb_explain, kb_stats, subject_match, relation_match, kb_lookup, question_type, intent,
     topic_carry, last_topics, reply_route, dialogue_summary, dialogue_failures, evaluation_summary, summary_by_type, summary_by_route, stream_topic_state,
 )}

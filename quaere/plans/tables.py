@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.spans import sentence_texts
 from ..sources.readers import describe
 
 
@@ -96,13 +97,13 @@ def item_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select(F.inline(F.array(*made)))
 
 
+#: Questions of every kind, asked in turn about the sentences of each document.
+KINDS = ["How many {} are there?", "Who wrote {}?", "When was {} made?", "Where is {}?", "Which company owns {}?", "What is a {}?", "Why does {} matter?", "Which method finds {}?", "Tell me of {}"]
+
+
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions of every kind about words of documents: ``query_id, text``."""
-    kinds = ["How many {} are there?", "Who wrote {}?", "When was {} made?", "Where is {}?", "Which company owns {}?", "What is a {}?", "Why does {} matter?", "Which method finds {}?", "Tell me of {}"]
-    word = F.get(T.tokens(F.col("text")), F.lit(0))
-    docs = read(spark, sf_dir, "documents").select("doc_id", word.alias("w")).where("w IS NOT NULL")
-    made = [docs.select((F.col("doc_id") * 10 + k).alias("query_id"), F.concat(F.lit(q.split("{}")[0]), "w", F.lit(q.split("{}")[1])).alias("text")) for k, q in enumerate(kinds)]
-    out = made[0]
-    for df in made[1:]:
-        out = out.unionByName(df)
-    return out
+    """A question about each sentence of each document: ``doc_id, sid, text``."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    said = docs.select("doc_id", F.posexplode(sentence_texts(F.col("text"))).alias("sid", "s"))
+    asked = [F.concat(F.lit(q.split("{}")[0]), F.col("s"), F.lit(q.split("{}")[1])) for q in KINDS]
+    return said.select("doc_id", "sid", F.get(F.array(*asked), F.col("sid") % len(KINDS)).alias("text"))

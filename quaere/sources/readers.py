@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators.staging import written
 from ..params import DEFAULTS, Params
 
 
@@ -24,8 +25,16 @@ def read_directory(spark: SparkSession, path: str, *, source: str = "bundled", p
 
 
 def with_order(df: DataFrame, key: str) -> DataFrame:
-    """``doc_ord``: the place of each row in the order of a key of its own.  Only the keys pass through one task, never the texts."""
-    order = df.select(key).withColumn("doc_ord", (F.row_number().over(Window.orderBy(key)) - 1).cast("bigint"))
+    """``doc_ord``: the place of each row in the order of a key of its own.
+
+    Keys alone are dealt out in ranges and numbered within each, after all those of the ranges before.
+    """
+    ranged = written(df.select(key).repartitionByRange(key).withColumn("_part", F.spark_partition_id()))
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    # as many rows as there are ranges
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    nth = F.row_number().over(Window.partitionBy("_part").orderBy(key))
+    order = ranged.withColumn("_nth", nth).join(F.broadcast(before), "_part").select(key, (F.col("_before") + F.col("_nth") - 1).alias("doc_ord"))
     return df.join(order, key)
 
 

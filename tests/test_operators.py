@@ -4,6 +4,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from quaere.functions import text as T
 from quaere.operators import answers, collection, dialogue, facts, index, metrics, passages
 from quaere.params import Params
 from quaere.sources import readers
@@ -139,3 +140,48 @@ def test_evaluation(spark, tmp_path):
     assert abs(s.overall - 2 / 3) < 1e-9 and metrics.failures(out).count() == 1
     assert [r.question_type for r in metrics.by_type(out).collect()] == ["DATE", "PERSON", "UNANSWERABLE"]
     assert metrics.summary(out.where("false")).first().overall == 0.0
+
+
+def test_order_of_files(spark):
+    names = [f"{k * 7919 % 1000:04d}.txt" for k in range(1000)]
+    rows = spark.createDataFrame([(n, "x") for n in names], "path string, raw string").repartition(7)
+    assert [r.path for r in readers.with_order(rows, "path").orderBy("doc_ord").collect()] == sorted(names)
+    assert [r.doc_ord for r in readers.with_order(rows, "path").orderBy("path").collect()] == list(range(1000))
+    assert readers.with_order(rows.where("false"), "path").count() == 0
+
+
+def test_normal_texts(spark):
+    rows = ["plain  a\tb\r\nc", "ﬁne\u00a0\u00a0½", None, "", "a\n\n\n\nb "]
+    made = spark.createDataFrame([(x,) for x in rows], "t string").select(T.normalise(F.col("t"))).collect()
+    assert [r[0] for r in made] == ["plain a b\nc", "fine 1⁄2", None, "", "a\n\nb"]
+
+
+def test_uploads_are_admitted_and_written(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a b.txt").write_text(LONG)
+    (tmp_path / "in" / "c.md").write_text("short")
+    query = readers.uploads(spark, str(tmp_path / "in")).writeStream.format("parquet").option("path", str(tmp_path / "raw")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    raw = readers.with_order(spark.read.parquet(str(tmp_path / "raw")), "path")
+    own = collection.members(collection.admit(readers.as_documents(raw)))
+    assert [(r.doc_id, r.file, r.source) for r in collection.rows(own).collect()] == [("a-b", "a b.txt", "upload")]
+    assert collection.remove(own, own.select("doc_id")).count() == 0
+    readers.write_texts(own, str(tmp_path / "out"))
+    got = spark.read.text(str(tmp_path / "out"), wholetext=True).collect()
+    assert [(r.file, r.value.strip()) for r in got] == [("a b.txt", LONG.strip())]
+
+
+def test_index_grows_and_shrinks(spark):
+    rows = [(0, "cats and dogs"), (1, "a dog"), (2, "birds")]
+    made = lambda part: index.units(spark.createDataFrame(part, "id long, text string"), "id", ["id"])
+    whole = index.postings(made(rows))
+    grown = index.add_documents(index.postings(made(rows[:2])), made(rows[2:]))
+    key = ["term", "unit_id", "tf", "length"]
+    assert sorted(map(tuple, grown.select(key).collect())) == sorted(map(tuple, whole.select(key).collect()))
+    less = index.remove_documents(whole, made(rows[:1]))
+    assert sorted({r.unit_id for r in less.collect()}) == [1, 2]
+
+
+def test_facts_about(spark, base):
+    got = facts.facts_about(base[0], "moss").orderBy("ord").collect()
+    assert [(r.relation, r.object) for r in got] == [("created_by", "Olav"), ("created_in", "1954"), ("created_by", "Olav Dahl")]
