@@ -23,11 +23,17 @@ def folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def place(spark: SparkSession, name: str = "step") -> str:
+    """The path of a new table in the shared folder."""
+    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a table of its own: what reads it several times is planned from its columns and size, and a lost executor costs no step before it."""
-    path = f"{folder(df.sparkSession)}/step-{uuid.uuid4().hex}"
+    path = place(df.sparkSession)
     df.write.parquet(path)
-    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

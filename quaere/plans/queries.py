@@ -10,7 +10,7 @@ from ..functions import text as T
 from ..functions.spans import entities
 from ..operators import answers, collection, dialogue, index, metrics, passages
 from ..operators import facts as kb
-from ..operators.staging import written
+from ..operators.staging import place, written
 from ..params import DEFAULTS, Params
 from . import tables as t
 
@@ -310,19 +310,20 @@ def summary_by_route(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_topic_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The topic fold over conversations read as a stream, into a table in memory."""
+    """The topic fold over conversations read as a stream, into a table in the shared folder."""
     from ..streaming.conversations import topics
 
     names = [(r["subject"], r["ord"]) for r in kb.subjects(t.facts(spark, sf_dir)).collect()]
     source = t.read(spark, sf_dir, "conversations")
     stream = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/conversation[s].parquet")  # a pattern: a stream takes no single file
     live = topics(stream.where("role = 'user'").select("conv_id", "turn", "text"), names, t.ALIASES, idle_ms=None)
-    query = live.writeStream.format("memory").queryName("quaere_topics").outputMode("append").trigger(availableNow=True).start()
+    path = place(spark, "topics")
+    query = live.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
     try:
         query.awaitTermination()  # ends by itself when all that is there has been read
     finally:
         query.stop()
-    return spark.table("quaere_topics")
+    return spark.read.schema(live.schema).parquet(f"{path}/rows")
 
 
 QUERIES = {f.__name__: f for f in (
