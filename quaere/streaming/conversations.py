@@ -17,22 +17,44 @@ from ..functions.text import stripped
 IDLE_MS = 24 * 60 * 60 * 1000
 
 
+class Names:
+    """Names that are found in a lower-case text as whole words: the first by their order, and what it stands for.
+
+    A text is cut at the edges of its words, and its runs of parts are looked up; the time doesn't grow with the number of names.
+    """
+
+    EDGE = re.compile(r"\b")
+
+    def __init__(self, names: list[tuple[str, str]]) -> None:
+        self.rank: dict[str, int] = {}
+        self.named = names
+        sizes = set()
+        for k, (name, _) in enumerate(names):
+            self.rank.setdefault(name, k)
+            sizes.add(sum(p != "" for p in self.EDGE.split(name)))
+        self.sizes = sorted(sizes)
+
+    def first(self, low: str) -> tuple[str, str] | None:
+        parts = self.EDGE.split(low)[1:-1]  # a name begins and ends at an edge
+        runs = ("".join(parts[i : i + n]) for n in self.sizes for i in range(len(parts) - n + 1) if parts)
+        best = min((k for r in runs if (k := self.rank.get(r)) is not None), default=None)
+        return None if best is None else self.named[best]
+
+
 class Slots:
-    """One step of a conversation over a small table of names: what is asked, and what it is about."""
+    """One step of a conversation over a table of names: what is asked, and what it is about."""
 
     def __init__(self, subjects: list[tuple[str, int]], aliases: list[tuple[str, str]]) -> None:
-        whole = lambda name: re.compile(rf"\b{re.escape(name)}\b")
-        self.subjects = [(whole(s.lower()), s) for s, _ in sorted(subjects, key=lambda x: (-len(x[0]), x[1]))]
-        self.aliases = [(whole(a.lower()), a.lower(), c.lower()) for a, c in sorted(aliases, key=lambda x: -len(x[0]))]
+        self.subjects = Names([(s.lower(), s) for s, _ in sorted(subjects, key=lambda x: (-len(x[0]), x[1]))])
+        self.aliases = Names([(a.lower(), c.lower()) for a, c in sorted(aliases, key=lambda x: -len(x[0]))])
         self.pronoun, self.alone = re.compile(PRONOUNS, re.I), re.compile(QUESTION_ONLY, re.I)
 
     def subject(self, question: str) -> str | None:
         low = question.lower()
-        for pattern, alias, canonical in self.aliases:
-            if pattern.search(low):
-                low = low.replace(alias, canonical)
-                break
-        return next((s for pattern, s in self.subjects if pattern.search(low)), None)
+        if alias := self.aliases.first(low):
+            low = low.replace(*alias)
+        found = self.subjects.first(low)
+        return found and found[1]
 
     def step(self, text: str, kind: str, topic: str | None) -> tuple[str | None, str | None]:
         """The question that a turn asks (none of small talk), and the topic after it."""
