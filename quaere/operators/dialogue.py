@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -76,11 +78,12 @@ def topics_by_rules(rows: DataFrame, facts_: list[tuple[str, int]], aliases: lis
     return rows.select("conv_id", F.col("turn").cast("bigint").alias("turn"), "text", "intent").groupBy("conv_id").applyInPandas(fold, f"conv_id {kind}, turn bigint, question string, topic string")
 
 
-def respond(turns: DataFrame, *, documents: DataFrame, passages: DataFrame, postings: DataFrame, stats: DataFrame, facts_: DataFrame, cues: DataFrame, aliases: DataFrame, params: Params = DEFAULTS, listed: int | None = None) -> DataFrame:
+def respond(turns: DataFrame, *, documents: DataFrame, passages: DataFrame | None = None, postings: DataFrame | None = None, stats: DataFrame | None = None, facts_: DataFrame, cues: DataFrame, aliases: DataFrame, params: Params = DEFAULTS, listed: int | None = None, retrieve: Callable[[DataFrame], tuple[DataFrame, DataFrame, DataFrame]] | None = None) -> DataFrame:
     """``conv_id, turn, text, intent, question, rewritten, route, reply, topic`` of every turn.
 
     Facts are tried first, and only what they leave open is searched for.  A reply counts all documents and names
-    the first ``listed`` of them (None: all).  Each step is written down: the next ones read it several times, and a
+    the first ``listed`` of them (None: all).  ``retrieve`` gives hits, their passages and the known terms of questions;
+    without it they come from passages, postings and their statistics.  Each step is written down: the next ones read it several times, and a
     plan of all of them at once takes the driver minutes.
     """
     rows = written(with_topics(written(described(turns, facts_, aliases))).withColumn("query_id", F.col("question")))
@@ -88,11 +91,14 @@ def respond(turns: DataFrame, *, documents: DataFrame, passages: DataFrame, post
     asked = rows.where("intent = 'question'").select("query_id", F.col("question").alias("text")).distinct()
     known = written(facts.answer(asked, facts_, cues, aliases).select("query_id", "object"))
     open_ = written(asked.join(known.select("query_id"), "query_id", "left_anti"))
-    hits = written(index.top(open_, postings, stats, k=params.top_k, params=params))
-    shown = written(passages.join(hits.select(F.col("unit_id").alias("passage_id")).distinct(), "passage_id", "left_semi"))
+    if retrieve is None:
+        hits = written(index.top(open_, postings, stats, k=params.top_k, params=params))
+        shown = passages.join(hits.select(F.col("unit_id").alias("passage_id")).distinct(), "passage_id", "left_semi")
+        terms = postings.select("term").distinct()
+    else:
+        hits, shown, terms = retrieve(open_)
     found = written(answers.extract(open_, hits, shown, params=params).where("kind <> 'none'").select("query_id", "text"))
     refused = open_.join(found.select("query_id"), "query_id", "left_anti")
-    terms = postings.select("term").distinct()
     missing = index.unknown_terms(refused, terms).groupBy("query_id").agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("pos", "term"))), 1, 3), lambda x: x["term"]).alias("missing"))
     named = documents if listed is None else documents.orderBy("doc_ord", "title").limit(listed)
     titles = named.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_ord", "title"))), lambda d: d["title"]), "; ").alias("titles"))

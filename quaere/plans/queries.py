@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions import text as T
 from ..functions.spans import entities
-from ..operators import answers, collection, dialogue, index, metrics, passages
+from ..operators import answers, collection, dialogue, index, metrics, passages, ranking
 from ..operators import facts as kb
 from ..operators.staging import place, written
 from ..params import DEFAULTS, Params
@@ -260,8 +260,13 @@ def last_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _replies(spark: SparkSession, sf_dir: str, turns: DataFrame) -> DataFrame:
     docs = t.documents(spark, sf_dir)
-    cut, posted, stats = _passage_index(spark, sf_dir)
-    return dialogue.respond(turns, documents=docs, passages=cut, postings=posted, stats=stats, facts_=t.facts(spark, sf_dir), cues=t.cues(spark), aliases=t.aliases(spark), listed=t.LISTED)
+
+    def retrieve(asked: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        found = ranking.asked(docs, asked)
+        hits = written(ranking.top(found))
+        return ranking.passage_hits(hits), ranking.passages_of(hits, docs), found.known_terms(asked)
+
+    return dialogue.respond(turns, documents=docs, retrieve=retrieve, facts_=t.facts(spark, sf_dir), cues=t.cues(spark), aliases=t.aliases(spark), listed=t.LISTED)
 
 
 def reply_route(spark: SparkSession, sf_dir: str) -> DataFrame:
