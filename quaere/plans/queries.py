@@ -173,6 +173,13 @@ def retrieval_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranks.agg(F.count("*").alias("n"), F.round(F.avg(found), 6).alias("recall_at_5"), F.round(F.avg(F.coalesce(1 / F.col("doc_rank"), F.lit(0.0))), 6).alias("mrr"))
 
 
+def _passage_hits(spark: SparkSession, sf_dir: str, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The best passages for each query, and the passages that are hit."""
+    docs = t.documents(spark, sf_dir)
+    hits = written(ranking.top(ranking.asked(docs, asked)))
+    return ranking.passage_hits(hits), ranking.passages_of(hits, docs)
+
+
 def _sentence_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut, posted, stats = _passage_index(spark, sf_dir)
     asked = t.benchmark(spark, sf_dir)
@@ -197,9 +204,8 @@ def regex_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _item_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut, posted, stats = _passage_index(spark, sf_dir)
     asked = written(t.item_questions(spark, sf_dir))
-    return answers.extract(asked, written(index.top(asked, posted, stats)), cut)
+    return answers.extract(asked, *_passage_hits(spark, sf_dir, asked))
 
 
 def span_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
