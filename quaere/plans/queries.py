@@ -181,10 +181,9 @@ def _passage_hits(spark: SparkSession, sf_dir: str, asked: DataFrame) -> tuple[D
 
 
 def _sentence_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut, posted, stats = _passage_index(spark, sf_dir)
     asked = t.benchmark(spark, sf_dir)
-    hits = index.top(asked, posted, stats)
-    return answers.best_sentences(answers.considered(asked, hits, cut))
+    hits, cut = _passage_hits(spark, sf_dir, asked)
+    return answers.best_sentences(written(answers.considered(asked, hits, cut)))
 
 
 def sentence_answer(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,7 +65,7 @@ def test_ranking_of_nothing(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
-@pytest.mark.parametrize("name", ["reply_route", "span_answer", "answer_explain"])
+@pytest.mark.parametrize("name", ["reply_route", "span_answer", "answer_explain", "answer_metrics"])
 def test_answers_need_no_postings_of_all_terms(spark, name, monkeypatch):
     def whole(*_, **__):
         raise AssertionError("the whole collection was cut or posted")
