@@ -83,3 +83,20 @@ def stats(docs: DataFrame, *, params: Params = DEFAULTS) -> DataFrame:
 
 def rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "title", F.col("word_count").alias("words"), "source", F.col("filename").alias("file"))
+
+
+def holders(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """``query_id, doc_id`` of each document of ``docs(doc_id, body)`` that holds an item of ``items(query_id, text)`` as it stands.
+
+    An item's inner words, split at spaces, are words of every text that holds it: documents meet the items of whose longest
+    inner word they have, and only then whole texts are compared.  Items of fewer than three words are compared with all.
+    """
+    words = F.split("text", " ")
+    n = F.size(words)
+    inner = F.transform(F.slice(words, F.lit(2), F.greatest(n - 2, F.lit(0))), lambda w: F.struct(F.length(w).alias("n"), w.alias("word")))
+    marked = items.select("query_id", "text", F.when(n > 2, F.array_max(inner)["word"]).alias("word"))
+    split_ = docs.select("doc_id", "body", F.explode(F.array_distinct(F.split("body", " "))).alias("word"))
+    held = F.contains(F.col("body"), F.col("text"))
+    long = split_.join(F.broadcast(marked.where("word IS NOT NULL")), "word").where(held)
+    short = docs.join(F.broadcast(marked.where("word IS NULL")), held)
+    return long.select("query_id", "doc_id").unionByName(short.select("query_id", "doc_id"))

@@ -111,6 +111,11 @@ def _ranked(spark: SparkSession, sf_dir: str, scorer: str) -> DataFrame:
     return index.top(t.benchmark(spark, sf_dir), *_doc_index(spark, sf_dir), scorer=scorer)
 
 
+def _document_hits(spark: SparkSession, sf_dir: str, asked: DataFrame) -> DataFrame:
+    """``query_id, doc_id, rank`` of the best documents for each query by BM25."""
+    return ranking.top(ranking.asked(t.documents(spark, sf_dir), asked, whole=True)).select("query_id", "doc_id", "rank")
+
+
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = index.search(t.benchmark(spark, sf_dir), *_doc_index(spark, sf_dir))
     return hits.select("query_id", F.col("unit_id").alias("doc_id"), "score", "rank", F.array_join(F.array_sort(F.map_keys("term_scores")), " ").alias("terms"))
@@ -161,7 +166,7 @@ def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first document that holds each benchmark item as it stands."""
     docs = t.read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"))
     items = t.benchmark(spark, sf_dir)
-    held = docs.join(F.broadcast(items), F.contains(F.col("body"), F.col("text"))).groupBy("query_id").agg(F.min("doc_id").alias("doc"))
+    held = collection.holders(docs, items).groupBy("query_id").agg(F.min("doc_id").alias("doc"))
     return items.join(held, "query_id", "left")
 
 
@@ -300,9 +305,9 @@ def dialogue_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items as gold: each is asked by itself, and answered by the sentence that has most of it."""
-    gold = _gold(spark, sf_dir).select("query_id", F.col("text").alias("q"), F.when(F.col("doc").isNotNull(), F.col("text")).alias("a"), "doc", F.when(F.col("doc").isNotNull(), "DEFINITION").otherwise("UNANSWERABLE").alias("type"))
+    gold = written(_gold(spark, sf_dir).select("query_id", F.col("text").alias("q"), F.when(F.col("doc").isNotNull(), F.col("text")).alias("a"), "doc", F.when(F.col("doc").isNotNull(), "DEFINITION").otherwise("UNANSWERABLE").alias("type")))
     replies = _sentence_answers(spark, sf_dir).select("query_id", F.lit("retrieval").alias("route"), F.col("text").alias("reply"))
-    hits = _ranked(spark, sf_dir, "bm25").select("query_id", F.col("unit_id").alias("doc_id"), "rank")
+    hits = _document_hits(spark, sf_dir, gold.where("doc IS NOT NULL").select("query_id", F.col("q").alias("text")))
     return metrics.evaluate(gold, replies, hits)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quaere import plans
 from quaere.functions import plain, spans
 from quaere.functions import text as T
-from quaere.operators import index, passages, ranking
+from quaere.operators import collection, index, passages, ranking
 
 SF = "/root/testdata/sf0.001"
 PARTS = ["a", "B", "e.g", "Dr", "etc", "J", ".", "!", "?", " ", "  ", "\n", "\n\n", "\r\n", "\x85", "\xa0", "\x1c", '"', ")", "é", "ª", "ß", "3", "'", "’", "-", "running", "classes", "organised", "𝒳", " and ", "..."]
@@ -64,8 +64,15 @@ def test_ranking_of_nothing(spark):
         ranking.top(ranking.asked(docs, none), k=0)
 
 
+def test_holders(spark):
+    docs = spark.createDataFrame([(1, "so one two  three four"), (2, "one twothree"), (3, "x one two"), (4, None), (5, "a  b")], "doc_id long, body string")
+    items = spark.createDataFrame([(1, "one two  three"), (2, "one two"), (3, "ne two"), (4, "  "), (5, "so one two  t")], "query_id long, text string")
+    got = sorted(map(tuple, collection.holders(docs, items).collect()))
+    assert got == sorted((q.query_id, d.doc_id) for q in items.collect() for d in docs.collect() if d.body and q.text in d.body)
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
-@pytest.mark.parametrize("name", ["reply_route", "span_answer", "answer_explain", "answer_metrics"])
+@pytest.mark.parametrize("name", ["answer_explain", "span_answer", "answer_metrics", "evaluation_summary", "summary_by_route", "reply_route"])
 def test_answers_need_no_postings_of_all_terms(spark, name, monkeypatch):
     def whole(*_, **__):
         raise AssertionError("the whole collection was cut or posted")
