@@ -290,7 +290,8 @@ def _dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = _gold(spark, sf_dir).select((-1 - F.col("query_id")).alias("query_id"), F.when(held, F.col("text")).alias("a"), "doc", F.when(held, "OTHER").otherwise("UNANSWERABLE").alias("type"), F.concat(F.lit("Tell me of "), "text").alias("text"))
     gold = written(told.unionByName(read))
     replies = _replies(spark, sf_dir, gold.select(F.col("query_id").alias("conv_id"), F.lit(0).cast("bigint").alias("turn"), "text")).select(F.col("conv_id").alias("query_id"), "route", "reply")
-    hits = index.top(gold.select("query_id", "text"), *_doc_index(spark, sf_dir)).select("query_id", F.col("unit_id").alias("doc_id"), "rank")
+    # a rank counts only where there is a gold document
+    hits = _document_hits(spark, sf_dir, gold.where("doc IS NOT NULL").select("query_id", "text"))
     return metrics.evaluate(gold.withColumnRenamed("text", "q"), replies, hits)
 
 

@@ -72,7 +72,7 @@ def test_holders(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
-@pytest.mark.parametrize("name", ["answer_explain", "span_answer", "answer_metrics", "evaluation_summary", "summary_by_route", "reply_route"])
+@pytest.mark.parametrize("name", ["answer_explain", "span_answer", "answer_metrics", "evaluation_summary", "summary_by_route", "reply_route", "dialogue_summary", "dialogue_failures"])
 def test_answers_need_no_postings_of_all_terms(spark, name, monkeypatch):
     def whole(*_, **__):
         raise AssertionError("the whole collection was cut or posted")
